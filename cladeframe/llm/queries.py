@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import components
+from cladeframe.llm import components, names
 from cladeframe.plans.registry import Registry
 from cladeframe.sources.tables import table
 from cladeframe.workspace import Workspace
@@ -39,3 +39,28 @@ def p1_rows(spark: SparkSession, folder: str) -> DataFrame:
 def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Shares reached per study and overall."""
     return components.split_shares(p1_rows(spark, folder)).select("level", "study_id", "split", "n", F.col("rows").alias("of_rows"), "share")
+
+
+def _free(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    reference = table(spark, folder, "taxon_reference")
+    rows = [
+        table(spark, folder, n).select(F.lit(n).alias("table_name"), F.col("row_id"), F.col("species")) for n in ("trait", "branches")
+    ]
+    return names.free_entered(rows[0].unionByName(rows[1]), "species", reference), reference
+
+
+@R.add("p5_found")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Free-entered species with the entry that they mean, or -1."""
+    rows, reference = _free(spark, folder)
+    known = names.map_names(rows, "species", reference)
+    return rows.join(known, F.col("species") == F.col("value")).select("table_name", "row_id", "taxon_id")
+
+
+@R.add("p5_unmatched")
+def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that mean no entry, with their rows per table."""
+    rows, reference = _free(spark, folder)
+    none = names.map_names(rows, "species", reference).where(F.col("taxon_id") == names.NONE)
+    lost = rows.join(none, F.col("species") == F.col("value"), "left_semi")
+    return lost.groupBy("table_name", "species").agg(F.count(F.lit(1)).alias("n_rows"))
