@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import components, names
+from cladeframe.llm import components, leaks, names
 from cladeframe.plans.registry import Registry
 from cladeframe.sources.tables import table
 from cladeframe.workspace import Workspace
@@ -64,3 +64,31 @@ def p5_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     none = names.map_names(rows, "species", reference).where(F.col("taxon_id") == names.NONE)
     lost = rows.join(none, F.col("species") == F.col("value"), "left_semi")
     return lost.groupBy("table_name", "species").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+_LEAKS_SQL = """
+  WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS l FROM documents WHERE text IS NOT NULL),
+  i AS (SELECT item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') AS l FROM eval_items),
+  dw AS (SELECT DISTINCT doc_id, array_to_string(l[k:k + 19], ' ') AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) - 18)) AS k FROM w)),
+  iw AS (SELECT DISTINCT item_id, array_to_string(l[k:k + 19], ' ') AS s FROM (SELECT item_id, l, unnest(range(1, len(l) - 18)) AS k FROM i))
+  SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (s)"""
+
+
+@R.add("p6_found", _LEAKS_SQL)
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold at least 20 consecutive words of an item."""
+    found = leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.where(F.col("edits") == 0).select("doc_id", "item_id")
+
+
+@R.add("p6_near")
+def p6_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold 20 words of an item, whole or with up to two word edits."""
+    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+@R.add("p6_items")
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Items that leaked, with the number of documents that hold them exactly and nearly."""
+    found = p6_near(spark, folder)
+    return found.groupBy("item_id").agg(F.sum(F.when(F.col("edits") == 0, 1).otherwise(0)).alias("n_exact"), F.count(F.lit(1)).alias("n_near"))
