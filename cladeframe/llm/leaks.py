@@ -35,12 +35,33 @@ class LeakSpec:
 
     width: int = 20
     edits: int = 2
-    repeats: int = 8
-    sampled: int = 5
+    repeats: int = 10
+    sampled: int = 9
     seed: int = 11
     block: int = 4_000_000
 
 
+class Lookup:
+    """Places of 64-bit hashes in a sorted list without repeats; a bit map turns most strangers away."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        self.bits = max(16, min(26, len(known).bit_length() + 4))
+        self.map = np.zeros(1 << self.bits, bool)
+        self.map[self._slot(known)] = True
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return (x >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``asked`` are known, and the place of each of these."""
+        may = np.flatnonzero(self.map[self._slot(asked)])
+        near = np.searchsorted(self.known, asked[may])
+        near[near == len(self.known)] = 0
+        same = self.known[near] == asked[may] if len(self.known) else np.zeros(len(may), bool)
+        return may[same], near[same]
+
+
 class WindowIndex:
     """Distinct windows of items and their LSH tables."""
 
@@ -48,13 +69,13 @@ class WindowIndex:
         self.spec = spec
         rng = np.random.default_rng(spec.seed)
         steps = 3 * spec.width
+        self.looked = None
         self.salt = rng.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.at = [np.sort(rng.choice(steps, spec.sampled, replace=False)) for _ in range(spec.repeats)]
         self.tone = rng.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         c = words_of([t or "" for _, t in items])
         self.vocabulary = np.unique(c.hash)
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
+        self.words = Lookup(self.vocabulary)
         ids = np.searchsorted(self.vocabulary, c.hash).astype(np.int32)
         start = self._starts(c.of)
         windows = ids[start[:, None] + np.arange(spec.width)] if len(start) else np.zeros((0, spec.width), np.int32)
@@ -66,7 +87,8 @@ class WindowIndex:
         self.tables = []
         for sign in self.signatures(self.windows):
             order = np.argsort(sign, kind="stable")
-            self.tables.append((sign[order], order))
+            known, first = np.unique(sign[order], return_index=True)
+            self.tables.append((Lookup(known), np.append(first, len(order)), order))
 
     def _starts(self, of: np.ndarray) -> np.ndarray:
         """First words of the windows that lie in one text."""
@@ -74,19 +96,29 @@ class WindowIndex:
         return np.flatnonzero(of[w - 1 :] == of[: len(of) - w + 1]) if len(of) >= w else np.zeros(0, np.int64)
 
     def signatures(self, windows: np.ndarray) -> list[np.ndarray]:
-        """For every table, the hashed symbols at its walk positions."""
+        """For every table, the hashed symbols at its walk positions.
+
+        Word ids are small (-2 pads a finished walk, -1 is a word of no item), so the
+        random bits and the hashes of (step, word) are looked up.
+        """
         n, w = windows.shape
+        words = np.arange(-2, len(self.vocabulary)).astype(np.uint64)
+        if self.looked is None:
+            step = [(mix(words ^ x) & np.uint64(1)).astype(np.int32) for x in self.salt]
+            self.looked = step, [mix(words * x + x) for x in self.tone]
+        bits, hashes = self.looked
         out = [np.zeros(n, np.uint64) for _ in self.at]
-        place = np.zeros(n, np.int64)
-        padded = np.concatenate([windows, np.full((n, 1), -2, windows.dtype)], 1).astype(np.int64)
-        rows = np.arange(n)
+        padded = np.zeros((n, 3 * w + 1), np.int32)
+        padded[:, :w] = windows + 2
+        flat = padded.ravel()
+        place = np.arange(n, dtype=np.int64) * padded.shape[1]
         for j in range(3 * w):
-            symbol = padded[rows, np.minimum(place, w)].astype(np.uint64)
+            symbol = flat[place]
             for r, at in enumerate(self.at):
                 if j in at:
-                    out[r] += mix(symbol * self.tone[j] + self.tone[j])
-            place += (mix(symbol ^ self.salt[j]) & np.uint64(1)).astype(np.int64)
-        return out
+                    out[r] += hashes[j][symbol]
+            place += bits[j][symbol]
+        return [mix(x) for x in out]
 
     def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(index of text, item, edits)``, the least edits of each pair."""
@@ -96,11 +128,8 @@ class WindowIndex:
         if len(c.hash) < spec.width or not len(self.windows):
             return none
         ids = np.full(len(c.hash), -1, np.int32)
-        may = np.flatnonzero(self.seen[(c.hash >> np.uint64(44)).astype(np.int64)])
-        near = np.searchsorted(self.vocabulary, c.hash[may])
-        near[near == len(self.vocabulary)] = 0
-        same = self.vocabulary[near] == c.hash[may]
-        ids[may[same]] = near[same]
+        known, place = self.words.find(c.hash)
+        ids[known] = place
         # A window within k edits of an item's shares all but k of its words with it.
         total = np.concatenate([[0], np.cumsum(ids >= 0)])
         start = self._starts(c.of)
@@ -109,13 +138,14 @@ class WindowIndex:
             return none
         windows = ids[start[:, None] + np.arange(spec.width)]
         found = []
-        for sign, (table, order) in zip(self.signatures(windows), self.tables):
-            low, high = np.searchsorted(table, sign, "left"), np.searchsorted(table, sign, "right")
-            n = high - low
-            a = np.repeat(np.arange(len(start)), n)
+        for sign, (table, first, order) in zip(self.signatures(windows), self.tables):
+            hit, place = table.find(sign)
+            low, n = first[place], first[place + 1] - first[place]
+            a = np.repeat(hit, n)
             b = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
             found.append(a * len(self.windows) + b)
-        pair = np.unique(np.concatenate(found))
+        pair = np.sort(np.concatenate(found))
+        pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
         a, b = pair // len(self.windows), pair % len(self.windows)
         edits = self.distance(windows[a], self.windows[b])
         a, b, edits = (x[edits <= spec.edits] for x in (a, b, edits))
@@ -129,25 +159,39 @@ class WindowIndex:
         new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
         return doc[new], item[new], edits[new]
 
-    def distance(self, a: np.ndarray, b: np.ndarray, block: int = 20_000) -> np.ndarray:
-        """Word edits (insert, delete, replace) between the rows of ``a`` and ``b``."""
-        out = np.zeros(len(a), np.int64)
-        todo = np.flatnonzero((a != b).any(1))
-        for k in range(0, len(todo), block):
-            at = todo[k : k + block]
+    def distance(self, a: np.ndarray, b: np.ndarray, block: int = 50_000) -> np.ndarray:
+        """Word edits (insert, delete, replace) between the rows of ``a`` and ``b``; ``edits + 1`` if more."""
+        k = self.spec.edits
+        out = np.where((a == b).all(1), 0, k + 1)
+        todo = np.flatnonzero(out)
+        for at in (todo[i : i + block] for i in range(0, len(todo), block)):
             x, y = a[at], b[at]
+            # Within k edits all but k words of a row stand at most k places away in the other.
+            meets = np.zeros(x.shape, bool)
             w = x.shape[1]
-            row = np.tile(np.arange(w + 1, dtype=np.int16), (len(at), 1))
-            for i in range(1, w + 1):
-                new = np.empty_like(row)
-                new[:, 0] = i
-                unequal = (x[:, i - 1 : i] != y) | (x[:, i - 1 : i] < 0)
-                for j in range(1, w + 1):
-                    new[:, j] = np.minimum(np.minimum(row[:, j], new[:, j - 1]) + 1, row[:, j - 1] + unequal[:, j - 1])
-                row = new
-            out[at] = row[:, w]
+            for s in range(-k, k + 1):
+                i = slice(max(0, -s), min(w, w - s))
+                meets[:, i] |= x[:, i] == y[:, max(0, s) : w + min(0, s)]
+            near = (~meets).sum(1) <= k
+            out[at[near]] = self._edits(x[near], y[near])
         return out
 
+    def _edits(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Edits within the band that ``edits`` allows, all rows at once."""
+        k, (n, w) = self.spec.edits, x.shape
+        far = k + 1
+        row = np.full((n, w + 1), far, np.int16)
+        row[:, : far] = np.arange(w + 1)[:far]
+        for i in range(1, w + 1):
+            new = np.full((n, w + 1), far, np.int16)
+            if i <= k:
+                new[:, 0] = i
+            for j in range(max(1, i - k), min(w, i + k) + 1):
+                step = row[:, j - 1] + (x[:, i - 1] != y[:, j - 1])
+                new[:, j] = np.minimum(np.minimum(row[:, j], new[:, j - 1]) + 1, step)
+            row = new
+        return np.minimum(row[:, w], far).astype(np.int64)
+
 
 def _blocks(items: DataFrame, id_column: str, text_column: str, most: int) -> Iterator[list[tuple[int, str]]]:
     """Items in runs of at most ``most`` characters (one item at least), read one partition at a time."""
