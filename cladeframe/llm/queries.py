@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import components, leaks, names
+from cladeframe.llm import components, leaks, names, spam
 from cladeframe.plans.registry import Registry
 from cladeframe.sources.tables import table
 from cladeframe.workspace import Workspace
@@ -92,3 +92,15 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     """Items that leaked, with the number of documents that hold them exactly and nearly."""
     found = p6_near(spark, folder)
     return found.groupBy("item_id").agg(F.sum(F.when(F.col("edits") == 0, 1).otherwise(0)).alias("n_exact"), F.count(F.lit(1)).alias("n_near"))
+
+
+@R.add("p8_found")
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that mostly repeat keywords, list links or list tags."""
+    return spam.spam_pages(table(spark, folder, "documents"), Workspace(spark, "p8")).select("doc_id")
+
+
+@R.add("p8_pages")
+def p8_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The same documents with their words, words in link lines, words in listed lines and share."""
+    return spam.spam_pages(table(spark, folder, "documents"), Workspace(spark, "p8"))
