@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import components, leaks, names, spam
+from cladeframe.llm import components, leaks, mixing, names, percentiles, spam
 from cladeframe.plans.registry import Registry
 from cladeframe.sources.tables import table
 from cladeframe.workspace import Workspace
@@ -104,3 +104,50 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 def p8_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The same documents with their words, words in link lines, words in listed lines and share."""
     return spam.spam_pages(table(spark, folder, "documents"), Workspace(spark, "p8"))
+
+
+def _p2_sql() -> str:
+    def one(grouping: str, keys: tuple[str, ...]) -> str:
+        name = lambda k: k if k in keys else f"CAST(NULL AS VARCHAR) AS {k}"
+        ps = ", ".join(
+            f"v[CAST(floor({p} * (n - 1)) AS BIGINT) + 1] + ({p} * (n - 1) - floor({p} * (n - 1))) * (v[least(CAST(floor({p} * (n - 1)) AS BIGINT) + 2, n)] - v[CAST(floor({p} * (n - 1)) AS BIGINT) + 1]) AS {x}"
+            for p, x in zip(map(lambda p: f"CAST({p} AS DOUBLE)", percentiles.PROBABILITIES), percentiles.NAMES)
+        )
+        return f"""SELECT '{grouping}' AS grouping, {name("gene_id")}, {name("coordinate_id")}, n, CAST(0 AS BIGINT) AS rank_error, {ps}
+          FROM (SELECT {", ".join(keys)}, count(*) AS n, list_sort(list(numeric_value)) AS v FROM state_ledger
+                WHERE numeric_available AND isfinite(numeric_value) GROUP BY {", ".join(keys)})"""
+
+    return " UNION ALL ".join(one(g, k) for g, k in (("gene", ("gene_id",)), ("coordinate", ("coordinate_id",)), ("pair", ("gene_id", "coordinate_id"))))
+
+
+@R.add("p2_percentiles", _p2_sql())
+def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Median and outer percentiles per gene, per coordinate and per pair."""
+    values = percentiles.finite_values(table(spark, folder, "state_ledger"))
+    return percentiles.percentiles(percentiles.summarise(values), Workspace(spark, "p2"))
+
+
+@R.add("p2_day_summaries", """
+  SELECT gene_id, coordinate_id, run_day, count(*) AS n, min(numeric_value) AS least, max(numeric_value) AS most
+  FROM state_ledger WHERE numeric_available AND isfinite(numeric_value) GROUP BY 1, 2, 3""")
+def p2_day_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily summaries from which the percentiles come: rows, least and greatest value of each pair and day."""
+    return percentiles.day_summaries(percentiles.summarise(percentiles.finite_values(table(spark, folder, "state_ledger"))))
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    work, targets = Workspace(spark, "p7"), table(spark, folder, "mix_targets")
+    counts = work.save(mixing.token_counts(table(spark, folder, "documents"), targets), "counts")
+    return *mixing.mix(counts, targets, work), targets
+
+
+@R.add("p7_records")
+def p7_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of the mixture and how often each is used."""
+    return _mixed(spark, folder)[0]
+
+
+@R.add("p7_shares")
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares reached beside the targets."""
+    return mixing.shares(*_mixed(spark, folder))
