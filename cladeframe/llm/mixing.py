@@ -138,11 +138,19 @@ def mix(counts: DataFrame, targets: DataFrame, work: Workspace, spec: MixSpec =
         quotas += [(s, k, t, q * block, goal[s][1]) for (k, t), q in zip(own, got)]
     taken = spark.createDataFrame(quotas, "q_source string, q_shard int, tokens bigint, quota bigint, max_repeats int")
     rows = rows.join(F.broadcast(taken), (F.col("source") == F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
-    before = F.sum("n_tokens").over(W.partitionBy("source", "shard").orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")
     passes = F.least(F.floor(F.col("quota") / F.col("tokens")).cast("int"), F.col("max_repeats"))
-    rows = rows.withColumn("before", before).withColumn("passes", passes)
-    more = (F.col("passes") < F.col("max_repeats")) & (2 * F.col("before") + F.col("n_tokens") <= 2 * (F.col("quota") - F.col("passes") * F.col("tokens")))
-    used = rows.select("doc_id", "source", "n_tokens", (F.col("passes") + F.when(more, 1).otherwise(0)).cast("int").alias("uses")).where("uses > 0")
+    rows = rows.withColumn("passes", passes).withColumn("left", F.when(F.col("passes") < F.col("max_repeats"), F.col("quota") - F.col("passes") * F.col("tokens")).otherwise(0))
+    rows = rows.withColumn("extra", F.lit(0))
+    shard, run = W.partitionBy("source", "shard"), W.partitionBy("source", "shard").orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    # What the first records leave open is filled by later ones that fit, twice; the last gap by a record that is nearer to it than nothing.
+    for part in (1, 1, 1, 2):
+        fits = (F.col("extra") == 0) & (F.col("n_tokens") <= part * F.col("left"))
+        size = F.when(fits, F.col("n_tokens")).otherwise(0)
+        upto = F.sum(size).over(run)
+        take = fits & ((upto <= F.col("left")) if part == 1 else (upto == F.col("n_tokens")) & (F.col("left") > 0))
+        rows = rows.withColumn("now", F.when(take, 1).otherwise(0))
+        rows = rows.withColumn("left", F.col("left") - F.sum(F.col("now") * F.col("n_tokens")).over(shard)).withColumn("extra", F.col("extra") + F.col("now"))
+    used = rows.select("doc_id", "source", "n_tokens", (F.col("passes") + F.col("extra")).cast("int").alias("uses")).where("uses > 0")
     return used, spark.createDataFrame([(s, have[s], quota[s] * block) for s in names], quota_schema)
 
 
