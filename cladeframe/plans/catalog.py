@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cladeframe.plans import records
+from cladeframe.plans import matrix, records
+from pyspark.sql import DataFrame, SparkSession
+
 from cladeframe.plans.registry import Query
 
-_REGISTRIES = (records.R,)
+_REGISTRIES = (records.R, matrix.R)
 
 
 def queries() -> dict[str, Query]:
@@ -16,5 +18,6 @@ def oracle_sql() -> dict[str, str]:
     return {k: v for r in _REGISTRIES for k, v in r.sql.items()}
 
 
-def flagship(spark, folder):
-    return records.p4_orphans_by_period(spark, folder)
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """The study screen: trim, ratio, Welch by branch state."""
+    return matrix.j01_welch_screen(spark, folder)
