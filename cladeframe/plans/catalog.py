@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from cladeframe.plans import matrix, records
+from cladeframe.plans import matrix, models, quality, records
 from pyspark.sql import DataFrame, SparkSession
 
 from cladeframe.plans.registry import Query
 
-_REGISTRIES = (records.R, matrix.R)
+_REGISTRIES = (records.R, matrix.R, quality.R, models.R)
 
 
 def queries() -> dict[str, Query]:
