@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions.graphs import components
+from cladeframe.workspace import spread
 
 # Tolerance of a step, most sweeps, tolerance of the normal equations.
 TOLERANCE, SWEEPS, NORMAL = 1e-10, 1000, 4e-10
@@ -46,7 +47,7 @@ def _solve(rows: pd.DataFrame) -> pd.DataFrame:
 
 def effects(edges: DataFrame) -> DataFrame:
     """Gene and branch effects on the log scale, from the positive cells of each study."""
-    out = edges.where("y > 0").groupBy("study_id").applyInPandas(_solve, _EFFECT)
+    out = spread(edges.where("y > 0"), "study_id").groupBy("study_id").applyInPandas(_solve, _EFFECT)
     return out.withColumn("effect", F.when(~F.isnan("effect"), F.col("effect")))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions.graphs import components, strong_components
 from cladeframe.operators.cells import KEY
-from cladeframe.workspace import Workspace
+from cladeframe.workspace import Workspace, spread
 
 LOCAL_EDGES = 2_000_000
 
@@ -150,7 +150,7 @@ def fit(edges: DataFrame, work: Workspace, control: C3Control = C3Control(), loc
     """
     size = edges.groupBy("study_id").agg(F.count(F.lit(1)).alias("n"))
     large = work.save(size.where(F.col("n") > local_edges).select("study_id"), "large")
-    out = edges.join(large, "study_id", "left_anti").groupBy("study_id").applyInPandas(_fit_study(control), _FIT)
+    out = spread(edges.join(large, "study_id", "left_anti"), "study_id").groupBy("study_id").applyInPandas(_fit_study(control), _FIT)
     out = out.withColumn("mu", F.when(~F.isnan("mu"), F.col("mu")))
     if not large.isEmpty():
         out = out.unionByName(fit_large(edges.join(large, "study_id"), work, control))

@@ -22,7 +22,7 @@ INVALID_VALUE = "invalid value"
 #: A plain decimal number in ASCII: sign, digits with a point, exponent.
 DECIMAL = r"^([+-]?)([0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE]([+-]?[0-9]+))?$"
 #: White space and separators of any script.
-BLANKS = r"[\s\p{Z}\x1c-\x1f\x85]"
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,7 @@ class Field:
 
 def trimmed(text: Column) -> Column:
     """``text`` without blanks around it."""
-    return F.regexp_replace(F.regexp_replace(text, rf"^{BLANKS}+", ""), rf"{BLANKS}+$", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def nonblank(text: Column) -> tuple[Column, Column]:
@@ -59,9 +59,9 @@ def _decimal(text: Column) -> tuple[Column, Column, Column, Column]:
     exponent = F.when(exponent == "", F.lit(0).cast("bigint")).otherwise(exponent.try_cast("bigint"))
     fraction = F.when(F.instr(mantissa, ".") > 0, F.substring_index(mantissa, ".", -1)).otherwise(F.lit(""))
     digits = F.replace(mantissa, F.lit("."), F.lit(""))
-    short = F.regexp_replace(digits, "0+$", "")
+    short = F.rtrim(digits, F.lit("0"))
     last = F.try_add(exponent - F.length(fraction), (F.length(digits) - F.length(short)).cast("bigint"))
-    return ok, F.regexp_extract(t, DECIMAL, 1), F.regexp_replace(short, "^0+", ""), last
+    return ok, F.regexp_extract(t, DECIMAL, 1), F.ltrim(short, F.lit("0")), last
 
 
 def one_of_halves(text: Column) -> tuple[Column, Column]:
@@ -92,6 +92,11 @@ TRAIT = (Field("species", "string", nonblank), Field("binary_trait", "double", o
 FOLDS = (Field("fold_id", "string", nonblank), Field("genus", "string", nonblank), Field("seed", "int", int32))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it (also inside lambdas)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def split_fields(lines: DataFrame, raw: str, quote: str = '"', sep: str = "\t") -> DataFrame:
     """Add ``__fields`` (array of texts, quotes resolved) and ``__quoting`` (are they well formed) to ``lines``.
 
@@ -102,30 +107,29 @@ def split_fields(lines: DataFrame, raw: str, quote: str = '"', sep: str = "\t")
     pass in linear time.  A null line has no fields.
     """
     line = F.when(F.col(raw).endswith("\r"), F.substring(F.col(raw), F.lit(1), F.length(raw) - 1)).otherwise(F.col(raw))
-    pieces = F.split(line, quote, -1)
-    n = F.size("__pieces")
 
-    def fits(piece: Column, i: Column) -> Column:
-        inner = piece == ""
-        starts = (i == 0) | piece.startswith(sep)
-        ends = (i == n - 1) | piece.endswith(sep)
-        return F.when(i % 2 == 1, F.lit(True)).otherwise(inner | (starts & ends))
+    def cut(pieces: Column) -> Column:
+        n = F.size(pieces)
+
+        def fits(piece: Column, i: Column) -> Column:
+            starts, ends = (i == 0) | piece.startswith(sep), (i == n - 1) | piece.endswith(sep)
+            return F.when(i % 2 == 1, F.lit(True)).otherwise((piece == "") | (starts & ends))
 
-    def encoded(piece: Column, i: Column) -> Column:
-        safe = F.replace(piece, F.lit("\x01"), F.lit("\x01a"))
-        inside = F.replace(safe, F.lit(sep), F.lit("\x01b"))
-        doubled = (piece == "") & (i > 0) & (i < n - 1)
-        return F.when(i % 2 == 1, inside).when(doubled, F.lit(quote)).otherwise(safe)
+        def encoded(piece: Column, i: Column) -> Column:
+            safe = F.replace(piece, F.lit("\x01"), F.lit("\x01a"))
+            doubled = (piece == "") & (i > 0) & (i < n - 1)
+            return F.when(i % 2 == 1, F.replace(safe, F.lit(sep), F.lit("\x01b"))).when(doubled, F.lit(quote)).otherwise(safe)
+
+        good = (n % 2 == 1) & F.forall(F.transform(pieces, fits), lambda x: x)
+        return F.struct(good.alias("good"), F.array_join(F.transform(pieces, encoded), "").alias("text"))
 
     decoded = lambda f: F.replace(F.replace(f, F.lit("\x01b"), F.lit(sep)), F.lit("\x01a"), F.lit("\x01"))
+    good, text = F.col("__cut.good"), F.col("__cut.text")
     return (
-        lines.withColumn("__pieces", pieces)
-        .withColumn("__quoting", (n % 2 == 1) & (F.size(F.filter(F.transform("__pieces", fits), lambda x: ~x)) == 0))
-        .withColumn(
-            "__fields",
-            F.when(F.col("__quoting"), F.transform(F.split(F.array_join(F.transform("__pieces", encoded), ""), sep, -1), decoded)),
-        )
-        .drop("__pieces")
+        lines.withColumn("__cut", let(F.split(line, quote, -1), cut))
+        .withColumn("__quoting", good)
+        .withColumn("__fields", F.when(good, F.transform(F.split(text, sep, -1), decoded)))
+        .drop("__cut")
     )
 
 

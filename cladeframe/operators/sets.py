@@ -40,7 +40,7 @@ def turnover_draws(universe: DataFrame, sizes: DataFrame, n_draws: int) -> DataF
     universe twice by a portable key and takes the first members.
     """
     u = universe.select("study_id", "member").distinct().withColumn("place", F.row_number().over(W.partitionBy("study_id").orderBy("member")).cast("bigint"))
-    rows = u.join(sizes, "study_id").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))).cast("bigint"))
+    rows = u.join(sizes, "study_id").withColumn("draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n_draws).cast("bigint"))))
     for s, stream in (("first", 1), ("second", 2)):
         rows = rows.withColumn(f"k_{s}", F.row_number().over(W.partitionBy("study_id", "draw").orderBy(draw_key(F.col("draw"), F.col("place"), stream), "place")))
     a, b = F.col("k_first") <= F.col("n_first"), F.col("k_second") <= F.col("n_second")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.errors import ContractError
 from cladeframe.operators.cells import newest
+from cladeframe.workspace import spread
 
 
 def parse_newick(text: str) -> tuple[list[tuple[int, int, float | None]], dict[int, str]]:
@@ -146,7 +147,7 @@ def _root(rows: pd.DataFrame) -> pd.DataFrame:
 
 def rooted_edges(split: DataFrame) -> DataFrame:
     """The rooted tree of each study from its splits; a repeated split gives parallel edges, a missing side is left out."""
-    return split.where("a IS NOT NULL AND b IS NOT NULL").groupBy("study_id").applyInPandas(_root, _EDGES)
+    return spread(split.where("a IS NOT NULL AND b IS NOT NULL"), "study_id").groupBy("study_id").applyInPandas(_root, _EDGES)
 
 
 def join_edges(edges: DataFrame, split: DataFrame) -> DataFrame:
@@ -214,7 +215,7 @@ def parsimony_states(edges: DataFrame, tips: DataFrame, by: tuple[str, ...] = ()
             out[c] = pdf[c].to_numpy()
         return out
 
-    out = rows.groupBy("study_id", *by).applyInPandas(run, "study_id string, branch_id string, parent_branch string, state double, observed boolean" + extra)
+    out = spread(rows, "study_id", *by).groupBy("study_id", *by).applyInPandas(run, "study_id string, branch_id string, parent_branch string, state double, observed boolean" + extra)
     s = F.when(~F.isnan("state"), F.col("state"))
     return out.withColumn("state", s).withColumn("screened", F.coalesce(s.isin(0.0, 1.0), F.lit(False))).withColumn("reason", F.when(s == 0.5, "intermediate_excluded"))
 

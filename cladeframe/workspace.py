@@ -52,3 +52,13 @@ class Workspace:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(conf).delete(path, True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key over as many tasks as the session shuffles into, for groups whose work is heavy and whose rows are few.
+
+    Adaptive execution would put such small partitions together into one task.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
