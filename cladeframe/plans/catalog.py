@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from cladeframe.plans import matrix, models, quality, records, validation
+from cladeframe.plans import io, matrix, models, quality, records, validation
 from pyspark.sql import DataFrame, SparkSession
 
 from cladeframe.plans.registry import Query
 
-_REGISTRIES = (records.R, matrix.R, quality.R, models.R, validation.R)
+_REGISTRIES = (records.R, matrix.R, quality.R, models.R, validation.R, io.R)
 
 
 def queries() -> dict[str, Query]:
