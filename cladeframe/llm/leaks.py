@@ -28,14 +28,17 @@ from cladeframe.llm.words import chunks, mix, words_of
 class LeakSpec:
     """``width`` words a window, at most ``edits`` word edits between windows.
 
-    ``repeats`` tables of ``sampled`` walk positions each; ``block`` characters
-    of item text are broadcast at once.  For equal windows every table hits, so
+    ``walks`` independent embeddings, each with ``repeats`` tables of ``sampled`` walk
+    positions: after an edit two walks may stay out of step for long, so a single
+    embedding would lose some pairs in all its tables.  ``block`` characters of item
+    text are broadcast at once.  For equal windows every table hits, so
     recall is 1; for 1 and 2 edits see the tests, which measure it.
     """
 
     width: int = 20
     edits: int = 2
-    repeats: int = 10
+    walks: int = 4
+    repeats: int = 5
     sampled: int = 9
     seed: int = 11
     block: int = 4_000_000
@@ -70,8 +73,8 @@ class WindowIndex:
         rng = np.random.default_rng(spec.seed)
         steps = 3 * spec.width
         self.looked = None
-        self.salt = rng.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.at = [np.sort(rng.choice(steps, spec.sampled, replace=False)) for _ in range(spec.repeats)]
+        self.salt = rng.integers(0, 1 << 63, (spec.walks, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.at = [[np.sort(rng.choice(steps, spec.sampled, replace=False)) for _ in range(spec.repeats)] for _ in range(spec.walks)]
         self.tone = rng.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         c = words_of([t or "" for _, t in items])
         self.vocabulary = np.unique(c.hash)
@@ -104,21 +107,24 @@ class WindowIndex:
         n, w = windows.shape
         words = np.arange(-2, len(self.vocabulary)).astype(np.uint64)
         if self.looked is None:
-            step = [(mix(words ^ x) & np.uint64(1)).astype(np.int32) for x in self.salt]
+            step = [[(mix(words ^ x) & np.uint64(1)).astype(np.int32) for x in salt] for salt in self.salt]
             self.looked = step, [mix(words * x + x) for x in self.tone]
-        bits, hashes = self.looked
-        out = [np.zeros(n, np.uint64) for _ in self.at]
+        steps, hashes = self.looked
         padded = np.zeros((n, 3 * w + 1), np.int32)
         padded[:, :w] = windows + 2
         flat = padded.ravel()
-        place = np.arange(n, dtype=np.int64) * padded.shape[1]
-        for j in range(3 * w):
-            symbol = flat[place]
-            for r, at in enumerate(self.at):
-                if j in at:
-                    out[r] += hashes[j][symbol]
-            place += bits[j][symbol]
-        return [mix(x) for x in out]
+        every = []
+        for bits, tables in zip(steps, self.at):
+            out = [np.zeros(n, np.uint64) for _ in tables]
+            place = np.arange(n, dtype=np.int64) * padded.shape[1]
+            for j in range(1 + max(int(at[-1]) for at in tables)):
+                symbol = flat[place]
+                for r, at in enumerate(tables):
+                    if j in at:
+                        out[r] += hashes[j][symbol]
+                place += bits[j][symbol]
+            every += [mix(x) for x in out]
+        return every
 
     def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(index of text, item, edits)``, the least edits of each pair."""
