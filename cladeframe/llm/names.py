@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.workspace import spread
+
 #: The reference list is sent to every worker; a longer one is refused.
 MOST_ENTRIES = 200_000
 #: Longest run of words in a value that is searched for pairs; the automaton sees the whole value.
@@ -225,7 +227,7 @@ def map_names(values: DataFrame, column: str, reference: DataFrame, id_column: s
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.find(t) for t in texts], pa.int64())], ["value", "taxon_id"])
 
     distinct = values.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    return distinct.mapInArrow(run, "value string, taxon_id bigint")
+    return spread(distinct, "value").mapInArrow(run, "value string, taxon_id bigint")
 
 
 def free_entered(rows: DataFrame, column: str, reference: DataFrame, name_column: str = "canonical_name", reserved: tuple[str, ...] = ("internal",)) -> DataFrame:
