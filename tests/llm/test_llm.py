@@ -255,6 +255,19 @@ def test_spam(spark):
     assert spam.spam_pages(spark.createDataFrame([], "doc_id long, text string"), Workspace(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 10, 100])
+def test_spam_does_not_depend_on_the_size_of_the_corpus(spark, times):
+    words = ["kettle", "sofa", "drill", "wallet"]
+    phrases = lambda x: "\n".join([f"Looking for {x}? {x} here, {x} today, {x} near you and more {x}", f"{x} is the best {x} because {x} means {x}"] * 3)
+    plain = [f"We export the {a} with the {b} before the model is fitted well and look at the {a} again because the {b} failed" for a in words for b in words]
+    docs = [(i, phrases(words[i % 4])) for i in range(40)] + [(100 + i, "\n".join([text] * 3)) for i, text in enumerate(plain)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    # The same documents so many times over: every count is multiplied.
+    every = docs.crossJoin(spark.range(times).withColumnRenamed("id", "copy")).selectExpr("doc_id + 1000 * copy AS doc_id", "text")
+    got = {r.doc_id for r in spam.spam_pages(every, Workspace(spark, "t")).select("doc_id").collect()}
+    assert got == {i + 1000 * k for i in range(40) for k in range(times)}
+
+
 @pytest.mark.parametrize("name", ["p1_found", "p2_percentiles", "p5_found", "p6_found", "p7_records", "p8_found"])
 def test_registered(name):
     from cladeframe.llm import catalog
