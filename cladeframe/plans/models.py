@@ -33,6 +33,12 @@ def fitted(spark, folder):
     return c3.fit(edges(spark, folder), Workspace(spark, "c3"))
 
 
+def kept_fit(spark, folder):
+    """The fit of the raw payload, written once for queries that read it several times."""
+    work = Workspace(spark, "c3")
+    return work.save(c3.fit(edges(spark, folder), work), "fit")
+
+
 def log_fitted(spark, folder):
     return c3.fit(log_edges(spark, folder), Workspace(spark, "c3"))
 
@@ -122,7 +128,8 @@ def e05_c3_c2_compare(spark, folder):
     return rates.compare_pair(a, b)
 
 
-# A baseline with a closed form: row sum times column sum over the total.  Rates on it have SQL.
+# A baseline with a closed form: row sum times column sum over the total.  Rates on it have SQL.  It is the fit of
+# complete tables only: the queries named ..._c3 below give the same on the fit itself.
 _CLOSED = """fit AS (
   SELECT e.*, CASE WHEN t > 0 THEN r * c / t END AS mu, CASE WHEN r = 0 OR c = 0 THEN 'ZERO_MARGIN_BOUNDARY' ELSE 'FINITE_INTERIOR' END AS support_state FROM edges e JOIN (SELECT study_id, gene_id, sum(y) AS r FROM edges GROUP BY 1, 2) USING (study_id, gene_id)
     JOIN (SELECT study_id, branch_id, sum(y) AS c FROM edges GROUP BY 1, 2) USING (study_id, branch_id) JOIN (SELECT study_id, sum(y) AS t FROM edges GROUP BY 1) USING (study_id))"""
@@ -146,8 +153,8 @@ def _rate_sql(value: str, ok: str) -> str:
         coalesce(support_state, 'BASELINE_UNAVAILABLE') AS support FROM cells c LEFT JOIN fit USING (study_id, gene_id, branch_id)"""
 
 
-def _rate(spark, folder, method):
-    out = rates.rate(matrix(spark, folder), closed_form(spark, folder), method)
+def _rate(spark, folder, method, fit=closed_form):
+    out = rates.rate(matrix(spark, folder), fit(spark, folder), method)
     return out.select("study_id", "gene_id", "branch_id", digits("rate", 6).alias("rate"), "available", "reason", "support")
 
 
@@ -178,8 +185,8 @@ _BOUNDARY = """boundary AS (
     CASE WHEN y > 0 AND mu > 0 THEN ln(y / mu) END AS positive_log FROM cells c LEFT JOIN fit USING (study_id, gene_id, branch_id))"""
 
 
-def boundary_cells(spark, folder):
-    return rates.log_relative(rates.rate(matrix(spark, folder), closed_form(spark, folder), "GBI"))
+def boundary_cells(spark, folder, fit=closed_form):
+    return rates.log_relative(rates.rate(matrix(spark, folder), fit(spark, folder), "GBI"))
 
 
 @R.add("b05_log_relative", with_(CELLS, _EDGES, _CLOSED, _BOUNDARY) + f"SELECT study_id, gene_id, branch_id, ratio_state, {sig('positive_log', 6)} AS positive_log FROM boundary")
@@ -211,7 +218,11 @@ def f04_common_domain(spark, folder):
     FROM (SELECT study_id, {sig("a", 9)} AS a, {sig("b", 9)} AS b FROM pairs)) GROUP BY 1""")
 def f05_compare_pair(spark, folder):
     """The closed-form ratio against the study ratio, values to nine digits so that ties agree."""
-    a = rates.rate(matrix(spark, folder), closed_form(spark, folder), "GBI").withColumn("rate", digits("rate", 9))
+    return _compare_pair(spark, folder, closed_form)
+
+
+def _compare_pair(spark, folder, fit):
+    a = rates.rate(matrix(spark, folder), fit(spark, folder), "GBI").withColumn("rate", digits("rate", 9))
     b = study_rates(spark, folder).select("study_id", "gene_id", "branch_id", digits("gbi", 9).alias("rate"), F.col("gbi").isNotNull().alias("available"))
     out = rates.compare_pair(a, b)
     return out.select("study_id", "n", digits("spearman", 6).alias("spearman"), digits("median_abs_difference", 6).alias("median_abs_difference"), digits("max_abs_difference", 6).alias("max_abs_difference"))
@@ -264,11 +275,63 @@ def j07_continuous_association(spark, folder):
   UNION ALL SELECT study_id, gene_id, 'POSITIVE_LOG', count(positive_log) FILTER (WHERE state = 0), count(positive_log) FILTER (WHERE state = 1), {sig("avg(positive_log) FILTER (WHERE state = 1) - avg(positive_log) FILTER (WHERE state = 0)", 6)}
   FROM boundary b LEFT JOIN (SELECT * FROM states WHERE state IN (0, 1)) USING (study_id, branch_id) GROUP BY 1, 2""")
 def j08_boundary_association(spark, folder):
-    b = boundary_cells(spark, folder).withColumn("available", F.col("ratio_state") != "UNAVAILABLE")
+    return _boundary_association(spark, folder, closed_form)
+
+
+def _boundary_association(spark, folder, fit):
+    b = boundary_cells(spark, folder, fit).withColumn("available", F.col("ratio_state") != "UNAVAILABLE")
     rows = association.domain(b, traits.branch_states(matrix(spark, folder), states(spark, folder)))
     return association.boundary(rows).withColumn("statistic", digits("statistic", 6))
 
 
+@R.add("b02_ratio_contract_c3")
+def b02_ratio_contract_c3(spark, folder):
+    return rates.ratio_contract(fitted(spark, folder))
+
+
+@R.add("b03_rate_gbi_c3")
+def b03_rate_gbi_c3(spark, folder):
+    """y / mu on the additive-margin fit of the raw payload, with the fit's support states."""
+    return _rate(spark, folder, "GBI", fitted)
+
+
+@R.add("b03_rate_log_strict_c3")
+def b03_rate_log_strict_c3(spark, folder):
+    return _rate(spark, folder, "logGBI_strict", fitted)
+
+
+@R.add("b03_rate_add_c3")
+def b03_rate_add_c3(spark, folder):
+    return rates.rate(matrix(spark, folder), fitted(spark, folder), "ADD_LT").select("study_id", "gene_id", "branch_id", "rate", "available", "reason", "support")
+
+
+@R.add("b05_log_relative_c3")
+def b05_log_relative_c3(spark, folder):
+    return boundary_cells(spark, folder, fitted)
+
+
+@R.add("b10_encoded_c3")
+def b10_encoded_c3(spark, folder):
+    return rates.encoded(boundary_cells(spark, folder, kept_fit)).select("study_id", "gene_id", "branch_id", "encoded", "zero_encoded")
+
+
+@R.add("f04_common_domain_c3")
+def f04_common_domain_c3(spark, folder):
+    m, f = matrix(spark, folder), kept_fit(spark, folder)
+    return rates.common_domain({"GBI": rates.rate(m, f, "GBI"), "logGBI_strict": rates.rate(m, f, "logGBI_strict")})
+
+
+@R.add("f05_compare_pair_c3")
+def f05_compare_pair_c3(spark, folder):
+    """The fitted ratio against the study ratio."""
+    return _compare_pair(spark, folder, fitted)
+
+
+@R.add("j08_boundary_association_c3")
+def j08_boundary_association_c3(spark, folder):
+    return _boundary_association(spark, folder, fitted)
+
+
 _WORLDS = 40
 _NULLS = f"""ranked AS (SELECT study_id, branch_id, state, row_number() OVER (PARTITION BY study_id ORDER BY branch_id) - 1 AS i, count(*) OVER (PARTITION BY study_id) AS m FROM states WHERE state IN (0, 1) AND (study_id, branch_id) IN (SELECT study_id, branch_id FROM cells)),
 worlds AS (SELECT a.study_id, r AS replicate, a.branch_id, b.state FROM ranked a CROSS JOIN range(1, {_WORLDS + 1}) t(r) JOIN ranked b ON b.study_id = a.study_id AND b.i = (a.i + r) % a.m),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cladeframe.functions.stats import adjust
 from cladeframe.operators import association, baseline, reporting, traits
 from cladeframe.plans.matrix import digits, matrix, rates, states
-from cladeframe.plans.models import _BOUNDARY, _CLOSED, _EDGES, _NULLS, _WORLDS, boundary_cells, closed_form
+from cladeframe.plans.models import _BOUNDARY, _CLOSED, _EDGES, _NULLS, _WORLDS, boundary_cells, closed_form, fitted, kept_fit
 from cladeframe.plans.registry import Registry
 from cladeframe.plans.sql import CELLS, GBI, STATES, TRIM, sig, with_
 from cladeframe.plans.validation import _COEF
@@ -34,11 +34,19 @@ def a08_preserved_rows(spark, folder):
 @R.add("b06_accessors", with_(CELLS, _EDGES, _CLOSED, _BOUNDARY) + """SELECT study_id, gene_id, branch_id, CASE ratio_state WHEN 'EXACT_ZERO_BOUNDARY' THEN true WHEN 'POSITIVE' THEN false END AS exact_zero, ratio_state <> 'UNAVAILABLE' AS ratio_available, positive_log IS NOT NULL AS log_available FROM boundary""")
 def b06_accessors(spark, folder):
     """Three-valued exact zero, and availability of ratio and logarithm."""
-    b = boundary_cells(spark, folder)
+    return _boundary_flags(boundary_cells(spark, folder))
+
+
+def _boundary_flags(b):
     s = F.col("ratio_state")
     return b.select("study_id", "gene_id", "branch_id", F.when(s == "EXACT_ZERO_BOUNDARY", True).when(s == "POSITIVE", False).alias("exact_zero"), (s != "UNAVAILABLE").alias("ratio_available"), F.col("positive_log").isNotNull().alias("log_available"))
 
 
+@R.add("b06_accessors_c3")
+def b06_accessors_c3(spark, folder):
+    return _boundary_flags(boundary_cells(spark, folder, fitted))
+
+
 @R.add("b08_zero_origin", with_(CELLS, _EDGES, _CLOSED) + "SELECT study_id, CASE WHEN y > 0 AND mu > 0 THEN 'positive' WHEN y = 0 AND mu > 0 THEN 'numerator_zero' END AS zero_origin, count(*) AS n FROM cells LEFT JOIN fit USING (study_id, gene_id, branch_id) GROUP BY 1, 2")
 def b08_zero_origin(spark, folder):
     from cladeframe.operators.rates import rate
@@ -46,6 +54,13 @@ def b08_zero_origin(spark, folder):
     return rate(matrix(spark, folder), closed_form(spark, folder), "GBI").groupBy("study_id", "zero_origin").agg(F.count(F.lit(1)).alias("n"))
 
 
+@R.add("b08_zero_origin_c3")
+def b08_zero_origin_c3(spark, folder):
+    from cladeframe.operators.rates import rate
+
+    return rate(matrix(spark, folder), fitted(spark, folder), "GBI").groupBy("study_id", "zero_origin").agg(F.count(F.lit(1)).alias("n"))
+
+
 @R.add("b16_quadrants", with_(CELLS, STATES) + """SELECT study_id, species, CASE WHEN state IS NULL OR share IS NULL THEN 'undefined' WHEN state >= 0.5 AND share >= 0.5 THEN 'both_high' WHEN state >= 0.5 THEN 'first_high' WHEN share >= 0.5 THEN 'second_high' ELSE 'both_low' END AS quadrant
   FROM states LEFT JOIN (SELECT study_id, branch_id, count(value)::DOUBLE / count(*) AS share FROM cells GROUP BY 1, 2) USING (study_id, branch_id)""")
 def b16_quadrants(spark, folder):
@@ -107,9 +122,9 @@ def k05_boundary_calibration(spark, folder):
     return _boundary_calibration(spark, folder).select("study_id", "gene_id", "component", "n_null", "exceedances", "p")
 
 
-def _boundary_calibration(spark, folder):
+def _boundary_calibration(spark, folder, fit=closed_form):
     m = matrix(spark, folder)
-    b = boundary_cells(spark, folder).withColumn("available", F.col("ratio_state") != "UNAVAILABLE")
+    b = boundary_cells(spark, folder, fit).withColumn("available", F.col("ratio_state") != "UNAVAILABLE")
     d = association.domain(b, traits.branch_states(m, states(spark, folder))).where("eligible")
     worlds = association.arithmetic_worlds(states(spark, folder).join(m.select("study_id", "branch_id").distinct(), ["study_id", "branch_id"], "left_semi"), _WORLDS)
     out = None
@@ -122,7 +137,12 @@ def _boundary_calibration(spark, folder):
     return out
 
 
+@R.add("k05_boundary_calibration_c3")
+def k05_boundary_calibration_c3(spark, folder):
+    return _boundary_calibration(spark, folder, kept_fit).select("study_id", "gene_id", "component", "n_null", "exceedances", "p")
+
+
 @R.add("k07_boundary_adjusted")
 def k07_boundary_adjusted(spark, folder):
-    """Adjustment within each component."""
-    return adjust(_boundary_calibration(spark, folder), "p", ["study_id", "component"], ["gene_id"]).select("study_id", "gene_id", "component", "p", "p_bh", "p_by", "n_tests")
+    """Adjustment within each component, on the fit itself."""
+    return adjust(_boundary_calibration(spark, folder, kept_fit), "p", ["study_id", "component"], ["gene_id"]).select("study_id", "gene_id", "component", "p", "p_bh", "p_by", "n_tests")

@@ -51,6 +51,33 @@ def test_joined_scaling_equals_local(spark):
     assert all(joined[k].mu == pytest.approx(local[k].mu, rel=1e-8) and joined[k].certified for k in local)
 
 
+def test_registered_rates_stand_on_the_fit(spark, monkeypatch):
+    """A table with holes, a facial zero and a component without mass, against scaling by hand."""
+    from cladeframe.plans import models
+
+    y = [[1, 200, None], [3, 4, 5], [6, 0, 8000]]
+    m = grid(spark, y).unionByName(grid(spark, [[2, 0], [None, 3]], "facial")).unionByName(grid(spark, [[0, None], [None, 3]], "empty"))
+    monkeypatch.setattr(models, "matrix", lambda *_: m)
+    a = np.array([[np.nan if v is None else v for v in row] for row in y], dtype=float)
+    mu = np.where(np.isnan(a), 0.0, 1.0)
+    for _ in range(5000):
+        mu *= (np.nansum(a, 1) / mu.sum(1))[:, None]
+        mu *= np.nansum(a, 0) / mu.sum(0)
+    queries = models.R.queries
+    got = {(r.study_id, r.gene_id, r.branch_id): r for r in queries["b03_rate_gbi_c3"](spark, "").collect()}
+    add = {(r.study_id, r.gene_id, r.branch_id): r.rate for r in queries["b03_rate_add_c3"](spark, "").collect()}
+    for i in range(3):
+        for j in range(3):
+            if y[i][j] is not None:
+                assert got["s", f"g{i}", f"b{j}"].rate == pytest.approx(y[i][j] / mu[i, j], rel=1e-4)
+                assert add["s", f"g{i}", f"b{j}"] == pytest.approx(y[i][j] - mu[i, j], rel=1e-4, abs=1e-4)
+    assert got["facial", "g0", "b1"].support == "FACIAL_BOUNDARY" and got["facial", "g0", "b1"].reason == "baseline_zero"
+    assert got["empty", "g0", "b0"].support == "ZERO_TOTAL_COMPONENT"
+    assert {r.fatal for r in queries["b02_ratio_contract_c3"](spark, "").collect()} == {0}
+    domains = {r.study_id: (r.n_common, r.n_union) for r in queries["f04_common_domain_c3"](spark, "").collect()}
+    assert domains == {"s": (7, 8), "facial": (2, 2), "empty": (1, 1)}
+
+
 def test_c2_complete_table(spark):
     y = np.array([[1.0, 2, 4], [3, 5, 9]])
     f = c2.effects(c3.domain(grid(spark, y.tolist())))
