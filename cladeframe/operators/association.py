@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.errors import AxisError
 from cladeframe.functions.stats import average_rank
+from cladeframe.operators.sets import draw_key
 
 
 def domain(rates: DataFrame, states: DataFrame, excluded: DataFrame | None = None, mismatch: str = "warn") -> DataFrame:
@@ -152,3 +153,31 @@ def arithmetic_worlds(states: DataFrame, n_worlds: int) -> DataFrame:
     giver = rows.select("study_id", F.col("i").alias("j"), "state")
     moved = moved.withColumn("j", F.pmod(F.col("i") + F.col("replicate"), F.col("m")).cast("int"))
     return moved.join(giver, ["study_id", "j"]).select("study_id", "replicate", "branch_id", "state")
+
+
+def permuted_worlds(states: DataFrame, n_worlds: int) -> DataFrame:
+    """Null worlds that give the focal labels of a study to as many branches drawn without replacement.
+
+    World r orders the branches by a portable key of (r, place), so the worlds are the same on every engine and run.
+    """
+    rows = states.where(F.col("state").isin(0.0, 1.0)).select("study_id", "branch_id", "state")
+    whole = W.partitionBy("study_id")
+    rows = rows.withColumn("place", F.row_number().over(whole.orderBy("branch_id")).cast("bigint")).withColumn("focal", F.sum("state").over(whole))
+    rows = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_worlds))))
+    k = F.row_number().over(W.partitionBy("study_id", "replicate").orderBy(draw_key(F.col("replicate").cast("bigint"), F.col("place"), 3), "place"))
+    return rows.withColumn("k", k).select("study_id", "replicate", "branch_id", F.when(F.col("k") <= F.col("focal"), 1.0).otherwise(0.0).alias("state"))
+
+
+def labellings(states: DataFrame) -> DataFrame:
+    """Per study, in how many ways its focal labels can be given to its branches."""
+    a = states.where(F.col("state").isin(0.0, 1.0)).groupBy("study_id").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("state") == 1).alias("k"))
+    steps = F.when(F.col("k") > 0, F.sequence(F.lit(1).cast("bigint"), "k")).otherwise(F.array().cast("array<bigint>"))
+    ways = F.aggregate(steps, F.lit(1.0), lambda n, i: n * (F.col("m") - F.col("k") + i) / i)
+    return a.select("study_id", F.round(ways).alias("n_labellings"))
+
+
+def mark_few(calibrated: DataFrame, ways: DataFrame, n_worlds: int) -> DataFrame:
+    """Calibrated rows of studies with no more labellings than worlds become TOO_FEW_LABELLINGS, without p: worlds repeat one another there."""
+    rows = calibrated.join(ways, "study_id", "left")
+    few = (F.col("status") == "CALIBRATED") & (F.coalesce("n_labellings", F.lit(0.0)) <= n_worlds)
+    return rows.withColumn("p", F.when(~few, F.col("p"))).withColumn("status", F.when(few, "TOO_FEW_LABELLINGS").otherwise(F.col("status"))).drop("n_labellings")

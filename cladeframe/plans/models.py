@@ -350,6 +350,40 @@ def _null_parts(spark, folder):
     return association.binary(rows), nulls
 
 
+# The queries with SQL take rotations, 40 of them; the ones named ..._permuted take permutations, as many as the reference.
+PERMUTATIONS = 200
+
+
+def _permuted_parts(spark, folder):
+    rows = assoc_cells(spark, folder)
+    m = matrix(spark, folder).select("study_id", "branch_id").distinct()
+    own = states(spark, folder).join(m, ["study_id", "branch_id"], "left_semi")
+    nulls = Workspace(spark, "k").save(association.null_scores(rows, association.permuted_worlds(own, PERMUTATIONS)), "nulls")
+    calibrated = association.mark_few(association.calibrate(association.binary(rows), nulls, PERMUTATIONS), association.labellings(own), PERMUTATIONS)
+    return nulls, calibrated
+
+
+@R.add("k02_null_scores_permuted")
+def k02_null_scores_permuted(spark, folder):
+    return _permuted_parts(spark, folder)[0]
+
+
+@R.add("k03_calibrate_permuted")
+def k03_calibrate_permuted(spark, folder):
+    return _permuted_parts(spark, folder)[1].select("study_id", "gene_id", "status", "n_null", "exceedances", "p")
+
+
+@R.add("k04_joint_maximum_permuted")
+def k04_joint_maximum_permuted(spark, folder):
+    return association.joint_maximum(*_permuted_parts(spark, folder))
+
+
+@R.add("k06_adjusted_calibration_permuted")
+def k06_adjusted_calibration_permuted(spark, folder):
+    rows = adjust(_permuted_parts(spark, folder)[1], "p", ["study_id"], ["gene_id"]).where("p IS NOT NULL")
+    return rows.select("study_id", "gene_id", "n_tests", "p_bh", "p_holm")
+
+
 @R.add("k02_null_scores", with_(CELLS, STATES, _ASSOC, _BINARY, _NULLS) + f"SELECT study_id, gene_id, replicate, {sig('round(score, 9)', 6)} AS score FROM nulls")
 def k02_null_scores(spark, folder):
     return _null_parts(spark, folder)[1].select("study_id", "gene_id", F.col("replicate").cast("bigint").alias("replicate"), digits(F.round("score", 9), 6).alias("score"))

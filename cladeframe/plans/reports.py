@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cladeframe.functions.stats import adjust
 from cladeframe.operators import association, baseline, reporting, traits
 from cladeframe.plans.matrix import digits, matrix, rates, states
-from cladeframe.plans.models import _BOUNDARY, _CLOSED, _EDGES, _NULLS, _WORLDS, boundary_cells, closed_form, fitted, kept_fit
+from cladeframe.plans.models import _BOUNDARY, _CLOSED, _EDGES, _NULLS, _WORLDS, boundary_cells, PERMUTATIONS, closed_form, fitted, kept_fit
 from cladeframe.plans.registry import Registry
 from cladeframe.plans.sql import CELLS, GBI, STATES, TRIM, sig, with_
 from cladeframe.plans.validation import _COEF
@@ -122,27 +122,32 @@ def k05_boundary_calibration(spark, folder):
     return _boundary_calibration(spark, folder).select("study_id", "gene_id", "component", "n_null", "exceedances", "p")
 
 
-def _boundary_calibration(spark, folder, fit=closed_form):
+def _boundary_calibration(spark, folder, fit=closed_form, worlds_of=association.arithmetic_worlds, n_worlds=_WORLDS):
     m = matrix(spark, folder)
     b = boundary_cells(spark, folder, fit).withColumn("available", F.col("ratio_state") != "UNAVAILABLE")
     d = association.domain(b, traits.branch_states(m, states(spark, folder))).where("eligible")
-    worlds = association.arithmetic_worlds(states(spark, folder).join(m.select("study_id", "branch_id").distinct(), ["study_id", "branch_id"], "left_semi"), _WORLDS)
+    own = states(spark, folder).join(m.select("study_id", "branch_id").distinct(), ["study_id", "branch_id"], "left_semi")
+    worlds = worlds_of(own, n_worlds)
     out = None
     zero = F.when(F.col("ratio_state") == "EXACT_ZERO_BOUNDARY", 1.0).otherwise(0.0)
     for name, value, rows in (("ZERO_MASS", zero, d), ("POSITIVE_LOG", F.col("positive_log"), d.where("ratio_state = 'POSITIVE'"))):
         part = rows.withColumn("rate", value)
-        cal = association.calibrate(association.binary(part), association.null_scores(part, worlds), _WORLDS, places=7)
+        cal = association.calibrate(association.binary(part), association.null_scores(part, worlds), n_worlds, places=7)
         cal = cal.withColumn("component", F.lit(name))
         out = cal if out is None else out.unionByName(cal)
-    return out
+    return out if worlds_of is association.arithmetic_worlds else association.mark_few(out, association.labellings(own), n_worlds)
+
+
+def _permuted_boundary(spark, folder):
+    return _boundary_calibration(spark, folder, kept_fit, association.permuted_worlds, PERMUTATIONS)
 
 
 @R.add("k05_boundary_calibration_c3")
 def k05_boundary_calibration_c3(spark, folder):
-    return _boundary_calibration(spark, folder, kept_fit).select("study_id", "gene_id", "component", "n_null", "exceedances", "p")
+    return _permuted_boundary(spark, folder).select("study_id", "gene_id", "component", "status", "n_null", "exceedances", "p")
 
 
 @R.add("k07_boundary_adjusted")
 def k07_boundary_adjusted(spark, folder):
     """Adjustment within each component, on the fit itself."""
-    return adjust(_boundary_calibration(spark, folder, kept_fit), "p", ["study_id", "component"], ["gene_id"]).select("study_id", "gene_id", "component", "p", "p_bh", "p_by", "n_tests")
+    return adjust(_permuted_boundary(spark, folder), "p", ["study_id", "component"], ["gene_id"]).select("study_id", "gene_id", "component", "p", "p_bh", "p_by", "n_tests")

@@ -61,22 +61,39 @@ def i03_model_variants(spark, folder):
     return out.groupBy("study_id", "model", "state", "screened").agg(F.count(F.lit(1)).alias("n_branches"))
 
 
+_PERMUTATIONS = 200
+
+
 @R.add("k09_permutation_worlds")
 def k09_permutation_worlds(spark, folder):
     """Worlds of relabelled terminals: reconstruct, screen, and compare the observed screen with the worlds."""
-    from cladeframe.operators.association import arithmetic_worlds
+    return permutation_worlds(_edges(spark, folder), states(spark, folder), rates(spark, folder), _PERMUTATIONS)
+
+
+def permutation_worlds(edges, s, r, n_worlds):
+    """The number of genes selected (strict prefix at 0.01) and the share of them with t < 0, against ``n_worlds`` worlds.
+
+    A world that selects nothing counts as 0, and has no share.
+    """
+    from cladeframe.operators.association import labellings, permuted_worlds
 
-    edges, s, r = _edges(spark, folder), states(spark, folder), rates(spark, folder)
-    worlds = arithmetic_worlds(s, 20).unionByName(s.where(F.col("state").isin(0.0, 1.0)).select("study_id", F.lit(0).alias("replicate"), "branch_id", "state"))
-    annotated = Workspace(spark, "k09").save(tree.parsimony_states(edges, worlds, ("replicate",)).where("screened").select("study_id", "replicate", "branch_id", "state"), "worlds")
+    work = Workspace(edges.sparkSession, "k09")
+    s = s.where(F.col("state").isin(0.0, 1.0))
+    worlds = permuted_worlds(s, n_worlds).unionByName(s.select("study_id", F.lit(0).alias("replicate"), "branch_id", "state"))
+    annotated = work.save(tree.parsimony_states(edges, worlds, ("replicate",)).where("screened").select("study_id", "replicate", "branch_id", "state"), "worlds")
     stats = baseline.group_statistics(r.where("gbi IS NOT NULL"), annotated, "gbi", ("replicate",))
-    tested = baseline.welch(stats, focal_first=True).where("t IS NOT NULL")
-    per = tested.groupBy("study_id", "replicate").agg(F.count(F.lit(1)).alias("n_tested"), F.count_if(F.col("p") < 0.05).alias("n_low"), F.avg(F.when(F.col("t") < 0, 1.0).otherwise(0.0)).alias("slow"))
+    tested = baseline.strict_prefix(baseline.welch(stats, focal_first=True), "p", ["study_id", "replicate"], ["gene_id"])
+    chosen = tested.where("selected").groupBy("study_id", "replicate").agg(F.count(F.lit(1)).alias("n_low"), F.avg(F.when(F.col("t") < 0, 1.0).otherwise(0.0)).alias("slow"))
+    every = s.select("study_id").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_worlds))))
+    per = work.save(every.join(chosen, ["study_id", "replicate"], "left").withColumn("n_low", F.coalesce("n_low", F.lit(0).cast("bigint"))), "screens")
     o = per.where("replicate = 0").select("study_id", F.col("n_low").alias("observed_low"), F.col("slow").alias("observed_slow"))
     rows = per.where("replicate > 0").join(o, "study_id")
-    return rows.groupBy("study_id").agg(
+    few = F.first("n_labellings") <= n_worlds
+    return rows.join(labellings(s), "study_id").groupBy("study_id").agg(
         F.first("observed_low").alias("observed_low"), F.median("n_low").alias("null_median"), F.min("n_low").alias("null_min"), F.max("n_low").alias("null_max"),
-        ((F.count_if(F.col("n_low") >= F.col("observed_low")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"), ((F.count_if(F.col("slow") >= F.col("observed_slow")) + 1) / (F.count(F.lit(1)) + 1)).alias("slow_p"))
+        F.when(~few, (F.count_if(F.col("n_low") >= F.col("observed_low")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"),
+        F.when(~few & F.first("observed_slow").isNotNull() & (F.count("slow") > 0), (F.count_if(F.col("slow") >= F.col("observed_slow")) + 1) / (F.count("slow") + 1)).alias("slow_p"),
+        F.count(F.lit(1)).alias("n_worlds"), F.when(few, "TOO_FEW_LABELLINGS").otherwise("CALIBRATED").alias("status"))
 
 
 @R.add("f07_terminal_frame", with_(STATES) + "SELECT study_id, branch_id, species, genus, state FROM states")

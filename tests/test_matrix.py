@@ -173,6 +173,23 @@ def test_association_and_calibration(spark):
     assert short["g0"].status == "NULL_CALIBRATION_INCOMPLETE" and short["g0"].p is None
 
 
+def test_permuted_worlds(spark):
+    rows = [(s, f"b{j:02d}", float(j < k)) for s, m, k in (("few", 6, 2), ("many", 15, 5)) for j in range(m)]
+    states = spark.createDataFrame(rows, "study_id string, branch_id string, state double")
+    got = {}
+    for r in association.permuted_worlds(states, 200).where("state = 1").collect():
+        got.setdefault((r.study_id, r.replicate), set()).add(r.branch_id)
+    # Rotations have only 15 labellings here, and give the observed one every 15 worlds.
+    many = [frozenset(got["many", i]) for i in range(1, 201)]
+    assert {len(x) for x in many} == {5} and len(set(many)) > 180
+    share = [sum(f"b{j:02d}" in x for x in many) / 200 for j in range(15)]
+    assert all(abs(x - 1 / 3) < 0.12 for x in share)
+    ways = association.labellings(states)
+    assert {r.study_id: r.n_labellings for r in ways.collect()} == {"few": 15, "many": 3003}
+    cal = spark.createDataFrame([("few", "CALIBRATED", 0.1), ("many", "CALIBRATED", 0.1)], "study_id string, status string, p double")
+    assert {r.study_id: (r.status, r.p) for r in association.mark_few(cal, ways, 200).collect()} == {"few": ("TOO_FEW_LABELLINGS", None), "many": ("CALIBRATED", 0.1)}
+
+
 def test_violations_and_empty(spark):
     bad = spark.createDataFrame([("s", "g", "b", "observed", None, None), ("s", "g", "b", "NA_fuse", 1.0, None), ("s", "h", "b", "odd", None, None), ("s", "h", "c", "observed", float("inf"), None)], SCHEMA)
     got = {r.rule for r in cells.violations(bad).collect()}
