@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cladeframe.workspace import spread
+
 
 def compare_sets(sets: DataFrame, by: list[str], name: str, member: str, first: str, second: str) -> DataFrame:
     """Sizes, intersection, union, differences and Jaccard index of two named sets; repeated members count once."""
@@ -26,7 +31,10 @@ def module_metrics(sets: DataFrame, modules: DataFrame, by: list[str], name: str
     return per.groupBy(*by).agg(F.try_divide(both, some).alias("module_jaccard"), cosine.alias("module_cosine"))
 
 
-def draw_key(draw: Column, place: Column, stream: int) -> Column:
+_BLOCK = 500
+
+
+def draw_key(draw: Column | np.ndarray, place: Column | np.ndarray, stream: int) -> Column | np.ndarray:
     """A portable pseudo-random key of (draw, place): integer arithmetic only, so that any engine gives the same."""
     x = (place * 7919 + draw * 104729 + stream * 15485863) % 1000003
     x = (x * x + place * 31 + stream) % 1000003
@@ -37,17 +45,35 @@ def turnover_draws(universe: DataFrame, sizes: DataFrame, n_draws: int) -> DataF
     """Jaccard indices of pairs of random subsets drawn without replacement.
 
     ``universe`` has ``(study_id, member)``; ``sizes`` has ``(study_id, n_first, n_second)``.  Each draw orders the
-    universe twice by a portable key and takes the first members.
+    universe twice by a portable key and takes the first members.  Only the number of members enters the draws,
+    so they are made in blocks of draws, a row each, over all tasks; no member is shuffled once per draw.
     """
-    u = universe.select("study_id", "member").distinct().withColumn("place", F.row_number().over(W.partitionBy("study_id").orderBy("member")).cast("bigint"))
-    rows = u.join(sizes, "study_id").withColumn("draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n_draws).cast("bigint"))))
-    for s, stream in (("first", 1), ("second", 2)):
-        rows = rows.withColumn(f"k_{s}", F.row_number().over(W.partitionBy("study_id", "draw").orderBy(draw_key(F.col("draw"), F.col("place"), stream), "place")))
-    a, b = F.col("k_first") <= F.col("n_first"), F.col("k_second") <= F.col("n_second")
-    out = rows.groupBy("study_id", "draw").agg(F.count_if(a & b).cast("bigint").alias("n_both"), F.count_if(a | b).cast("bigint").alias("n_union"))
+    n = universe.select("study_id", "member").distinct().groupBy("study_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = n.join(sizes, "study_id").withColumn("first", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n_draws).cast("bigint"), F.lit(_BLOCK).cast("bigint"))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for study, n, n_first, n_second, first in batch[["study_id", "n", "n_first", "n_second", "first"]].itertuples(index=False):
+                # As many draws at a time as keep the keys small.
+                step = max(1, 1_000_000 // n)
+                for start in range(first, min(first + _BLOCK, n_draws + 1), step):
+                    draws = np.arange(start, min(start + step, first + _BLOCK, n_draws + 1), dtype=np.int64)
+                    a, b = (_drawn(draws, n, k, stream) for k, stream in ((n_first, 1), (n_second, 2)))
+                    yield pd.DataFrame({"study_id": study, "draw": draws, "n_both": (a & b).sum(1), "n_union": (a | b).sum(1)})
+
+    out = spread(rows, "study_id", "first").mapInPandas(run, "study_id string, draw bigint, n_both bigint, n_union bigint")
     return out.withColumn("jaccard", F.try_divide("n_both", "n_union"))
 
 
+def _drawn(draws: np.ndarray, n: int, k: int, stream: int) -> np.ndarray:
+    """Which of the places 1..n are among the first k by key, per draw; equal keys go by place."""
+    place = np.arange(1, n + 1, dtype=np.int64)
+    order = np.argsort(draw_key(draws[:, None], place[None], stream), axis=1, kind="stable")
+    out = np.zeros((len(draws), n), bool)
+    np.put_along_axis(out, order[:, :k], True, axis=1)
+    return out
+
+
 def turnover_summary(observed: DataFrame, draws: DataFrame) -> DataFrame:
     """Null median, 95 % interval, p = (1 + draws at or above) / (1 + draws), z and enrichment of the observed Jaccard index."""
     rows = draws.join(observed.select("study_id", F.col("jaccard").alias("observed")), "study_id")

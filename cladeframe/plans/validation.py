@@ -223,7 +223,7 @@ def n03_module_metrics(spark, folder):
     return sets.module_metrics(s, modules, ["study_id"], "name", "member", "high", "low").withColumn("module_cosine", digits("module_cosine", 6))
 
 
-_DRAWS = 50
+_DRAWS = 10_000
 _KEY = lambda stream: f"(((({{0}} * {{0}} + place * 31 + {stream}) % 1000003) * (({{0}} * {{0}} + place * 31 + {stream}) % 1000003) + draw * 17 + place) % 1000003)".replace("{0}", f"((place * 7919 + draw * 104729 + {stream} * 15485863) % 1000003)")
 _TURN = f"""turn AS (SELECT study_id, draw, count(*) FILTER (WHERE k1 <= n_first AND k2 <= n_second) AS n_both, count(*) FILTER (WHERE k1 <= n_first OR k2 <= n_second) AS n_union FROM (
   SELECT *, row_number() OVER (PARTITION BY study_id, draw ORDER BY {_KEY(1)}, place) AS k1, row_number() OVER (PARTITION BY study_id, draw ORDER BY {_KEY(2)}, place) AS k2

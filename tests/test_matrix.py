@@ -269,6 +269,28 @@ def test_sets(spark):
     assert m.module_jaccard == pytest.approx(1 / 3) and m.module_cosine == pytest.approx(2 / (np.sqrt(5) * np.sqrt(5)))
 
 
+def test_turnover_draws(spark):
+    """50 draws against brute force, and as many draws in the registered query as the reference takes."""
+    from cladeframe.plans import validation as plans
+
+    universe = spark.createDataFrame([("s", f"m{j:02d}") for j in range(12)] + [("t", "a"), ("t", "a"), ("t", "b")], "study_id string, member string")
+    sizes = spark.createDataFrame([("s", 5, 4), ("t", 1, 0)], "study_id string, n_first bigint, n_second bigint")
+
+    def key(draw, place, stream):
+        x = (place * 7919 + draw * 104729 + stream * 15485863) % 1000003
+        x = (x * x + place * 31 + stream) % 1000003
+        return (x * x + draw * 17 + place) % 1000003
+
+    got = {(r.study_id, r.draw): (r.n_both, r.n_union) for r in sets.turnover_draws(universe, sizes, 50).collect()}
+    assert len(got) == 100
+    for study, n, k1, k2 in (("s", 12, 5, 4), ("t", 2, 1, 0)):
+        for d in range(1, 51):
+            a, b = ({*sorted(range(1, n + 1), key=lambda p: (key(d, p, stream), p))[:k]} for k, stream in ((k1, 1), (k2, 2)))
+            assert got[study, d] == (len(a & b), len(a | b))
+    assert plans._DRAWS == 10_000
+    assert sets.turnover_draws(universe, sizes, 10_000).count() == 20_000
+
+
 def test_tokens(spark):
     rows = spark.createDataFrame([("1.5",), ("NA_fuse",), ("NaN",), ("",), (None,), ("1e5",), ("abc",), ("1d",), (" 2 ",)], "token string")
     assert [(r.token_class, r.value) for r in cells.parse_tokens(rows).collect()] == [("finite_numeric", 1.5), ("NA_fuse", None), ("NaN", None), ("empty", None), ("empty", None), ("finite_numeric", 1e5), ("unknown", None), ("unknown", None), ("finite_numeric", 2.0)]
