@@ -255,6 +255,25 @@ def test_spam(spark):
     assert spam.spam_pages(spark.createDataFrame([], "doc_id long, text string"), Workspace(spark, "t")).count() == 0
 
 
+def test_spam_lists_without_sentences(spark):
+    """A keyword a line, lists of words that do not recur, addresses without http, tags with digits; and what looks alike but is code or output."""
+    rng = random.Random(3)
+    words = [a + b for a in ("ke", "so", "dri", "wal", "lam", "per") for b in ("ttle", "fa", "ll", "let", "pa", "fume")]
+    plain = lambda: "\n".join(f"We export the {rng.choice(words)} with the {rng.choice(words)} before the model is fitted and look at it again." for _ in range(6))
+    docs = [(i, plain()) for i in range(60)]
+    spam_docs = {
+        100: "\n".join(rng.choice(words[:8]) for _ in range(200)), 101: "\n".join(", ".join(rng.sample(words, 12)) for _ in range(10)),
+        102: "\n".join(f"shop{rng.randrange(9)}.example/deal/{i}" for i in range(60)), 103: "\n".join(" ".join(f"#{rng.choice(words)}{rng.randrange(99)}" for _ in range(8)) for _ in range(12)),
+        104: "\n".join(f"[{rng.choice(words)}](http://a{i}.example/x)" for i in range(20)), 105: ", ".join(f"#{w}_sale" for w in words),
+    }
+    other = {
+        200: "\n".join(f"colors = ['#ff00{i:02d}', '#00ff{i:02d}', '#0000{i:02d}']" for i in range(20)), 201: "stop = {" + ", ".join(f"'{w}'" for w in words) + "}", 202: "\n".join(f"frame.{w}.test()" for w in words),
+        203: "\n".join(f"import {w}\n{w}.show()" for w in words), 204: "\n".join(f"{w}  {i}  {i / 7:.3f}" for i, w in enumerate(words)), 205: "# Title\n\n" + plain() + "\n#todo #later",
+    }
+    every = spark.createDataFrame(docs + [*spam_docs.items(), *other.items()], "doc_id long, text string")
+    assert {r.doc_id for r in spam.spam_pages(every, Workspace(spark, "t")).collect()} == set(spam_docs)
+
+
 @pytest.mark.parametrize("times", [1, 10, 100])
 def test_spam_does_not_depend_on_the_size_of_the_corpus(spark, times):
     words = ["kettle", "sofa", "drill", "wallet"]
