@@ -6,7 +6,7 @@ collapsed into one such neighbour; the edges are renamed, loops and repeats
 fall away.  A quarter or more of the vertices that still have edges is expected to vanish
 per round, whatever the shape of the graph, so a hub or a component that holds
 a third of all rows needs no more rounds than a path.  When no edge is left the
-collapses are unwound from the last round back to the first.  All steps are SQL
+collapses are unwound by jumping along them.  All steps are SQL
 joins; each round's tables are written to the shared folder.
 """
 
@@ -60,21 +60,22 @@ def contract(edges: DataFrame, work: Workspace, seed: int = 17, most_rounds: int
     return _unwind(spark, rounds, work)
 
 
-def _unwind(spark: SparkSession, rounds: list[DataFrame], work: Workspace, every: int = 6) -> DataFrame:
-    """Labels of all vertices: roots of the last round are their own label, earlier rounds look theirs up."""
+def _unwind(spark: SparkSession, rounds: list[DataFrame], work: Workspace) -> DataFrame:
+    """Labels of all vertices by pointer jumping over the rounds' moves.
+
+    A vertex moved at most once, to one that lived on; so the moves are a forest
+    as deep as there are rounds at most, and every jump halves what is left:
+    log2(rounds) joins of one small plan each, written to the shared folder.
+    """
     if not rounds:
         return spark.createDataFrame([], "vertex string, component string")
-    known: DataFrame | None = None
-    for i, moves in enumerate(reversed(rounds)):
-        if known is None:
-            known = moves.select("vertex", F.col("parent").alias("component"))
-        else:
-            up = known.select(F.col("vertex").alias("v"), F.col("component").alias("c"))
-            own = moves.join(up, F.col("parent") == F.col("v"), "left")
-            own = own.select("vertex", F.coalesce("c", "parent").alias("component"))
-            known = known.unionByName(own)
-        if i % every == every - 1 and i + 1 < len(rounds):
-            known = work.save(known, f"labels-{i}")
+    known = work.save(reduce(DataFrame.unionByName, rounds).withColumnRenamed("parent", "component"), "labels-0")
+    step = 1
+    while step < len(rounds):
+        up = known.select(F.col("vertex").alias("v"), F.col("component").alias("c"))
+        known = work.save(known.join(up, F.col("component") == F.col("v"), "left").select("vertex", F.coalesce("c", "component").alias("component")), f"labels-{step}")
+        work.drop(f"labels-{step // 2}")
+        step *= 2
     roots = known.select(F.col("component").alias("vertex"), "component").distinct()
     return work.save(known.unionByName(roots), "labels")
 

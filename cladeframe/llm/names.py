@@ -1,14 +1,16 @@
 """Free-entered names to the entries of a reference list.
 
-Distinct values only are mapped, in Arrow batches, by an index that every
-worker builds once from the reference list (bounded: see ``MOST_ENTRIES``):
+Distinct values only are mapped, in Arrow batches over all tasks, by an index that every
+worker process builds once from the reference list (bounded: see ``MOST_ENTRIES``):
 
 1. A multi-pattern automaton holds the canonical names and their aliases (parts
    in reverse order, joined, genus abbreviated).  Of all mentions in the cleaned
    value the longest non-overlapping ones win, from the left.
-2. What is left goes to token-set similarity: a pair of tokens of the value, in
-   any order, is compared with genus and epithet of every entry that the
-   deletion neighbourhoods of the tokens reach.
+2. What is left goes to token-set similarity: the set of tokens of the value is
+   compared with the set (genus, epithet) of every entry that the deletion
+   neighbourhoods of the tokens reach, wherever and in whatever order these stand.
+   Tokens meet softly, by their letters: the similarity is the share of the
+   entry's letters that the two best tokens keep.
 
 A value means an entry only if that entry alone is closest; ties, a genus
 alone, and names too far from any entry mean none (-1).
@@ -19,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from urllib.parse import unquote
@@ -31,8 +34,9 @@ from cladeframe.workspace import spread
 
 #: The reference list is sent to every worker; a longer one is refused.
 MOST_ENTRIES = 200_000
-#: Longest run of words in a value that is searched for pairs; the automaton sees the whole value.
 NONE = -1
+#: The index of the last reference list, kept by each worker process between its tasks.
+_HELD: dict[str, NameIndex] = {}
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("абвеіјкмнорстухѕԁһԛԝѵαβεικνορτυχ", "abbeijkmhopctyxsdhqwvabeiknoptux")
@@ -83,6 +87,7 @@ class Words:
 
     def __init__(self, words: set[str], most: int):
         self.most, self.words = most, words
+        self.longest = max(map(len, words), default=0)
         self.by: dict[str, list[str]] = defaultdict(list)
         for w in words:
             for s in shortened(w, most):
@@ -91,7 +96,7 @@ class Words:
 
     def near(self, word: str) -> dict[str, int]:
         if word not in self.known:
-            if len(word) > 60:  # no entry has words so long; its neighbourhood would be large
+            if len(word) > self.longest + self.most:  # farther than that from every word of the list
                 return {}
             if len(self.known) > 100_000:
                 self.known.clear()
@@ -104,14 +109,14 @@ class Words:
 class NameIndex:
     """The automaton and the token index over ``(taxon_id, canonical_name)`` entries.
 
-    ``edits``: most edits in one word; ``both``: most edits in the two words
-    together; ``share``: most edits as a share of a word's letters.
+    ``edits``: most edits in one token; ``both``: most edits in the two tokens
+    together; ``share``: most edits as a share of a token's letters; ``short``: most letters of an abbreviated genus.
     """
 
-    def __init__(self, entries: list[tuple[int, str]], edits: int = 2, both: int = 3, share: float = 0.34):
+    def __init__(self, entries: list[tuple[int, str]], edits: int = 2, both: int = 3, share: float = 0.34, short: int = 4):
         import ahocorasick
 
-        self.both, self.share = both, share
+        self.both, self.share, self.short = both, share, short
         self.entry: dict[tuple[str, str], int] = {}
         patterns: dict[str, set[int]] = defaultdict(set)
         self.by_epithet: dict[str, set[str]] = defaultdict(set)
@@ -124,7 +129,7 @@ class NameIndex:
             self.by_epithet[e].add(g)
             for alias in (f" {g} {e} ", f" {e} {g} ", f" {g}{e} "):
                 patterns[alias].add(taxon)
-            for k in range(1, min(5, len(g))):
+            for k in range(1, min(short + 1, len(g))):
                 patterns[f" {g[:k]} {e} "].add(taxon)
         self.automaton = ahocorasick.Automaton()
         for alias, taxa in patterns.items():
@@ -141,38 +146,43 @@ class NameIndex:
             return []
         found = [(end - n + 1, -n, taxa) for end, (n, taxa) in self.automaton.iter(f" {text} ")]
         found.sort(key=lambda x: (x[1], x[0]))  # longest first, then leftmost
-        taken: list[tuple[int, int, tuple[int, ...]]] = []
+        covered, taken = bytearray(len(text) + 2), []
         for start, minus, taxa in found:
             end = start - minus - 1  # the blank at an end may be shared
-            if all(end <= s or start >= t for s, t, _ in taken):
-                taken.append((start, end, taxa))
-        return [taxa for _, _, taxa in sorted(taken)]
+            if covered.find(1, start, end) < 0:
+                covered[start:end] = b"\1" * (end - start)
+                taken.append((start, taxa))
+        return [taxa for _, taxa in sorted(taken)]
 
     def similar(self, words: list[str]) -> int:
-        """The entry whose genus and epithet are closest to two of the words, or -1."""
-        best, at = self.both + 1, set()
+        """The entry of greatest token-set similarity to the words, or -1 where none is near or several are equally so.
+
+        An abbreviated genus keeps all letters it has, and must stand beside the epithet.
+        """
         fits = lambda d, w: d <= max(1, int(len(w) * self.share))
+        epithets: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        genera: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, x in enumerate(words):
-            near = {e: d for e, d in self.epithets.near(x).items() if fits(d, e)}
-            if not near:
-                continue
-            for j in (i - 1, i + 1):  # the other part stands beside it
-                if not 0 <= j < len(words):
-                    continue
-                y = words[j]
-                genera = self.genera.near(y)
-                for e, d in near.items():
-                    for g in self.by_epithet[e]:
-                        if g in genera and fits(genera[g], g):
-                            total = d + genera[g]
-                        elif len(y) <= 4 and g.startswith(y):
-                            total = d
-                        else:
-                            continue
-                        if total < best:
-                            best, at = total, {self.entry[g, e]}
-                        elif total == best:
-                            at.add(self.entry[g, e])
+            for e, d in self.epithets.near(x).items():
+                if fits(d, e):
+                    epithets[e].append((d, i))
+            for g, d in self.genera.near(x).items():
+                if fits(d, g):
+                    genera[g].append((d, i))
+        best, at = (0, 0.0), set()
+        for e, ends in epithets.items():
+            for g in self.by_epithet[e]:
+                # The least in two different places: of three candidates each, some pair stands apart.
+                total = min((d + f for d, i in sorted(ends)[:3] for f, j in sorted(genera.get(g, ()))[:3] if i != j), default=self.both + 1)
+                for d, i in ends if total > 0 else ():
+                    if d < total and any(len(y) <= self.short and g.startswith(y) for y in words[max(0, i - 1) : i] + words[i + 1 : i + 2]):
+                        total = d
+                if total <= self.both:
+                    score = (self.both + 1 - total, 1 - total / (len(g) + len(e)))  # fewer edits first, then the share of letters kept
+                    if score > best:
+                        best, at = score, {self.entry[g, e]}
+                    elif score == best:
+                        at.add(self.entry[g, e])
         return at.pop() if len(at) == 1 else NONE
 
     def find(self, value: str) -> int:
@@ -190,11 +200,12 @@ class NameIndex:
         return found
 
     def _joined(self, words: list[str]) -> int | None:
-        """Both parts written as one word, perhaps misspelt: every cut of a long word is tried as two words."""
+        """Both parts written as one word, perhaps misspelt: every cut of a word of fitting length is tried as two words."""
         hits = set()
+        longest = self.genera.longest + self.epithets.longest + self.both
         for w in words:
-            if 10 <= len(w) <= 60:
-                for k in range(4, len(w) - 3):
+            if len(w) <= longest:
+                for k in range(1, len(w)):
                     if w[:k] in self.genera.words or w[k:] in self.epithets.words:
                         hit = self.similar([w[:k], w[k:]])
                         if hit != NONE:
@@ -216,13 +227,15 @@ def map_names(values: DataFrame, column: str, reference: DataFrame, id_column: s
     if len(rows) > MOST_ENTRIES:
         raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
     spark = values.sparkSession
-    held = spark.sparkContext.broadcast([(r.i, r.n) for r in rows])
+    held, name = spark.sparkContext.broadcast([(r.i, r.n) for r in rows]), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
         for batch in batches:
             if batch.num_rows:
-                index = index or NameIndex(held.value)
+                if name not in _HELD:
+                    _HELD.clear()
+                    _HELD[name] = NameIndex(held.value)
+                index = _HELD[name]
                 texts = batch.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([index.find(t) for t in texts], pa.int64())], ["value", "taxon_id"])
 

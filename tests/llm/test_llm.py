@@ -119,6 +119,7 @@ MEANT = {
     "zadops styraelna": 1, "Zadops-styraelna": 1, "Zadops&nbsp;styraelna": 1, "Zadops%20styraelna": 1, "styraelna, Zadops": 1, "Zadops​_styraelna": 1, "Zаdops_styraelna": 1, "Zadops styraëlna": 1,
     "Zadops cf. styraelna (Author, 1804)": 1, "Zadops_styraelna_voucher12": 1, "Zadpos_styraelna": 1, "Zadops stryaelna Author": 1, "Z. styraelna": 1, "ZADOPS STYRAELNA": 1, "Zadopsstyraelna": 1, "B. zesfixii": 4, "Vyl. styraelna": 5,
     "Zadops": -1, "Zadops sp.": -1, "styraelna": -1, "Zadops_unlisted": -1, "???": -1, "": -1, "x" * 100_000: -1, "Q. styraelna": -1, "Brulomys miomdrumii var. alba": 3,
+    "Zadops (coll. Author) styraelna": 1, "styraelno voucher 12 of Zadopz": 1, "Zadopsstyraelno": 1, "Zadops unlisted with many words of no name": -1, "y" * 61 + " Zadpos styraelna": 1, "": -1,
 }
 
 
@@ -131,6 +132,9 @@ def test_names(spark):
     assert free.count() == len(MEANT) + 1
     assert {r.value: r.taxon_id for r in names.map_names(free, "species", ref).collect()} == MEANT
     assert {r.taxon_id for r in names.map_names(free, "species", ref.limit(0)).collect()} == {-1}
+    many = spark.range(2000).selectExpr("concat('Zadops styraelna ', id) AS species")
+    mapped = names.map_names(many, "species", ref)
+    assert mapped.groupBy("taxon_id").count().collect()[0][:] == (1, 2000) and mapped.select(F.spark_partition_id()).distinct().count() > 1
 
 
 def _passage(rng, n):
