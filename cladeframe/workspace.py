@@ -2,8 +2,9 @@
 
 A table written there cuts lineage and outlives any executor: a lost executor
 costs its running tasks, never a finished step.  The folder is the one named by
-``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local
-folder of the process is used.
+``spark.checkpoint.dir``; only where that is unset and the session is a local
+one (tests, a laptop) a local folder of the process is used.  On a cluster without that setting
+the job is refused, since every executor would write to a disk of its own.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cladeframe.errors import ContractError
+
 _OWN: dict[str, str] = {}
+_MADE: list[Workspace] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     given = spark.sparkContext.getCheckpointDir()
     if given:
         return given.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ContractError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="cladeframe-")
         atexit.register(shutil.rmtree, _OWN["dir"], True)
@@ -38,6 +44,12 @@ class Workspace:
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex[:12]}"
+        _MADE.append(self)
+
+    def remove(self) -> None:
+        """Delete all tables of the job; results that were not read yet are lost with them."""
+        self.drop("")
+        _MADE.remove(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return a reader of the written table."""
@@ -54,11 +66,18 @@ class Workspace:
             path.getFileSystem(conf).delete(path, True)
 
 
+def clean_up() -> None:
+    """Remove the folders of all jobs of this process; to be called once their results are written or read."""
+    for work in list(_MADE):
+        work.remove()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows by key over as many tasks as the session shuffles into, for groups whose work is heavy and whose rows are few.
+    """Rows by key over somewhat more tasks than the session shuffles into, for groups whose work is heavy and whose rows are few.
 
-    Adaptive execution would put such small partitions together into one task.
+    Adaptive execution would put such small partitions together into one task; and where the rows lie by
+    the same key in as many partitions already, Spark would drop this step, hence one partition more.
     """
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) + 1
     return df.repartition(n, *keys)
