@@ -12,7 +12,7 @@ proposes, for every group and wanted rank, the median of its own values that are
 still in play; the weighted median of the proposals is the pivot; all
 partitions count three ways (below, equal, above); the two ranges that cannot
 hold the rank are discarded; and so on until the rank falls on a pivot or so few
-values are left in play (``DIRECT``) that one task can sort them.  Values of large groups never
+values are left in play (``DIRECT``, as many as one summary may hold) that sending them costs no more than another round.  Values of large groups never
 move: only proposals and counts are shuffled.  Each round discards a quarter of the
 values at least, whatever their distribution.
 """
@@ -35,8 +35,8 @@ PROBABILITIES = (0.01, 0.05, 0.5, 0.95, 0.99)
 NAMES = ("p01", "p05", "p50", "p95", "p99")
 #: Most points that a summary keeps of one group's day in one partition.
 POINTS = 4096
-#: A group with so many points in play, or fewer, is finished by sorting.
-DIRECT = 65_536
+#: A rank with so many points in play, or fewer, is finished by sorting them; the result is the same for any number, 0 too.
+DIRECT = POINTS
 #: Rows that a partition summarises at once.
 CHUNK = 1_000_000
 _EPOCH = "1970-01-01"
@@ -250,74 +250,99 @@ def _to_runs(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordB
 _VOTES = "key string, t int, less bigint, equal bigint, low_median double, low_weight bigint, low_points bigint, high_median double, high_weight bigint, high_points bigint"
 
 
-def _run_arrays(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[dict]]]:
-    values, n = _flat(batch.column("data"), np.float64)
-    weights, _ = _flat(batch.column("weight"), np.int32)
-    ends = np.cumsum(n)
-    for i, (key, asked) in enumerate(zip(batch.column("key").to_pylist(), batch.column("asked").to_pylist())):
-        yield key, values[ends[i] - n[i] : ends[i]], weights[ends[i] - n[i] : ends[i]], asked
+class _Runs:
+    """The sorted runs of a batch side by side, and what is asked of each: all searches are one search over (run, value)."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.key = batch.column("key")
+        self.values, self.n = _flat(batch.column("data"), np.float64)
+        self.weights, _ = _flat(batch.column("weight"), np.int32)
+        asked = batch.column("asked")
+        flat, times = asked.flatten(), asked.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.run = np.repeat(np.arange(batch.num_rows), times)
+        self.t = flat.field("t").to_numpy(zero_copy_only=False)
+        self.low, self.high, self.pivot = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("low", "high", "pivot"))
+        self.distinct, rank = np.unique(self.values, return_inverse=True)
+        self.place = np.repeat(np.arange(batch.num_rows), self.n) * (len(self.distinct) + 1) + rank.ravel()
+
+    def find(self, asked: np.ndarray, side: str) -> np.ndarray:
+        """Where, in ``values``, what is asked of each run stands."""
+        return np.searchsorted(self.place, self.run * (len(self.distinct) + 1) + np.searchsorted(self.distinct, asked, side), "left")
+
+    def in_play(self) -> tuple[np.ndarray, np.ndarray]:
+        a = self.find(self.low, "right")
+        return a, np.maximum(self.find(self.high, "left"), a)
+
+
+def _median(values: np.ndarray, upto: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted medians and weights of the stretches ``[a, b)`` of sorted values; ``upto`` has the weight before each place."""
+    i = np.searchsorted(upto, (upto[a] + upto[b]) // 2, "right") - 1
+    return values[np.clip(i, a, np.maximum(b - 1, a)).clip(0, max(len(values) - 1, 0))], upto[b] - upto[a]
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every run and wanted rank: counts three ways around the pivot, and medians of what lies on either side in play."""
+    """For every group and wanted rank: counts three ways around the pivot, and the median of what lies on either side in play.
+
+    The proposals of a batch's runs become one by their weighted median, so a task sends few.
+    """
     for batch in batches:
-        out: list[tuple] = []
-        for key, values, weights, asked in _run_arrays(batch):
-            total = np.concatenate([[0], np.cumsum(weights, dtype=np.int64)])
-
-            def median(a: int, b: int) -> tuple:
-                if a >= b:
-                    return None, 0, 0
-                i = int(np.searchsorted(total, (total[a] + total[b]) // 2, "right")) - 1
-                return float(values[min(max(i, a), b - 1)]), int(total[b] - total[a]), b - a
-
-            for q in asked:
-                a, b = int(np.searchsorted(values, q["low"], "right")), int(np.searchsorted(values, q["high"], "left"))
-                x = min(max(int(np.searchsorted(values, q["pivot"], "left")), a), b)
-                y = min(max(int(np.searchsorted(values, q["pivot"], "right")), a), b)
-                out.append((key, q["t"], int(total[x] - total[a]), int(total[y] - total[x]), *median(a, x), *median(y, b)))
-        if out:
-            names = [f.strip().split()[0] for f in _VOTES.split(",")]
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        if not batch.num_rows:
+            continue
+        r = _Runs(batch)
+        if not len(r.values):
+            continue
+        total = np.concatenate([[0], np.cumsum(r.weights, dtype=np.int64)])
+        a, b = r.in_play()
+        x, y = (np.clip(r.find(r.pivot, side), a, b) for side in ("left", "right"))
+        sides = [_median(r.values, total, a, x), _median(r.values, total, y, b)]
+        # One row of the batch's runs for each group and rank.
+        keys = r.key.dictionary_encode()
+        group = keys.indices.to_numpy(zero_copy_only=False).astype(np.int64)[r.run] * 1000 + r.t
+        distinct, of = np.unique(group, return_inverse=True)
+        add = lambda v: np.bincount(of, v.astype(float), len(distinct)).astype(np.int64)  # noqa: E731  exact below 2^53
+        out = [keys.dictionary.take(pa.array(distinct // 1000)), pa.array((distinct % 1000).astype(np.int32)), pa.array(add(total[x] - total[a])), pa.array(add(total[y] - total[x]))]
+        for (value, weight), points in zip(sides, (x - a, b - y)):
+            order = np.lexsort((value, of))
+            upto = np.concatenate([[0], np.cumsum(weight[order])])
+            ends = np.searchsorted(of[order], np.arange(len(distinct) + 1))
+            median, held = _median(value[order], upto, ends[:-1], ends[1:])
+            out += [pa.array(median, mask=held == 0), pa.array(held), pa.array(add(points))]
+        yield pa.RecordBatch.from_arrays(out, [f.split()[0] for f in _VOTES.split(", ")])
 
 
 def _discard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs without the values that no wanted rank of their group can be."""
     for batch in batches:
-        keys, data, weight = [], [], []
-        for key, values, weights, asked in _run_arrays(batch):
-            keep = np.zeros(len(values) + 1, np.int32)
-            for q in asked:
-                a, b = np.searchsorted(values, q["low"], "right"), np.searchsorted(values, q["high"], "left")
-                if a < b:
-                    keep[a] += 1
-                    keep[b] -= 1
-            mask = np.cumsum(keep)[:-1] > 0
-            if mask.any():
-                keys.append(key)
-                data.append(values[mask].tobytes())
-                weight.append(weights[mask].tobytes())
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(data, pa.binary()), pa.array(weight, pa.binary())], ["key", "data", "weight"])
+        if not batch.num_rows:
+            continue
+        r = _Runs(batch)
+        a, b = r.in_play()
+        keep = np.bincount(a, minlength=len(r.values) + 1) - np.bincount(b, minlength=len(r.values) + 1)
+        mask = np.cumsum(keep)[: len(r.values)] > 0
+        left = np.add.reduceat(np.append(mask, False).astype(np.int64), np.concatenate([[0], np.cumsum(r.n)[:-1]])) * (r.n > 0)
+        some = np.flatnonzero(left)
+        if len(some):
+            bounds = np.concatenate([[0], np.cumsum(left[some])])
+            yield pa.RecordBatch.from_arrays([r.key.take(pa.array(some)), _binary(r.values[mask], bounds), _binary(r.weights[mask], bounds)], ["key", "data", "weight"])
 
 
 def _in_play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The values in play of every wanted rank, as ``(key, t, data, weight)``."""
     for batch in batches:
-        out = []
-        for key, values, weights, asked in _run_arrays(batch):
-            for q in asked:
-                a, b = np.searchsorted(values, q["low"], "right"), np.searchsorted(values, q["high"], "left")
-                if a < b:
-                    out.append((key, q["t"], values[a:b].tobytes(), weights[a:b].tobytes()))
-        if out:
-            k, t, d, w = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(t, pa.int32()), pa.array(d, pa.binary()), pa.array(w, pa.binary())], ["key", "t", "data", "weight"])
+        if not batch.num_rows:
+            continue
+        r = _Runs(batch)
+        a, b = r.in_play()
+        some = np.flatnonzero(b > a)
+        if len(some):
+            n = (b - a)[some]
+            bounds = np.concatenate([[0], np.cumsum(n)])
+            at = np.repeat(a[some] - bounds[:-1], n) + np.arange(bounds[-1])
+            yield pa.RecordBatch.from_arrays([r.key.take(pa.array(r.run[some])), pa.array(r.t[some].astype(np.int32)), _binary(r.values[at], bounds), _binary(r.weights[at], bounds)], ["key", "t", "data", "weight"])
 
 
 def _weighted_median(side: str) -> Column:
-    """The proposal at which half of the weight of all proposals is reached; one proposal per run, so as many as partitions."""
+    """The proposal at which half of the weight of all proposals is reached; one proposal per batch of a task."""
     every = F.array_sort(F.collect_list(F.when(F.col(f"{side}_weight") > 0, F.struct(F.col(f"{side}_median").alias("m"), F.col(f"{side}_weight").alias("w")))))
     half = F.sum(f"{side}_weight") / 2
     start = F.struct(F.lit(0).cast("bigint").alias("w"), F.lit(None).cast("double").alias("m"))
@@ -391,8 +416,11 @@ def percentiles(summaries: DataFrame, work: Workspace, cap: int = POINTS, direct
     summaries = work.save(summaries, "summaries")
     grouped = _grouped(summaries)
     totals = grouped.groupBy("grouping", "gene", "coordinate", "key").agg(F.sum("n").alias("n"), F.sum("points").alias("points"), F.sum("rank_error").alias("rank_error"))
+    totals = work.save(totals, "totals")
     large = work.save(totals.where(F.col("points") > direct), "large")
-    small = grouped.join(large.select("key"), "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    points = totals.where(F.col("points") <= direct).agg(F.sum("points")).first()[0] or 0
+    tasks = max(work.spark.sparkContext.defaultParallelism, -(-points // CHUNK))
+    small = grouped.join(large.select("key"), "key", "left_anti").repartition(tasks, "key").sortWithinPartitions("key")
     out = small.mapInArrow(lambda b: _finish_small(b, cap), _RESULT)
     if not large.isEmpty():
         runs = work.save(grouped.join(large.select("key"), "key").mapInArrow(lambda b: _to_runs(b, cap), "key string, data binary, weight binary"), "runs-0")

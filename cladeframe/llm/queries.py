@@ -127,6 +127,13 @@ def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.percentiles(percentiles.summarise(values), Workspace(spark, "p2"))
 
 
+@R.add("p2_multi_select", _p2_sql())
+def p2_multi_select(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, with every group and rank found by multi-select to the end: none is finished by sorting."""
+    values = percentiles.finite_values(table(spark, folder, "state_ledger"))
+    return percentiles.percentiles(percentiles.summarise(values), Workspace(spark, "p2"), direct=0)
+
+
 @R.add("p2_day_summaries", """
   SELECT gene_id, coordinate_id, run_day, count(*) AS n, min(numeric_value) AS least, max(numeric_value) AS most
   FROM state_ledger WHERE numeric_available AND isfinite(numeric_value) GROUP BY 1, 2, 3""")
