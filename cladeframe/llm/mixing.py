@@ -3,7 +3,8 @@
 The total is the largest at which no source needs its records more often than
 allowed.  It is cut into equal blocks of tokens, and Sainte-Lague apportionment
 (highest quotients: a source with s blocks has the quotient weight / (2 s + 1))
-gives every source an integer number of blocks, then every shard of a source.  A
+gives every source an integer number of blocks, then every bunch of a source's shards, then every
+shard of a bunch; only the sources, a row each, are apportioned on the driver.  A
 shard is a seeded part of a source of bounded size; its records stand in seeded order,
 and the first blocks of that order are taken, after as many whole passes as the quota holds.
 """
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -28,7 +30,7 @@ from cladeframe.workspace import Workspace
 
 @dataclass(frozen=True)
 class MixSpec:
-    """``block`` tokens per block (less where the total has under ``least_blocks`` of them), shards of about ``shard`` tokens and at most ``most_shards`` a source.
+    """``block`` tokens per block (less where the total has under ``least_blocks`` of them), shards of about ``shard`` tokens, ``bunch`` shards apportioned together.
 
     ``total`` asks for a total number of tokens; the largest possible one is taken if it is null or more.
     ``most_sources`` bounds the table of targets, which the driver reads.
@@ -38,7 +40,7 @@ class MixSpec:
     block: int = 2048
     least_blocks: int = 10_000
     shard: int = 4_000_000
-    most_shards: int = 2048
+    bunch: int = 1024
     most_sources: int = 10_000
     total: int | None = None
     seed: int = 29
@@ -100,6 +102,31 @@ def token_counts(documents: DataFrame, targets: DataFrame, spec: MixSpec = MixSp
     return rows.mapInArrow(run, "doc_id bigint, source string, n_tokens bigint")
 
 
+_GIVEN = "source string, bunch bigint, blocks bigint"
+_TAKEN = "source string, shard bigint, tokens bigint, blocks bigint, max_repeats int"
+
+
+def _apportion(groups: pd.DataFrame, out: list[str]) -> pd.DataFrame:
+    """The blocks of one group, ``given``, to its parts by their tokens; no part gets more than it can fill."""
+    groups = groups.sort_values(out[1])
+    got = sainte_lague(groups.tokens.tolist(), int(groups.given.iloc[0]), groups.limit.tolist())
+    return groups.assign(blocks=got)[out]
+
+
+def shard_quotas(rows: DataFrame, blocks: DataFrame, block: int, spec: MixSpec) -> DataFrame:
+    """``(source, shard, tokens, blocks, max_repeats)``: a source's blocks to its bunches of shards, a bunch's to its shards.
+
+    ``rows`` has ``(source, shard, n_tokens)``, ``blocks`` ``(source, given, max_repeats)``.  A task holds the bunches of one
+    source or the shards of one bunch, never records.
+    """
+    per = rows.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")).join(blocks, "source")
+    per = per.withColumn("limit", F.floor(F.col("tokens") * F.col("max_repeats") / block).cast("bigint")).withColumn("bunch", F.floor(F.col("shard") / spec.bunch).cast("bigint"))
+    bunches = per.groupBy("source", "bunch").agg(F.sum("tokens").alias("tokens"), F.sum("limit").alias("limit"), F.first("given").alias("given"))
+    bunches = bunches.groupBy("source").applyInPandas(lambda g: _apportion(g, ["source", "bunch", "blocks"]), _GIVEN)
+    shards = per.drop("given").join(bunches.withColumnRenamed("blocks", "given"), ["source", "bunch"])
+    return shards.groupBy("source", "bunch").applyInPandas(lambda g: _apportion(g, ["source", "shard", "tokens", "blocks", "max_repeats"]), _TAKEN)
+
+
 def mix(counts: DataFrame, targets: DataFrame, work: Workspace, spec: MixSpec = MixSpec()) -> tuple[DataFrame, DataFrame]:
     """The records used, ``(doc_id, source, n_tokens, uses)``, and the quotas, ``(source, available_tokens, quota_tokens)``.
 
@@ -125,19 +152,13 @@ def mix(counts: DataFrame, targets: DataFrame, work: Workspace, spec: MixSpec =
     blocks = sainte_lague([goal[s][0] for s in names], total // block, [have[s] * goal[s][1] // block for s in names])
     quota = dict(zip(names, blocks))
 
-    shards = {s: max(1, min(spec.most_shards, -(-have[s] // spec.shard))) for s in names}
-    split = spark.createDataFrame(list(shards.items()), "s string, n_shards int")  # one row per target
-    rows = counts.where("n_tokens > 0").join(F.broadcast(split), F.col("source") == F.col("s")).drop("s")
+    each = [(s, quota[s], goal[s][1], max(1, -(-have[s] // spec.shard))) for s in names]
+    given = spark.createDataFrame(each, "source string, given bigint, max_repeats int, n_shards bigint")  # one row per target
+    rows = counts.where("n_tokens > 0").join(F.broadcast(given.select("source", "n_shards")), "source")
     rows = rows.withColumn("order", F.xxhash64("doc_id", F.lit(spec.seed)))
-    rows = work.save(rows.withColumn("shard", F.pmod(F.col("order"), F.col("n_shards")).cast("int")).drop("n_shards"), "sharded")
-    per = rows.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")).collect()  # bounded: most_shards rows per target
-    quotas = []
-    for s in names:
-        own = sorted((r.shard, r.tokens) for r in per if r.source == s)
-        got = sainte_lague([t for _, t in own], quota[s], [t * goal[s][1] // block for _, t in own])
-        quotas += [(s, k, t, q * block, goal[s][1]) for (k, t), q in zip(own, got)]
-    taken = spark.createDataFrame(quotas, "q_source string, q_shard int, tokens bigint, quota bigint, max_repeats int")
-    rows = rows.join(F.broadcast(taken), (F.col("source") == F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
+    rows = work.save(rows.withColumn("shard", F.pmod(F.col("order"), F.col("n_shards"))).drop("n_shards"), "sharded")
+    taken = work.save(shard_quotas(rows, given.drop("n_shards"), block, spec), "quotas")
+    rows = rows.join(taken.withColumn("quota", F.col("blocks") * block).drop("blocks"), ["source", "shard"])
     passes = F.least(F.floor(F.col("quota") / F.col("tokens")).cast("int"), F.col("max_repeats"))
     rows = rows.withColumn("passes", passes).withColumn("left", F.when(F.col("passes") < F.col("max_repeats"), F.col("quota") - F.col("passes") * F.col("tokens")).otherwise(0))
     rows = rows.withColumn("extra", F.lit(0))

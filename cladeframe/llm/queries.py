@@ -144,8 +144,9 @@ def p2_day_summaries(spark: SparkSession, folder: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     work, targets = Workspace(spark, "p7"), table(spark, folder, "mix_targets")
-    counts = work.save(mixing.token_counts(table(spark, folder, "documents"), targets), "counts")
-    return *mixing.mix(counts, targets, work), targets
+    spec = mixing.MixSpec(vocabulary=spark.conf.get("spark.cladeframe.vocabulary", mixing.DEFAULT))
+    counts = work.save(mixing.token_counts(table(spark, folder, "documents"), targets, spec), "counts")
+    return *mixing.mix(counts, targets, work, spec), targets
 
 
 @R.add("p7_records")

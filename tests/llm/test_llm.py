@@ -172,20 +172,46 @@ def test_leaks(spark):
 def test_edit_distance():
     rng = np.random.default_rng(0)
     index = leaks.WindowIndex([(1, " ".join(f"a{i}" for i in range(30)))], leaks.LeakSpec(width=8, edits=2))
-    a, b = rng.integers(0, 3, (400, 8)), rng.integers(0, 3, (400, 8))
+    a, b = rng.integers(0, 3, (400, 10)), rng.integers(0, 3, (400, 8))
 
     def plain(x, y):
-        row = list(range(len(y) + 1))
-        for i, p in enumerate(x, 1):
+        """Of ``y`` against every start of ``x``, the least."""
+        row = list(range(len(x) + 1))
+        for i, p in enumerate(y, 1):
             new = [i]
-            for j, q in enumerate(y, 1):
+            for j, q in enumerate(x, 1):
                 new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != q)))
             row = new
-        return min(row[-1], 3)
+        return min(*row, 3)
 
     assert index.distance(a, b).tolist() == [plain(x, y) for x, y in zip(a, b)]
 
 
+EDITS = {"replace": (1, 0, 0), "two replaced": (2, 0, 0), "left out": (0, 1, 0), "two left out": (0, 2, 0), "inserted": (0, 0, 1), "two inserted": (0, 0, 2), "left out and inserted": (0, 1, 1), "replaced and left out": (1, 1, 0)}
+
+
+@pytest.mark.parametrize("kind", EDITS)
+def test_recall_of_edited_passages(kind):
+    """Items of exactly one window, edited in the middle of other words and at the end of a text: at least nine in ten are found, none falsely."""
+    rng, n = random.Random(13), 400
+    items = [(i, _passage(rng, 20)) for i in range(n)]
+    texts = []
+    for i, p in items:
+        p = list(p)
+        replaced, left_out, inserted = EDITS[kind]
+        for _ in range(left_out):
+            p.pop(rng.randrange(len(p)))
+        for at in rng.sample(range(len(p)), replaced):
+            p[at] = "changed"
+        for _ in range(inserted):
+            p.insert(rng.randrange(1, len(p)), "added")
+        texts.append(" ".join(_passage(rng, rng.randrange(30)) + p + _passage(rng, rng.choice([0, 0, 25]))))
+    index = leaks.WindowIndex([(i, " ".join(p)) for i, p in items], leaks.LeakSpec())
+    doc, item, edits = index.hits(texts)
+    assert (doc == item).all() and (edits <= sum(EDITS[kind])).all()
+    assert len(set(doc.tolist())) >= 0.9 * n, len(set(doc.tolist())) / n
+
+
 def test_words():
     import re
 
@@ -241,6 +267,11 @@ def test_mixing(spark):
     assert all(abs(got[s].reached_share - w) < 0.01 for s, w in (("a", 0.3), ("b", 0.5), ("c", 0.2))) and got["absent"].used_tokens == 0
     again, _ = mixing.mix(counts, targets, Workspace(spark, "t"))
     assert sorted(again.collect()) == sorted(rows)
+    # Many shards in many bunches: the quotas of a source still add up, and the shares hold.
+    used, quotas = mixing.mix(counts, targets, Workspace(spark, "t"), mixing.MixSpec(shard=300, bunch=4, block=20))
+    many = {r.source: r for r in mixing.shares(used, quotas, targets).collect()}
+    assert all(abs(many[s].reached_share - w) < 0.02 for s, w in (("a", 0.3), ("b", 0.5), ("c", 0.2)))
+    assert all(1 <= r.uses <= limit[r.source] for r in used.collect())
     none, _ = mixing.mix(counts.limit(0), targets, Workspace(spark, "t"))
     assert none.count() == 0
 
