@@ -43,12 +43,42 @@ def test_boundaries(spark):
     assert c3.fit(c3.domain(grid(spark, [[None]])), Workspace(spark, "t")).count() == 0
 
 
-def test_joined_scaling_equals_local(spark):
+def test_joined_way_equals_local(spark):
+    """Both ways give the same states, dual coefficients and values, with facial edges, empty components and margins of 0."""
     rng = np.random.default_rng(3)
     rows = [[float(x) for x in r] for r in rng.integers(1, 9, (4, 5))]
     rows[0][1] = None
-    local, joined = fitted(spark, rows), fitted(spark, rows, local_edges=3)
-    assert all(joined[k].mu == pytest.approx(local[k].mu, rel=1e-8) and joined[k].certified for k in local)
+    four, chain = [[1, 0], [None, 1]], [[2, 0, None, None], [None, 3, 0, None], [None, None, 5, 0], [None, None, None, 7]]
+    mixed = [[0, None, None], [None, 3, 0], [None, 0, 0]]
+    cycle = [[2, 0, None], [None, 3, 0], [0, None, 4]]
+    every = grid(spark, rows, "a")
+    for name, r in (("b", four), ("c", chain), ("d", mixed), ("e", cycle), ("f", [[0, 0]])):
+        every = every.unionByName(grid(spark, r, name))
+    edges = c3.domain(every)
+    key = lambda f: {(r.study_id, r.gene_id, r.branch_id): r for r in f.collect()}
+    local, joined = key(c3.fit(edges, Workspace(spark, "t"), c3.C3Control(replay=True))), key(c3.fit(edges, Workspace(spark, "t"), local_edges=0))
+    assert set(local) == set(joined) and len(local) > 30
+    for k, r in local.items():
+        o = joined[k]
+        assert (r.support_state, r.dual, r.certified) == (o.support_state, o.dual, o.certified) and o.mu == pytest.approx(r.mu, rel=1e-8)
+    assert {k[0]: v.support_state for k, v in local.items() if v.dual} == {"b": "FACIAL_BOUNDARY", "c": "FACIAL_BOUNDARY"}
+    assert all(v.support_state == "FINITE_INTERIOR" for k, v in local.items() if k[0] == "e") and [v.support_state for k, v in local.items() if k[0] == "f"] == ["ZERO_TOTAL_COMPONENT"] * 2
+    # A component above the ceiling fails closed, in both ways.
+    small = c3.C3Control(certificate_max_edges=3)
+    for way in (c3.LOCAL_EDGES, 0):
+        got = key(c3.fit(edges, Workspace(spark, "t"), small, local_edges=way))
+        assert {k[0]: r.certified for k, r in got.items()} == {"a": False, "b": True, "c": False, "d": True, "e": False, "f": True} and all((r.mu is None) == (not r.certified) for r in got.values())
+    told = {r.study_id: r for r in c3.certificates(c3.fit(edges, Workspace(spark, "t"))).collect()}
+    assert told["b"].state == "FACIAL_BOUNDARY" and told["a"].state == "FINITE_INTERIOR" and told["f"].state == "ZERO_TOTAL_COMPONENT"
+    assert all(r.negative_terms + r.positive_y_with_zero_mu + r.interior_without_mu + r.mu_off_face + r.dual_not_positive + r.dual_on_face == 0 for r in told.values())
+    assert all(r["pass"] and r.nonnegative for r in c3.component_margins(edges, Workspace(spark, "t")).collect())
+
+
+def test_sweeps_that_do_not_end_release_nothing(spark):
+    edges = c3.domain(grid(spark, [[1e-9, 1, None], [1, 1, 5], [None, 1e9, 3]]))
+    for way in (c3.LOCAL_EDGES, 0):
+        got = c3.fit(edges, Workspace(spark, "t"), c3.C3Control(most_sweeps=2), local_edges=way).collect()
+        assert all(not r.certified and r.mu is None and r.support_state == "FINITE_INTERIOR" and r.sweeps == 2 for r in got)
 
 
 def test_registered_rates_stand_on_the_fit(spark, monkeypatch):
