@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cladeframe.errors import AxisError
+from cladeframe.errors import AxisError, ContractError
 from cladeframe.functions.stats import average_rank
 from cladeframe.operators.sets import draw_key
 
@@ -32,6 +34,23 @@ def domain(rates: DataFrame, states: DataFrame, excluded: DataFrame | None = Non
     return rows.drop("__out") if excluded is not None else rows
 
 
+def common(domains: list[DataFrame]) -> DataFrame:
+    """``(study_id, gene_id, branch_id, eligible)`` over two or more association domains of the same cells: eligible where all are.
+
+    Domains whose cells differ are refused, since counts would not be of one domain.
+    """
+    if len(domains) < 2:
+        raise ContractError("a common domain takes two or more domains")
+    key = ["study_id", "gene_id", "branch_id"]
+    every = domains[0].select(*key, F.col("eligible"), F.lit(0).alias("__d"))
+    for i, d in enumerate(domains[1:], 1):
+        every = every.unionByName(d.select(*key, "eligible", F.lit(i).alias("__d")))
+    rows = every.groupBy(*key).agg(F.every("eligible").alias("eligible"), F.count_distinct("__d").alias("n"))
+    if rows.where(F.col("n") < len(domains)).limit(1).count():
+        raise AxisError("the domains have different cells")
+    return rows.drop("n")
+
+
 def domain_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("study_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -97,43 +116,148 @@ def boundary(cells: DataFrame) -> DataFrame:
     return mass.unionByName(logs)
 
 
-def null_scores(cells: DataFrame, worlds: DataFrame, value: str = "rate") -> DataFrame:
-    """The binary statistic of every gene in every null world: ``worlds`` has ``(study_id, replicate, branch_id, state)``.
+STATISTICS = {"binary": ("beta", "point_biserial_r"), "continuous": ("beta", "pearson_r", "spearman_rho")}
+_SCORES = "study_id string, gene_id string, replicate bigint, score double, missing bigint"
+#: Cells and scores of one block of a study's genes, about.
+_BLOCK = 400_000
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Average ranks down the columns."""
+    order = np.argsort(x, axis=0, kind="stable")
+    ranked = np.take_along_axis(x, order, 0)
+    new = np.ones(x.shape, bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    group = np.cumsum(new, axis=0) - 1
+    out = np.empty(x.shape)
+    for j in range(x.shape[1]):
+        first = np.flatnonzero(new[:, j])
+        out[order[:, j], j] = (first + (np.diff(np.append(first, len(x))) - 1) / 2 + 1)[group[:, j]]
+    return out
+
+
+def _scores(values: np.ndarray, has: np.ndarray, worlds: np.ndarray, statistic: str, kind: str) -> np.ndarray:
+    """Statistics (genes x worlds) of values (genes x branches; 0 where ``has`` is not) against worlds (branches x worlds); NaN where not estimable."""
+    m = has.astype(float)
+    n, y, yy = m.sum(1)[:, None], values.sum(1)[:, None], (values * values).sum(1)[:, None]
+    with np.errstate(all="ignore"):
+        if kind == "binary":
+            n1, y1 = m @ worlds, values @ worlds
+            score = y1 / n1 - (y - y1) / (n - n1)
+            if statistic == "point_biserial_r":
+                score = score * np.sqrt(n1 * (n - n1)) / np.sqrt(n * np.maximum(yy - y * y / n, 0))
+            return np.where((n1 > 0) & (n1 < n), score, np.nan)
+        if statistic == "spearman_rho":
+            out = np.full((len(values), worlds.shape[1]), np.nan)
+            for i in range(len(values)):
+                if has[i].sum() >= 2:
+                    x, v = _ranks(worlds[has[i]]), _ranks(values[i, has[i]][:, None])
+                    x, v = x - x.mean(0), v - v.mean(0)
+                    out[i] = (x * v).sum(0) / np.sqrt((x * x).sum(0) * (v * v).sum(0))
+        else:
+            x, xx, xy = m @ worlds, m @ (worlds * worlds), values @ worlds
+            cxy, vx, vy = xy - x * y / n, xx - x * x / n, yy - y * y / n
+            vx = np.where(vx > 1e-12 * np.maximum(xx, 1e-300), vx, 0)
+            out = cxy / vx if statistic == "beta" else cxy / np.sqrt(vx * vy)
+        return np.where(np.isfinite(out), out, np.nan)
+
+
+def null_scores(cells: DataFrame, worlds: DataFrame, value: str = "rate", statistic: str = "beta", kind: str = "binary") -> DataFrame:
+    """The statistic of every gene in every null world: ``worlds`` has ``(study_id, replicate, branch_id, state)``.
 
     The domain is frozen: a world that lacks a state for one of a gene's eligible
-    branches is counted in ``missing``.  Totals of the gene come from one aggregation;
-    a world needs only the sum over its focal branches.
+    branches is counted in ``missing`` and has no score.  A study's genes are worked on in blocks, each a product of
+    a matrix of values with the matrix of worlds; cells are shuffled once, not once per world, and a study of
+    many cells has many blocks.
     """
-    rows = cells.where("eligible").select("study_id", "gene_id", "branch_id", F.col(value).alias("__v"))
-    per = rows.join(worlds.select("study_id", "branch_id", "replicate", F.col("state").alias("__w")), ["study_id", "branch_id"])
-    focal = F.col("__w") == 1
-    a = per.groupBy("study_id", "gene_id", "replicate").agg(F.count("__w").alias("seen"), F.count_if(focal).alias("n1"), F.sum(F.when(focal, F.col("__v")).otherwise(0.0)).alias("s1"))
-    total = rows.groupBy("study_id", "gene_id").agg(F.count(F.lit(1)).alias("n"), F.sum("__v").alias("s"))
-    a = a.join(total, ["study_id", "gene_id"])
-    good = (F.col("n1") > 0) & (F.col("n1") < F.col("n")) & (F.col("seen") == F.col("n"))
-    score = F.when(good, F.try_divide(F.col("s1"), F.col("n1")) - F.try_divide(F.col("s") - F.col("s1"), F.col("n") - F.col("n1")))
-    return a.select("study_id", "gene_id", "replicate", score.alias("score"), (F.col("n") - F.col("seen")).alias("missing"))
-
-
-def calibrate(observed: DataFrame, nulls: DataFrame, n_worlds: int, alternative: str = "two_sided", places: int = 9) -> DataFrame:
+    if statistic not in STATISTICS.get(kind, ()):
+        raise ContractError(f"{statistic} is not defined for {kind} states")
+    rows = cells.where("eligible").select("study_id", "gene_id", "branch_id", F.col(value).cast("double").alias("__v"))
+    given = worlds.groupBy("study_id").agg(F.count_distinct("replicate").alias("r"))
+    size = rows.groupBy("study_id", "gene_id").agg(F.count(F.lit(1)).alias("n")).groupBy("study_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("g")).join(given, "study_id")
+    size = size.select("study_id", F.ceil((F.col("n") + F.col("g") * F.col("r")) / _BLOCK).cast("int").alias("__blocks"))
+    left = rows.join(size, "study_id").withColumn("__block", F.pmod(F.xxhash64("gene_id"), F.col("__blocks")).cast("int"))
+    table = worlds.groupBy("study_id", "branch_id").agg(F.collect_list(F.struct(F.col("replicate").cast("bigint").alias("r"), F.col("state").cast("double").alias("s"))).alias("__w"))
+    right = table.join(size, "study_id").withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).select("study_id", "__block", "branch_id", "__w")
+
+    def run(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(given):
+            return pd.DataFrame(columns=["study_id", "gene_id", "replicate", "score", "missing"])
+        genes, g = np.unique(own.gene_id.to_numpy(str), return_inverse=True)
+        branches, b = np.unique(np.concatenate([own.branch_id.to_numpy(str), given.branch_id.to_numpy(str)]), return_inverse=True)
+        b, wb = b[: len(own)], b[len(own) :]
+        replicates = np.unique([x["r"] for w in given["__w"] for x in w])
+        w = np.full((len(branches), len(replicates)), np.nan)
+        for i, row in zip(wb, given["__w"]):
+            w[i, np.searchsorted(replicates, [x["r"] for x in row])] = [np.nan if x["s"] is None else x["s"] for x in row]
+        values, has = np.zeros((len(genes), len(branches))), np.zeros((len(genes), len(branches)), bool)
+        values[g, b], has[g, b] = own["__v"].to_numpy(float), True
+        lacks = has.astype(float) @ np.isnan(w)
+        score = np.where(lacks > 0, np.nan, _scores(values, has, np.nan_to_num(w), statistic, kind))
+        k = len(replicates)
+        return pd.DataFrame({"study_id": own.study_id.iloc[0], "gene_id": np.repeat(genes, k), "replicate": np.tile(replicates, len(genes)), "score": score.ravel(), "missing": lacks.ravel().astype(np.int64)})
+
+    out = left.drop("__blocks").groupBy("study_id", "__block").cogroup(right.groupBy("study_id", "__block")).applyInPandas(run, _SCORES)
+    return out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+
+
+#: Scores that differ by less, relative to the observed one (or to 1), are ties: sums are not associative.
+TIE = 1e-10
+
+
+def calibrate(observed: DataFrame, nulls: DataFrame, n_worlds: int, alternative: str = "two_sided", statistic: str = "difference", nonestimable: str = "OBSERVED_ASSOCIATION_NONESTIMABLE") -> DataFrame:
     """p = (1 + exceedances) / (1 + worlds) with inclusive ties, its resolution and Monte Carlo error.
 
-    Scores are rounded before they are compared, so that equal scores tie however
-    they were summed.  A gene with any world missing or not estimable is not calibrated.
+    A gene with any world missing or not estimable is not calibrated: no exceedances, no p.  ``reason`` says why.
     """
-    o = observed.select("study_id", "gene_id", "status", F.round("difference", places).alias("__o"))
-    rows = o.join(nulls, ["study_id", "gene_id"], "left").withColumn("__s", F.round("score", places))
-    if alternative == "two_sided":
-        hit = F.abs("__s") >= F.abs("__o")
-    else:
-        hit = F.col("__s") >= F.col("__o") if alternative == "greater" else F.col("__s") <= F.col("__o")
+    if alternative not in ("two_sided", "greater", "less"):
+        raise ContractError(f"unknown alternative {alternative}")
+    o = observed.select("study_id", "gene_id", F.col("status").alias("observed_status"), F.col(statistic).alias("observed"))
+    score, own = F.col("score"), F.col("observed")
+    slack = TIE * F.greatest(F.lit(1.0), F.abs(own))
+    hit = {"two_sided": F.abs(score) >= F.abs(own) - slack, "greater": score >= own - slack, "less": score <= own + slack}[alternative]
+    rows = o.join(nulls, ["study_id", "gene_id"], "left")
     a = rows.groupBy("study_id", "gene_id").agg(
-        F.first("status").alias("observed_status"), F.first("__o").alias("observed"), F.count("score").cast("bigint").alias("n_null"), F.sum(F.coalesce("missing", F.lit(0))).alias("missing"), F.count_if(hit).cast("bigint").alias("exceedances")
+        F.first("observed_status").alias("observed_status"), F.first("observed").alias("observed"), F.count("score").cast("bigint").alias("n_null"),
+        F.sum(F.coalesce("missing", F.lit(0))).alias("missing"), F.count_if(hit).cast("bigint").alias("hits"),
     )
-    status = F.when(F.col("observed_status") != "ESTIMABLE", "OBSERVED_NONESTIMABLE").when(F.col("missing") > 0, "NULL_DOMAIN_MISMATCH").when(F.col("n_null") < n_worlds, "NULL_CALIBRATION_INCOMPLETE").otherwise("CALIBRATED")
-    a = a.withColumn("status", status)
-    p = F.when(F.col("status") == "CALIBRATED", (F.col("exceedances") + 1) / F.lit(n_worlds + 1.0))
-    return a.select("study_id", "gene_id", "status", "observed", "n_null", "exceedances", p.alias("p"), F.lit(1.0 / (n_worlds + 1)).alias("resolution"), F.sqrt(p * (1 - p) / (n_worlds + 1)).alias("mcse"))
+    finite = F.coalesce(F.abs("observed") < float("inf"), F.lit(False))
+    status = (
+        F.when(F.col("observed_status") != "ESTIMABLE", nonestimable).when(~finite, "NUMERICALLY_INDETERMINATE").when(F.col("missing") > 0, "NULL_DOMAIN_MISMATCH")
+        .when(F.col("n_null") < n_worlds, "NULL_CALIBRATION_INCOMPLETE").otherwise("CALIBRATED")
+    )
+    a = a.withColumn("status", status).withColumn("reason", (
+        F.when(F.col("status") == nonestimable, F.col("observed_status")).when(F.col("status") == "NUMERICALLY_INDETERMINATE", "selected_observed_statistic_is_nonfinite")
+        .when(F.col("status") == "NULL_DOMAIN_MISMATCH", "null_availability_does_not_cover_gene_frozen_association_domain")
+        .when(F.col("status") == "NULL_CALIBRATION_INCOMPLETE", F.concat(F.lit("NULL_REPLICATE_NONESTIMABLE_count_"), (F.lit(n_worlds) - F.col("n_null")).cast("string")))
+        .otherwise("empirical_null_calibration_complete")))
+    done = F.col("status") == "CALIBRATED"
+    p = F.when(done, (F.col("hits") + 1) / F.lit(n_worlds + 1.0))
+    return a.select("study_id", "gene_id", "status", "reason", "observed", "n_null", F.when(done, F.col("hits")).alias("exceedances"), p.alias("p"), F.when(done, F.lit(1.0 / (n_worlds + 1))).alias("resolution"), F.sqrt(p * (1 - p) / (n_worlds + 1)).alias("mcse"))
+
+
+def replicate_status(nulls: DataFrame, calibrated: DataFrame) -> DataFrame:
+    """Per study and world: genes whose calibration was open (calibrated or incomplete) and that the world leaves without a score."""
+    active = calibrated.where(F.col("status").isin("CALIBRATED", "NULL_CALIBRATION_INCOMPLETE")).select("study_id", "gene_id")
+    n = nulls.join(active, ["study_id", "gene_id"], "left_semi").groupBy("study_id", "replicate").agg(F.count_if(F.col("score").isNull()).cast("bigint").alias("nonestimable_gene_count"))
+    return n.withColumn("status", F.when(F.col("nonestimable_gene_count") == 0, "ESTIMABLE_FOR_ALL_ACTIVE_GENES").otherwise("NULL_REPLICATE_NONESTIMABLE"))
+
+
+def calibrate_boundary(cells: DataFrame, nulls: dict[str, DataFrame], ways: DataFrame | None, n_worlds: int) -> DataFrame:
+    """Both components of the boundary association (zero mass, mean log ratio of positives) against each named null; no joint p is formed.
+
+    ``cells`` are eligible boundary cells with their state; the worlds of one null serve both components.
+    """
+    zero = F.when(F.col("ratio_state") == "EXACT_ZERO_BOUNDARY", 1.0).otherwise(0.0)
+    out = None
+    for name, value, rows in (("ZERO_MASS", zero, cells), ("POSITIVE_LOG", F.col("positive_log"), cells.where("ratio_state = 'POSITIVE'"))):
+        part = rows.withColumn("rate", value)
+        observed = binary(part)
+        for family, worlds in nulls.items():
+            done = calibrate(observed, null_scores(part, worlds), n_worlds, nonestimable="OBSERVED_DIAGNOSTIC_NONESTIMABLE")
+            done = done.withColumn("component", F.lit(name)).withColumn("null_family", F.lit(family))
+            out = done if out is None else out.unionByName(done)
+    return out if ways is None else mark_few(out, ways, n_worlds)
 
 
 def joint_maximum(nulls: DataFrame, calibrated: DataFrame) -> DataFrame:
@@ -142,29 +266,57 @@ def joint_maximum(nulls: DataFrame, calibrated: DataFrame) -> DataFrame:
     return nulls.join(genes, ["study_id", "gene_id"], "left_semi").groupBy("study_id", "replicate").agg(F.max(F.abs("score")).alias("max_abs"), F.count("score").alias("n_genes"))
 
 
-def arithmetic_worlds(states: DataFrame, n_worlds: int) -> DataFrame:
-    """Null worlds that relabel a study's branches by rotation: world r gives a branch the state of the branch r places on.
+def worlds_as_arrays(worlds: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """``(study_id, branch_id, states)`` of ``(study_id, replicate, branch_id, state)``, in the order of the replicates; ``first`` puts the observed states before them."""
+    rows = worlds.select("study_id", "branch_id", F.struct(F.col("replicate").cast("bigint").alias("r"), "state").alias("x"))
+    if first is not None:
+        rows = rows.unionByName(first.select("study_id", "branch_id", F.struct(F.lit(-(2**62)).cast("bigint").alias("r"), "state").alias("x")))
+    return rows.groupBy("study_id", "branch_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["state"]).alias("states"))
 
-    Keeps the number of focal branches; a plain, seedless stand-in for a random permutation.
-    """
-    order = W.partitionBy("study_id").orderBy("branch_id")
-    rows = states.where(F.col("state").isin(0.0, 1.0)).select("study_id", "branch_id", "state", (F.row_number().over(order) - 1).alias("i"), F.count(F.lit(1)).over(W.partitionBy("study_id")).alias("m"))
-    moved = rows.select("study_id", "branch_id", "i", "m", F.explode(F.sequence(F.lit(1), F.lit(n_worlds))).alias("replicate"))
-    giver = rows.select("study_id", F.col("i").alias("j"), "state")
-    moved = moved.withColumn("j", F.pmod(F.col("i") + F.col("replicate"), F.col("m")).cast("int"))
-    return moved.join(giver, ["study_id", "j"]).select("study_id", "replicate", "branch_id", "state")
 
+_SUMS = "study_id string, gene_id string, replicate int, n0 bigint, s0 double, q0 double, n1 bigint, s1 double, q1 double"
 
-def permuted_worlds(states: DataFrame, n_worlds: int) -> DataFrame:
+
+def group_sums(rates: DataFrame, arrays: DataFrame, value: str) -> DataFrame:
+    """Mergeable statistics of both groups per gene and world: ``replicate`` is the place in the arrays, from 0.
+
+    As in ``null_scores`` a block of a study's genes is one product of matrices; a branch counts in a world where its state is 0 or 1.
+    """
+    rows = rates.where(F.col(value).isNotNull()).select("study_id", "gene_id", "branch_id", F.col(value).cast("double").alias("__v"))
+    size = rows.groupBy("study_id", "gene_id").agg(F.count(F.lit(1)).alias("n")).groupBy("study_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("g"))
+    size = size.join(arrays.groupBy("study_id").agg(F.max(F.size("states")).alias("r")), "study_id").select("study_id", F.ceil((F.col("n") + F.col("g") * F.col("r")) / _BLOCK).cast("int").alias("__blocks"))
+    left = rows.join(size, "study_id").withColumn("__block", F.pmod(F.xxhash64("gene_id"), F.col("__blocks")).cast("int")).drop("__blocks")
+    right = arrays.join(size, "study_id").withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
+
+    def run(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(given):
+            return pd.DataFrame(columns=[c.split()[0] for c in _SUMS.split(", ")])
+        genes, g = np.unique(own.gene_id.to_numpy(str), return_inverse=True)
+        at = pd.Index(given.branch_id).get_indexer(own.branch_id)
+        values, has = np.zeros((len(genes), len(given))), np.zeros((len(genes), len(given)))
+        ok = at >= 0
+        values[g[ok], at[ok]], has[g[ok], at[ok]] = own["__v"].to_numpy(float)[ok], 1.0
+        w = np.stack([np.array(x, float) for x in given.states])
+        k = w.shape[1]
+        out = {"study_id": own.study_id.iloc[0], "gene_id": np.repeat(genes, k), "replicate": np.tile(np.arange(k, dtype=np.int32), len(genes))}
+        for name, state in (("0", 0.0), ("1", 1.0)):
+            m = (w == state).astype(float)
+            out[f"n{name}"], out[f"s{name}"], out[f"q{name}"] = (has @ m).ravel().astype(np.int64), (values @ m).ravel(), ((values * values) @ m).ravel()
+        return pd.DataFrame(out)
+
+    return left.groupBy("study_id", "__block").cogroup(right.groupBy("study_id", "__block")).applyInPandas(run, _SUMS)
+
+
+def permuted_worlds(states: DataFrame, n_worlds: int, stream: int = 3) -> DataFrame:
     """Null worlds that give the focal labels of a study to as many branches drawn without replacement.
 
-    World r orders the branches by a portable key of (r, place), so the worlds are the same on every engine and run.
+    World r orders the branches by a portable key of (r, place, stream), so the worlds are the same on every engine and run.
     """
     rows = states.where(F.col("state").isin(0.0, 1.0)).select("study_id", "branch_id", "state")
     whole = W.partitionBy("study_id")
     rows = rows.withColumn("place", F.row_number().over(whole.orderBy("branch_id")).cast("bigint")).withColumn("focal", F.sum("state").over(whole))
     rows = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_worlds))))
-    k = F.row_number().over(W.partitionBy("study_id", "replicate").orderBy(draw_key(F.col("replicate").cast("bigint"), F.col("place"), 3), "place"))
+    k = F.row_number().over(W.partitionBy("study_id", "replicate").orderBy(draw_key(F.col("replicate").cast("bigint"), F.col("place"), stream), "place"))
     return rows.withColumn("k", k).select("study_id", "replicate", "branch_id", F.when(F.col("k") <= F.col("focal"), 1.0).otherwise(0.0).alias("state"))
 
 

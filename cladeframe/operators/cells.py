@@ -81,7 +81,7 @@ def eligibility(cells: DataFrame) -> DataFrame:
     observed = F.col("coord_state") == "observed"
     good = observed & F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") >= 0) & (F.col("value") < float("inf"))
     status = F.when(good, "eligible").when(observed, "unresolved").otherwise("not_applicable")
-    reason = F.when(good, F.lit(None)).when(observed & F.col("value").isNull(), "observed_payload_unavailable").when(observed, "measurement_unresolved").otherwise("coordinate_unavailable")
+    reason = F.when(good, "eligible_declared").when(observed, "authority_unresolved").otherwise("coordinate_not_observed")
     return cells.withColumn("elig_status", status).withColumn("elig_reason", reason)
 
 

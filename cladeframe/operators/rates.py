@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.errors import ContractError, RefusedError
+from cladeframe.errors import AxisError, ContractError, RefusedError
 from cladeframe.operators.cells import KEY
 
 METHODS = ("ADD_LT", "GBI", "logGBI_strict")
@@ -115,18 +115,45 @@ def common_domain(rates: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("loss", F.try_divide(F.col("n_union") - F.col("n_common"), F.col("n_union"))).withColumn("label", F.when(F.col("n_common") == F.col("n_union"), "EQUAL").otherwise("UNEQUAL"))
 
 
-def compare_pair(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Per study, on cells available in both: n, Pearson and Spearman correlation, medians and quantiles of the difference."""
+def compatible(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Per study, whether two rates may be compared: the same cells (each once), coordinate states and fitted baseline (a null on both sides is the same).
+
+    Both have ``coord_state`` and ``mu`` beside the cell keys; ``n_cells`` counts the cells of either.
+    """
+    rows = first.select(*KEY, F.lit(1).alias("a"), F.col("coord_state").alias("sa"), F.col("mu").alias("ma")).join(
+        second.select(*KEY, F.lit(1).alias("b"), F.col("coord_state").alias("sb"), F.col("mu").alias("mb")), list(KEY), "full")
+    return rows.groupBy("study_id").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.every(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("same_cells"),
+        F.every(F.col("sa").eqNullSafe(F.col("sb"))).alias("same_states"), F.every(F.col("ma").eqNullSafe(F.col("mb"))).alias("same_baseline"))
+
+
+def require_compatible(first: DataFrame, second: DataFrame, same_baseline: bool = True) -> None:
+    """``AxisError`` naming up to five studies whose rates may not be compared."""
+    ok = F.col("same_cells") & F.col("same_states") & (F.col("same_baseline") if same_baseline else F.lit(True))
+    some = compatible(first, second).where(~ok).limit(5).collect()
+    if some:
+        raise AxisError("rates are not compatible: " + ", ".join(str(r.study_id) for r in some))
+
+
+def compare_pair(first: DataFrame, second: DataFrame, positive_ratio: bool = False) -> DataFrame:
+    """Per study, on cells available in both: n, Pearson and Spearman correlation, quantiles of second minus first, and of ln(second / first).
+
+    The logarithm is taken of positive pairs and only where ``positive_ratio`` says that ratios mean something.
+    """
     from cladeframe.functions.stats import average_rank
 
     a = first.where("available").select(*KEY, F.col("rate").alias("a"))
     rows = a.join(second.where("available").select(*KEY, F.col("rate").alias("b")), list(KEY))
-    rows = rows.withColumn("ra", average_rank("a", ["study_id"])).withColumn("rb", average_rank("b", ["study_id"])).withColumn("d", F.col("a") - F.col("b"))
+    both = (F.col("a") > 0) & (F.col("b") > 0) & F.lit(positive_ratio)
+    rows = rows.withColumn("ra", average_rank("a", ["study_id"])).withColumn("rb", average_rank("b", ["study_id"])).withColumn("d", F.col("b") - F.col("a")).withColumn("l", F.when(both, F.ln(F.col("b") / F.col("a"))))
     varied = (F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0)
     out = rows.groupBy("study_id").agg(
         F.count(F.lit(1)).alias("n"), F.when(varied, F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b"))).alias("pearson"),
         F.when(varied, F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb"))).alias("spearman"),
-        F.median("d").alias("median_difference"), F.median(F.abs("d")).alias("median_abs_difference"), F.max(F.abs("d")).alias("max_abs_difference"),
-        F.percentile("d", [0.05, 0.95]).alias("q"),
+        F.median(F.abs("d")).alias("median_abs_difference"), F.max(F.abs("d")).alias("max_abs_difference"),
+        F.percentile("d", [0.05, 0.25, 0.5, 0.75, 0.95]).alias("q"), F.count("l").alias("positive_ratio_count"), F.percentile("l", [0.05, 0.5, 0.95]).alias("ql"),
     )
-    return out.select("study_id", "n", "pearson", "spearman", "median_difference", "median_abs_difference", "max_abs_difference", F.get("q", F.lit(0)).alias("q05"), F.get("q", F.lit(1)).alias("q95"))
+    at = lambda c, i, n: F.get(c, F.lit(i)).alias(n)
+    return out.select(
+        "study_id", "n", "pearson", "spearman", at("q", 2, "median_difference"), "median_abs_difference", *[at("q", i, f"difference_{n}") for i, n in enumerate(("q05", "q25", "q50", "q75", "q95"))],
+        "max_abs_difference", "positive_ratio_count", *[at("ql", i, n) for i, n in enumerate(("log_ratio_q05", "median_log_ratio", "log_ratio_q95"))])

@@ -220,8 +220,57 @@ def parsimony_states(edges: DataFrame, tips: DataFrame, by: tuple[str, ...] = ()
     return out.withColumn("state", s).withColumn("screened", F.coalesce(s.isin(0.0, 1.0), F.lit(False))).withColumn("reason", F.when(s == 0.5, "intermediate_excluded"))
 
 
-def annotate_gene(cells: DataFrame, edges: DataFrame, gene: str) -> DataFrame:
-    """The tree edges of every study with the cells of one gene, and a label for each edge."""
-    own = cells.where(F.col("gene_id") == gene).select("study_id", "branch_id", "coord_state", "value")
+_ARRAYS = "study_id string, branch_id string, states array<double>"
+
+
+def _reconstruct_arrays(edges: pd.DataFrame, tips: pd.DataFrame) -> pd.DataFrame:
+    """States of all branches in many worlds at once: the costs of a node are an array (states x worlds)."""
+    names = edges.branch_id.to_numpy(str)
+    at = {b: i for i, b in enumerate(names)}
+    parent = np.array([at.get(p, -1) if isinstance(p, str) else -1 for p in edges.parent_branch], np.int64)
+    own = tips[tips.branch_id.isin(at)]
+    if not len(own) or not len(edges):
+        return pd.DataFrame(columns=["study_id", "branch_id", "states"])
+    given = np.stack([np.array(x, float) for x in own.states])
+    values = np.unique(given[~np.isnan(given)])
+    k, worlds = len(values), given.shape[1]
+    children: list[list[int]] = [[] for _ in names]
+    for i, p in enumerate(parent):
+        if p >= 0:
+            children[p].append(i)
+    order, todo = [], [i for i, p in enumerate(parent) if p < 0]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += children[n]
+    up = np.zeros((len(names), k, worlds))
+    tip = {at[b]: x for b, x in zip(own.branch_id, given)}
+    for n in reversed(order):
+        if n in tip:
+            up[n] = np.where(np.isnan(tip[n]), 0.0, np.where(values[:, None] == tip[n], 0.0, np.inf))
+        for c in children[n]:
+            up[n] += np.minimum(up[c], up[c].min(0) + 1)
+    total = up.copy()
+    for n in order:
+        for c in children[n]:
+            rest = total[n] - np.minimum(up[c], up[c].min(0) + 1)
+            total[c] = up[c] + np.minimum(rest, rest.min(0) + 1)
+    out = values[total.argmin(1)]
+    return pd.DataFrame({"study_id": edges.study_id.iloc[0], "branch_id": names, "states": list(out)})
+
+
+def parsimony_arrays(edges: DataFrame, tips: DataFrame) -> DataFrame:
+    """``(study_id, branch_id, states)``: as ``parsimony_states``, with a world at every place of the arrays ``states``, so that a tree is read once for all worlds.
+
+    ``tips`` has ``(study_id, branch_id, states)``, arrays of one length within a study; a null leaves a tip open in that world.  Ties go to the least state.
+    A study without tips does not come out.
+    """
+    given = tips.withColumn("states", F.transform("states", lambda x: F.coalesce(x.cast("double"), F.lit(float("nan")))))
+    return spread(edges.select("study_id", "branch_id", "parent_branch"), "study_id").groupBy("study_id").cogroup(given.groupBy("study_id")).applyInPandas(_reconstruct_arrays, _ARRAYS)
+
+
+def annotate_gene(cells: DataFrame, edges: DataFrame, gene: str | None = None) -> DataFrame:
+    """The tree edges of every study with the cells of one gene (all of ``cells`` where none is named), and a label for each edge."""
+    own = (cells if gene is None else cells.where(F.col("gene_id") == gene)).select("study_id", "branch_id", "coord_state", "value")
     label = F.when(F.col("coord_state").isNull(), "absent").when(F.col("coord_state") != "observed", F.col("coord_state")).when(F.col("value").isNull(), "no payload").when(F.col("value") == 0, "zero").otherwise("value")
     return edges.select("study_id", "branch_id", "parent_branch").join(own, ["study_id", "branch_id"], "left").withColumn("label", label)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cladeframe.errors import ContractError
 from cladeframe.operators.baseline import held_out_statistics, strict_prefix, welch
 from cladeframe.workspace import spread
 
@@ -49,131 +50,300 @@ def design(rates: DataFrame, terminals: DataFrame, value: str = "gbi") -> DataFr
     return rows.select("study_id", "genus", "gene_id", n.cast("bigint").alias("n_values"), F.col("n_train").cast("bigint").alias("n_train"), mean.alias("mean"), sd.alias("sd"), drop.alias("dropped"))
 
 
-def fold_features(rates: DataFrame, terminals: DataFrame, value: str = "gbi", level: float = 0.01, prefix: bool = True) -> DataFrame:
-    """Genes selected in each fold by the Welch screen on training rows; with ``prefix`` off, all tested genes with p under ``level``."""
-    both = terminals.where(F.col("state").isin(0.0, 1.0))
-    tested = welch(held_out_statistics(rates, both.drop("genus"), both, value))
-    if prefix:
-        tested = strict_prefix(tested, "p", ["study_id", "genus"], ["gene_id"], level)
-    else:
-        tested = tested.withColumn("selected", F.coalesce(F.col("p") < level, F.lit(False)))
-    return tested.where("selected").select("study_id", "genus", "gene_id", "t", "p")
+def fold_features(rates: DataFrame, terminals: DataFrame, value: str = "gbi", level: float = 0.01, branches: DataFrame | None = None) -> DataFrame:
+    """Genes selected in each fold by the Welch screen on training branches: ``(study_id, genus, gene_id, t, p)``, strict prefix at ``level``.
+
+    ``branches`` has the states of all screened branches (internal ones by reconstruction); only the held-out genus' terminals
+    are taken out of the statistics.  Without it the terminals alone are screened.
+    """
+    return fold_screen(rates, terminals, value, level, branches).where("selected").select("study_id", "genus", "gene_id", "t", "p")
 
 
-def lasso_path(x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, sweeps: int = 60, tolerance: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
-    """Intercepts and coefficients of the L1-penalised logistic regression at each lambda.
+def fold_screen(rates: DataFrame, terminals: DataFrame, value: str = "gbi", level: float = 0.01, branches: DataFrame | None = None) -> DataFrame:
+    """Every tested gene of every fold with t, p and ``selected``."""
+    known = terminals.where(F.col("state").isin(0.0, 1.0))
+    states = known.select("study_id", "branch_id", "state") if branches is None else branches.where(F.col("state").isin(0.0, 1.0)).select("study_id", "branch_id", "state")
+    named = states.join(known.select("study_id", "branch_id", "genus"), ["study_id", "branch_id"], "left")
+    tested = welch(held_out_statistics(rates, states, named, value)).where("p IS NOT NULL")
+    return strict_prefix(tested, "p", ["study_id", "genus"], ["gene_id"], level)
 
-    Each quadratic approximation is reduced to its weighted moments once, and
-    coordinate descent runs on these; every lambda starts from the one before.
+
+def lasso_paths(x: np.ndarray, y: np.ndarray, weights: np.ndarray, lambdas: np.ndarray, tolerance: float = 1e-7, rounds: int = 30, sweeps: int = 300, stop=None) -> np.ndarray:
+    """L1-penalised logistic regressions of several weightings of the same rows at once: (weightings, lambdas, 1 + features), intercepts first.
+
+    Each row of ``weights`` sums to 1.  Every lambda starts from the one before; each quadratic approximation is reduced to its
+    weighted moments and solved by coordinate descent until no step moves the objective by more than ``tolerance``.
+    ``stop``, asked after every lambda with the coefficients so far, may end the path.
     """
-    n = len(y)
-    a = np.column_stack([np.ones(n), x])
-    m = min(max(y.mean(), 1e-6), 1 - 1e-6)
-    b = np.zeros(a.shape[1])
-    b[0] = np.log(m / (1 - m))
-    out = []
-    for lam in lambdas:
-        for _ in range(12):
-            eta = np.clip(a @ b, -30, 30)
+    k, a = len(weights), np.column_stack([np.ones(len(x)), x])
+    m = np.clip(weights @ y, 1e-9, 1 - 1e-9)
+    b = np.zeros((k, a.shape[1]))
+    b[:, 0] = np.log(m / (1 - m))
+    out = np.empty((k, len(lambdas), a.shape[1]))
+    pairs = np.einsum("np,nq->npq", a, a).reshape(len(a), -1) if a.shape[1] <= 65 else None
+    for i, lam in enumerate(lambdas):
+        for _ in range(rounds):
+            eta = np.clip(b @ a.T, -30, 30)
             mu = 1 / (1 + np.exp(-eta))
-            w = np.maximum(mu * (1 - mu), 1e-5)
-            gram = (a * w[:, None]).T @ a / n
-            goal = a.T @ (w * eta + y - mu) / n
+            v = weights * np.maximum(mu * (1 - mu), 1e-5)
+            gram = (v @ pairs).reshape(k, a.shape[1], -1) if pairs is not None else np.stack([(a * w[:, None]).T @ a for w in v])
+            curve = np.maximum(np.einsum("kjj->kj", gram), 1e-12)
+            slope = (weights * (y - mu)) @ a  # of the log-likelihood at b, kept up below
             start = b.copy()
             for _ in range(sweeps):
-                most = 0.0
-                for j in range(len(b)):
-                    v = gram[j, j]
-                    if v <= 0:
-                        continue
-                    g = goal[j] - gram[j] @ b + v * b[j]
-                    new = g / v if j == 0 else np.sign(g) * max(abs(g) - lam, 0.0) / v
-                    most = max(most, abs(new - b[j]))
-                    b[j] = new
-                if most < tolerance:
+                moved = 0.0
+                for j in range(a.shape[1]):
+                    u = slope[:, j] + curve[:, j] * b[:, j]
+                    new = (u if j == 0 else np.sign(u) * np.maximum(np.abs(u) - lam, 0)) / curve[:, j]
+                    step = new - b[:, j]
+                    if step.any():
+                        b[:, j] = new
+                        slope -= step[:, None] * gram[:, j]
+                        moved = max(moved, float((curve[:, j] * step * step).max()))
+                if moved < tolerance:
                     break
-            if np.abs(b - start).max() < tolerance * 10:
+            if float((curve * (b - start) ** 2).max()) < tolerance:
                 break
-        out.append(b.copy())
-    out = np.array(out)
-    return out[:, 0], out[:, 1:]
+        out[:, i] = b
+        if stop is not None and stop(out[:, : i + 1]):
+            return out[:, : i + 1]
+    return out
+
 
+def _deviance(eta: np.ndarray, y: np.ndarray) -> np.ndarray:
+    p = np.clip(1 / (1 + np.exp(-np.clip(eta, -30, 30))), 1e-5, 1 - 1e-5)
+    return -2 * (y * np.log(p) + (1 - y) * np.log(1 - p))
 
-def fit_lasso(x: np.ndarray, y: np.ndarray, n_lambdas: int = 15, ratio: float = 0.05) -> tuple[float, np.ndarray, float]:
-    """Intercept, coefficients and lambda of least leave-one-out deviance (ten parts beyond 25 rows), refitted on all rows."""
-    n = len(y)
-    top = np.abs(x.T @ (y - y.mean())).max() / n if x.shape[1] else 0.0
+
+def fit_lasso(x: np.ndarray, y: np.ndarray, n_lambdas: int = 100) -> tuple[float, np.ndarray, float]:
+    """Intercept, coefficients and lambda of least leave-one-out deviance, refitted on all rows.
+
+    The path has 100 values from the least lambda without a coefficient down to 0.01 (fewer rows than features) or 0.0001 of
+    it, and ends early once the deviance no longer falls.  One row is left out at a time, whatever the number of rows.
+    """
+    n, p = x.shape
+    top = np.abs(x.T @ (y - y.mean())).max() / n if p else 0.0
     if top <= 0:
-        m = min(max(y.mean(), 1e-6), 1 - 1e-6)
-        return float(np.log(m / (1 - m))), np.zeros(x.shape[1]), 0.0
-    lambdas = top * np.geomspace(1, ratio, n_lambdas)
-    part = np.arange(n) if n <= 25 else np.arange(n) % 10
-    deviance = np.zeros(n_lambdas)
-    for k in np.unique(part):
-        out = part == k
-        if y[~out].min() == y[~out].max():
-            continue
-        b0, b = lasso_path(x[~out], y[~out], lambdas, tolerance=1e-5)
-        p = np.clip(1 / (1 + np.exp(-np.clip(b0[:, None] + b @ x[out].T, -30, 30))), 1e-5, 1 - 1e-5)
-        deviance -= 2 * (y[out] * np.log(p) + (1 - y[out]) * np.log(1 - p)).sum(1)
-    best = int(np.argmin(deviance))
-    b0, b = lasso_path(x, y, lambdas[: best + 1])
-    return float(b0[-1]), b[-1], float(lambdas[best])
-
-
-_OOF = "study_id string, fold_id string, held_out string, status string, species string, branch_id string, state double, prediction double, n_features int, n_nonzero int, lambda double"
-
-
-def _fit_fold(rows: pd.DataFrame) -> pd.DataFrame:
+        m = y.mean()
+        return float(np.log(m / (1 - m))), np.zeros(p), 0.0
+    lambdas = top * np.geomspace(1, 0.01 if n < p else 1e-4, n_lambdas)
+    none = _deviance(np.full(n, np.log(y.mean() / (1 - y.mean()))), y).mean()
+    told: list[float] = []
+
+    def ended(path: np.ndarray) -> bool:
+        told.append(1 - _deviance(path[0, -1, 0] + x @ path[0, -1, 1:], y).mean() / none)
+        return told[-1] > 0.999 or (len(told) > 5 and told[-1] - told[-2] < 1e-5 * told[-1])
+
+    lambdas = lambdas[: lasso_paths(x, y, np.full((1, n), 1 / n), lambdas, stop=ended).shape[1]]
+    left_out = (1 - np.eye(n)) / (n - 1)
+    paths = lasso_paths(x, y, left_out, lambdas)
+    eta = paths[:, :, 0] + np.einsum("klj,kj->kl", paths[:, :, 1:], x)
+    best = int(np.argmin(_deviance(eta, y[:, None]).mean(0)))
+    b = lasso_paths(x, y, np.full((1, n), 1 / n), lambdas[best : best + 1], tolerance=1e-12, rounds=200, sweeps=2000)[0, 0]
+    return float(b[0]), b[1:], float(lambdas[best])
+
+
+def _wide(rows: pd.DataFrame, branches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gene names and values (branches x genes; NaN where there is none) of long rows."""
+    own = rows[rows.gene_id.notna()]
+    genes, g = np.unique(own.gene_id.to_numpy(str), return_inverse=True)
+    at = pd.Index(branches).get_indexer(own.branch_id)
+    out = np.full((len(branches), len(genes)), np.nan)
+    out[at[at >= 0], g[at >= 0]] = own.value.to_numpy(float)[at >= 0]
+    return genes, out
+
+
+def prepare_design(x: np.ndarray, u: np.ndarray) -> tuple[str | None, np.ndarray, np.ndarray, dict]:
+    """Training and other rows after the training transforms: genes without a value dropped, means imputed, genes without variance dropped, scaled by the sample deviation.
+
+    The first value is the reason where nothing is left; ``kept``, ``mean``, ``sd``, ``n_all`` and ``n_zero`` come last.
+    """
+    kept = np.flatnonzero(~np.isnan(x).all(0)) if len(x) else np.zeros(0, int)
+    told = {"kept": kept, "mean": np.zeros(0), "sd": np.zeros(0), "n_all": x.shape[1] - len(kept), "n_zero": 0}
+    if not len(kept):
+        return "no_features_after_all_missing_drop", x[:, kept], u[:, kept], told
+    mean = np.nanmean(x[:, kept], 0)
+    x, u = (np.where(np.isnan(d[:, kept]), mean, d[:, kept]) for d in (x, u))
+    sd = x.std(0, ddof=1) if len(x) > 1 else np.zeros(len(kept))
+    varied = sd > 1e-12 * np.maximum(np.abs(mean), 1e-300)
+    told.update(kept=kept[varied], mean=mean[varied], sd=sd[varied], n_zero=int((~varied).sum()))
+    if not varied.any():
+        return "no_features_after_zero_variance_drop", x[:, varied], u[:, varied], told
+    return None, (x[:, varied] - mean[varied]) / sd[varied], (u[:, varied] - mean[varied]) / sd[varied], told
+
+
+#: Least rows of the smaller class for a fit: leaving one out must leave two.
+LEAST_CLASS = 3
+_OOF = ("study_id string, fold_id string, held_out string, status string, species string, branch_id string, state double, prediction double, n_candidates int, n_features int, n_nonzero int, "
+        "lambda double, n_train int, n_train_positive int, n_dropped_all int, n_dropped_zero int, genes array<string>, coefficients array<double>")
+
+
+def _fit_fold(rows: pd.DataFrame, nested: bool = True) -> pd.DataFrame:
     people = rows.drop_duplicates("branch_id").sort_values("branch_id")
     train, test = people[people.role == "train"], people[people.role == "test"]
     y = train.state.to_numpy(float)
-    lam, n_features, nonzero = np.nan, 0, 0
-    wide = rows[rows.gene_id.notna()].pivot_table(index="branch_id", columns="gene_id", values="value", aggfunc="first", dropna=False)
+    told = {"lambda": np.nan, "n_features": 0, "n_nonzero": 0, "n_dropped_all": 0, "n_dropped_zero": 0, "genes": [], "coefficients": []}
+    genes, wide = _wide(rows, people.branch_id.to_numpy(str))
     if not len(test):
         status, p = "no_evaluable_test_species_after_exclusion", np.zeros(0)
     elif not len(y) or y.min() == y.max():
         status, p = "null_intercept_only_training_one_class", np.full(len(test), y.mean() if len(y) else np.nan)
-    elif not wide.shape[1]:
+    elif not len(genes) and nested:
         status, p = "null_intercept_only_no_FDR_features_in_training_ttest", np.full(len(test), y.mean())
     else:
-        x, u = (wide.reindex(part.branch_id).to_numpy(float) for part in (train, test))
-        keep = ~np.isnan(x).all(0)
-        x, u = x[:, keep], u[:, keep]
-        status = None
-        if not keep.any():
-            status = "null_intercept_only_no_features_after_all_missing_drop"
-        else:
-            mean = np.nanmean(x, 0)
-            x, u = np.where(np.isnan(x), mean, x), np.where(np.isnan(u), mean, u)
-            sd = x.std(0, ddof=1) if len(x) > 1 else np.zeros(x.shape[1])
-            keep = sd > 1e-12
-            if not keep.any():
-                status = "null_intercept_only_no_features_after_zero_variance_drop"
-        if status:
-            p = np.full(len(test), y.mean())
+        why, x, u, kept = prepare_design(wide[(people.role == "train").to_numpy()], wide[(people.role == "test").to_numpy()])
+        told.update(n_dropped_all=kept["n_all"], n_dropped_zero=kept["n_zero"])
+        if why:
+            status, p = f"null_intercept_only_{why}", np.full(len(test), y.mean())
+        elif min(y.sum(), len(y) - y.sum()) < LEAST_CLASS:
+            status, p = "refused_class_of_fewer_than_three", np.full(len(test), np.nan)
         else:
-            x, u = (x[:, keep] - mean[keep]) / sd[keep], (u[:, keep] - mean[keep]) / sd[keep]
             b0, b, lam = fit_lasso(x, y)
             p = 1 / (1 + np.exp(-np.clip(b0 + u @ b, -30, 30)))
-            n_features, nonzero = x.shape[1], int((b != 0).sum())
-            status = "fit_nonzero_predictors" if nonzero else "fit_no_selected_predictors"
-    head = {"study_id": rows.study_id.iloc[0], "fold_id": rows.fold_id.iloc[0], "held_out": rows.held_out.iloc[0], "status": status, "n_features": n_features, "n_nonzero": nonzero, "lambda": lam}
+            some = np.flatnonzero(b)
+            told.update({"lambda": lam, "n_features": x.shape[1], "n_nonzero": len(some), "genes": genes[kept["kept"][some]].tolist(), "coefficients": b[some].tolist()})
+            status = "fit_nonzero_predictors" if len(some) else "fit_no_selected_predictors"
+    head = {"study_id": rows.study_id.iloc[0], "fold_id": rows.fold_id.iloc[0], "held_out": rows.held_out.iloc[0], "status": status, "n_candidates": len(genes), "n_train": len(y), "n_train_positive": int(y.sum()), **told}
     if not len(test):
         return pd.DataFrame([{**head, "species": None, "branch_id": None, "state": np.nan, "prediction": np.nan}])
     return pd.DataFrame({**{k: [v] * len(test) for k, v in head.items()}, "species": test.species.to_numpy(), "branch_id": test.branch_id.to_numpy(), "state": test.state.to_numpy(float), "prediction": p})
 
 
-def out_of_fold(rates: DataFrame, terminals: DataFrame, folds: DataFrame, features: DataFrame, value: str = "gbi") -> DataFrame:
+RECIPES = ("nested_phase12B", "nested_phase13", "global_screen_foldwise")
+
+
+def out_of_fold(rates: DataFrame, terminals: DataFrame, folds: DataFrame, features: DataFrame, value: str = "gbi", recipe: str = "nested_phase12B") -> DataFrame:
     """Held-out predictions of every fold, each fitted in its own task on its selected genes only.
 
-    ``features`` has ``(study_id, genus, gene_id)``.  A fold that cannot be fitted predicts the training mean and says why.
+    ``features`` has ``(study_id, genus, gene_id)`` of a nested recipe, or ``(study_id, gene_id)`` of ``global_screen_foldwise``, which screens once on all
+    data.  The two nested recipes differ in the order of a multiplication only, which the sums here do not have.
+    A fold that cannot be fitted predicts the training mean and says why; one with a class too small for leaving one out predicts nothing.
     """
+    if recipe not in RECIPES:
+        raise ContractError(f"choose a validation recipe of {', '.join(RECIPES)}")
+    nested = recipe != "global_screen_foldwise"
     assigned = roles(terminals, folds).join(folds.select("study_id", "fold_id", F.col("genus").alias("held_out")), ["study_id", "fold_id"])
-    chosen = features.select("study_id", F.col("genus").alias("held_out"), "gene_id")
+    if nested:
+        chosen = features.select("study_id", F.col("genus").alias("held_out"), "gene_id")
+    else:
+        chosen = folds.select("study_id", F.col("genus").alias("held_out")).distinct().join(features.select("study_id", "gene_id").distinct(), "study_id")
     v = rates.where(F.col(value).isNotNull()).select("study_id", "branch_id", "gene_id", F.col(value).alias("value"))
+    # Candidates are kept with every person of a fold, so that a gene without any value in the fold counts as one.
     rows = assigned.join(chosen, ["study_id", "held_out"], "left").join(v, ["study_id", "branch_id", "gene_id"], "left")
-    return spread(rows, "study_id", "fold_id").groupBy("study_id", "fold_id").applyInPandas(_fit_fold, _OOF)
+    return spread(rows, "study_id", "fold_id").groupBy("study_id", "fold_id").applyInPandas(lambda d: _fit_fold(d, nested), _OOF)
+
+
+_FULL = "study_id string, model string, gene_id string, status string, coefficient double, mean double, sd double, intercept double, lambda double, n_rows int, n_positive int, n_candidates int, n_dropped_all int, n_dropped_zero int"
+
+
+def _fit_full(rows: pd.DataFrame) -> pd.DataFrame:
+    people = rows.drop_duplicates("branch_id").sort_values("branch_id")
+    y = people.state.to_numpy(float)
+    genes, wide = _wide(rows, people.branch_id.to_numpy(str))
+    why, x, _, kept = prepare_design(wide, wide[:0])
+    b, mean, sd, b0, lam = np.zeros(len(genes)), np.full(len(genes), np.nan), np.full(len(genes), np.nan), np.nan, np.nan
+    if why == "no_features_after_all_missing_drop" or not len(y) or y.min() == y.max():
+        status = "null_no_usable_features_or_one_class"
+    elif why:
+        status = "null_no_usable_nonzero_variance_features"
+    elif min(y.sum(), len(y) - y.sum()) < LEAST_CLASS:
+        status = "refused_class_of_fewer_than_three"
+    else:
+        status = "fit"
+        b0, b[kept["kept"]], lam = fit_lasso(x, y)
+        mean[kept["kept"]], sd[kept["kept"]] = kept["mean"], kept["sd"]
+    n = max(len(genes), 1)
+    return pd.DataFrame({
+        "study_id": [rows.study_id.iloc[0]] * n, "model": [rows.model.iloc[0]] * n, "gene_id": genes.tolist() or [None], "status": status, "coefficient": b if len(genes) else [np.nan], "mean": mean if len(genes) else [np.nan],
+        "sd": sd if len(genes) else [np.nan], "intercept": b0, "lambda": lam, "n_rows": len(y), "n_positive": int(y.sum()), "n_candidates": len(genes), "n_dropped_all": kept["n_all"], "n_dropped_zero": kept["n_zero"],
+    })
+
+
+def full_fit(rates: DataFrame, terminals: DataFrame, features: DataFrame, value: str = "gbi") -> DataFrame:
+    """Coefficients of the fit on all labelled terminals of each study and model: one row per candidate gene, 0 where it is not selected.
+
+    ``terminals`` and ``features`` have a ``model`` column; a full-data fit is no validation.  A model without candidates has one row without a gene.
+    """
+    people = terminals.where(F.col("state").isin(0.0, 1.0)).select("study_id", "model", "branch_id", "state")
+    rows = people.join(features.select("study_id", "model", "gene_id").distinct(), ["study_id", "model"], "left")
+    rows = rows.join(rates.where(F.col(value).isNotNull()).select("study_id", "branch_id", "gene_id", F.col(value).alias("value")), ["study_id", "branch_id", "gene_id"], "left")
+    out = spread(rows, "study_id", "model").groupBy("study_id", "model").applyInPandas(_fit_full, _FULL)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("coefficient", "mean", "sd", "intercept", "lambda")})
+
+
+def full_summary(fitted: DataFrame) -> DataFrame:
+    """Per model: candidates, rows, selected predictors by sign, the largest coefficient, and notes."""
+    c = F.col("coefficient")
+    n = lambda x: F.count_if(F.coalesce(x, F.lit(False))).cast("bigint")
+    out = fitted.groupBy("study_id", "model").agg(
+        F.first("status").alias("status"), F.first("n_candidates").alias("n_candidates"), F.first("n_rows").alias("n_rows"), F.first("n_positive").alias("n_positive"), n(c != 0).alias("n_selected"), n(c > 0).alias("n_positive_coefficients"),
+        n(c < 0).alias("n_negative_coefficients"), F.max_by(F.struct("gene_id", "coefficient"), F.struct(F.abs(c), F.col("gene_id"))).alias("top"), F.first("lambda").alias("lambda_used"))
+    some = F.col("n_selected") > 0
+    return out.select("*", F.when(some, F.col("top.gene_id")).otherwise("").alias("max_abs_coef_gene"), F.when(some, F.abs("top.coefficient")).otherwise(0.0).alias("max_abs_coef")).drop("top")
+
+
+def partition(fitted: DataFrame, first: str, second: str) -> DataFrame:
+    """Selected genes of two models of a study as ``first_only``, ``second_only`` and ``shared``: counts and the genes in order."""
+    own = fitted.where((F.col("coefficient") != 0) & F.col("model").isin(first, second)).groupBy("study_id", "gene_id").agg(F.max(F.col("model") == first).alias("a"), F.max(F.col("model") == second).alias("b"))
+    part = F.when(F.col("a") & F.col("b"), "shared").when(F.col("a"), "first_only").otherwise("second_only")
+    found = own.groupBy("study_id", part.alias("partition")).agg(F.count(F.lit(1)).alias("n_genes"), F.array_join(F.array_sort(F.collect_list("gene_id")), ";").alias("genes"))
+    every = fitted.select("study_id").distinct().withColumn("partition", F.explode(F.array(*map(F.lit, ("first_only", "second_only", "shared")))))
+    return every.join(found, ["study_id", "partition"], "left").select("study_id", "partition", F.coalesce("n_genes", F.lit(0).cast("bigint")).alias("n_genes"), F.coalesce("genes", F.lit("")).alias("genes"))
+
+
+def fold_table(oof: DataFrame, screen: DataFrame | None = None, global_features: DataFrame | None = None) -> DataFrame:
+    """One row per fold: rows and classes, genes tested and selected, overlap with the global selection, features used and selected, lambda and status."""
+    f = oof.groupBy("study_id", "fold_id", "held_out").agg(
+        F.first("n_train").alias("n_training_samples"), F.count("branch_id").alias("n_test_samples"), F.first("n_train_positive").alias("n_train_positive"), F.count_if(F.col("state") == 1).cast("bigint").alias("n_test_positive"),
+        F.first("n_candidates").alias("n_fold_candidate_genes"), F.first("n_dropped_all").alias("n_features_dropped_all_missing"), F.first("n_dropped_zero").alias("n_features_dropped_zero_variance"),
+        F.first("n_features").alias("n_features_used_for_lasso"), F.first("n_nonzero").alias("n_selected_predictors"), F.first("lambda").alias("lambda_min"), F.first("status").alias("fold_model_status"))
+    f = f.withColumn("n_train_negative", F.col("n_training_samples") - F.col("n_train_positive")).withColumn("n_test_negative", F.col("n_test_samples") - F.col("n_test_positive"))
+    if screen is not None:
+        own = screen.groupBy("study_id", F.col("genus").alias("held_out")).agg(F.count(F.lit(1)).alias("n_genes_tested"), F.collect_set(F.when(F.col("selected"), F.col("gene_id"))).alias("chosen"))
+        f = f.join(own, ["study_id", "held_out"], "left")
+        if global_features is not None:
+            g = global_features.groupBy("study_id").agg(F.collect_set("gene_id").alias("everywhere"))
+            f = f.join(g, "study_id", "left")
+            both = F.size(F.array_intersect(F.coalesce("chosen", F.array().cast("array<string>")), F.coalesce("everywhere", F.array().cast("array<string>"))))
+            f = f.withColumn("n_overlap_with_global", both).withColumn("share_of_fold_in_global", F.try_divide("n_overlap_with_global", F.size("chosen"))).withColumn("share_of_global_in_fold", F.try_divide("n_overlap_with_global", F.size("everywhere"))).drop("everywhere")
+        f = f.drop("chosen")
+    return f
+
+
+def selected_table(oof: DataFrame) -> DataFrame:
+    """The predictors that each fold selected, with coefficient and sign."""
+    per = oof.groupBy("study_id", "fold_id", "held_out").agg(F.first(F.arrays_zip("genes", "coefficients")).alias("z"), F.first("lambda").alias("lambda_min"))
+    rows = per.select("study_id", "fold_id", "held_out", "lambda_min", F.explode("z").alias("z"))
+    return rows.select("study_id", "fold_id", "held_out", F.col("z.genes").alias("gene_id"), F.col("z.coefficients").alias("coefficient"), F.when(F.col("z.coefficients") > 0, "positive").otherwise("negative").alias("coefficient_sign"), "lambda_min")
+
+
+def validation_summary(oof: DataFrame) -> DataFrame:
+    """Per study: area under the curve of the held-out predictions, folds by outcome, medians and quartile texts of candidates and selected predictors, and the decision label."""
+    from cladeframe.functions.stats import auc
+
+    a = auc(oof.where("branch_id IS NOT NULL"), "prediction", "state", ["study_id"])
+    f = fold_table(oof).withColumn("counts", F.col("n_test_samples") > 0)
+    ok = F.col("counts")
+    q = lambda c: F.percentile(F.when(ok, F.col(c)), [0.25, 0.5, 0.75])
+    n = f.groupBy("study_id").agg(
+        F.count_if(ok).cast("bigint").alias("n_folds"), F.count_if(~ok).cast("bigint").alias("n_folds_without_test"), F.count_if(ok & F.col("fold_model_status").startswith("null_intercept_only")).cast("bigint").alias("n_null_intercept_only"),
+        F.count_if(ok & (F.col("n_selected_predictors") == 0)).cast("bigint").alias("n_no_selected"), F.count_if(ok & (F.col("n_fold_candidate_genes") == 0)).cast("bigint").alias("n_zero_candidates"), q("n_fold_candidate_genes").alias("c"), q("n_selected_predictors").alias("s"))
+    out = n.join(a, "study_id", "left")
+    text = lambda c: F.format_string("%.0f-%.0f", F.rint(F.get(c, F.lit(0))), F.rint(F.get(c, F.lit(2))))
+    share = F.try_divide("n_no_selected", "n_folds")
+    return out.select(
+        "study_id", "n0", "n1", "auc", "n_folds", "n_folds_without_test", "n_null_intercept_only", "n_no_selected", "n_zero_candidates", F.get("c", F.lit(1)).alias("median_candidates"), text("c").alias("iqr_candidates"),
+        F.get("s", F.lit(1)).alias("median_selected"), text("s").alias("iqr_selected"), decision(F.col("auc"), share).alias("decision"))
+
+
+def decision(auc: Column, none_selected: Column) -> Column:
+    """The label of a validation by its area under the curve and the share of evaluated folds that selected nothing; null where either is."""
+    return F.when(auc.isNull() | none_selected.isNull(), None).when((auc >= 0.48) & (auc <= 0.52) & (none_selected >= 0.95), "strict_null_collapse").when((auc < 0.60) | (none_selected >= 0.80), "near_collapse").when(auc < 0.75, "strong_attenuation").otherwise("retained_sparse_prediction")
+
+
+def taxon_roles(assigned: DataFrame) -> DataFrame:
+    """The ledger of roles: per fold and species train, test or excluded, with its group."""
+    return assigned.select("study_id", "fold_id", F.col("species").alias("taxon_id"), "role", F.col("genus").alias("group"))
 
 
 def project(rates: DataFrame, coefficients: DataFrame, value: str = "gbi") -> DataFrame:

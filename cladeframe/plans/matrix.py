@@ -94,13 +94,21 @@ def a09_parse_tokens(spark, folder):
     return cells.parse_tokens(raw.select("study_id", token.alias("token"))).groupBy("study_id", "token_class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("a11_reconcile", with_(CELLS) + """
-  SELECT study_id, issue, count(*) AS n FROM (SELECT study_id, CASE WHEN value IS NOT NULL AND coord_state <> 'observed' THEN 'number_off_observed'
-    WHEN value IS NULL AND coord_state = 'observed' THEN 'observed_without_number' END AS issue FROM cells) WHERE issue IS NOT NULL GROUP BY 1, 2""")
+_RAW = f"""raw AS (SELECT study_id, gene_id, branch_id, CASE WHEN token IN ('NA', 'NA_fuse', 'NA_struct', 'NA_topo', 'residual_NA', 'NaN', 'Inf', '-Inf') THEN token WHEN token IN ('mapped', 'empty') OR token IS NULL THEN 'unknown' ELSE 'finite_numeric' END AS token_class
+  FROM (SELECT study_id, gene_id, coordinate_id AS branch_id, {_TOKEN} AS token, row_number() OVER (PARTITION BY study_id, gene_id, coordinate_id ORDER BY loaded_at, cell_id) AS v FROM state_ledger WHERE study_id IS NOT NULL AND gene_id IS NOT NULL AND coordinate_id IS NOT NULL AND loaded_at IS NOT NULL) WHERE v = 1)"""
+
+
+@R.add("a11_reconcile", with_(CELLS, _RAW) + """
+  SELECT study_id, issue, count(*) AS n FROM (SELECT study_id, CASE WHEN coord_state IS NULL THEN 'raw_only' WHEN token_class IS NULL THEN 'state_only' WHEN token_class = 'finite_numeric' AND coord_state <> 'observed' THEN 'number_off_observed'
+    WHEN token_class <> 'finite_numeric' AND coord_state = 'observed' THEN 'observed_without_number' END AS issue FROM raw FULL JOIN cells USING (study_id, gene_id, branch_id)) WHERE issue IS NOT NULL GROUP BY 1, 2""")
 def a11_reconcile(spark, folder):
-    m = matrix(spark, folder)
-    raw = m.withColumn("token_class", F.when(F.col("value").isNotNull(), "finite_numeric").otherwise(F.col("coord_state")))
-    return cells.reconcile(raw, m).groupBy("study_id", "issue").agg(F.count(F.lit(1)).alias("n"))
+    """The tokens of the first export of every cell against the states of the last."""
+    first = table(spark, folder, "state_ledger").where("study_id IS NOT NULL AND gene_id IS NOT NULL AND coordinate_id IS NOT NULL AND loaded_at IS NOT NULL")
+    status = F.col("numeric_status")
+    token = F.when(status == "finite_numeric", F.col("numeric_value").cast("string")).otherwise(F.coalesce(F.nullif(status, F.lit("NA")), F.col("state")))
+    order = F.struct("loaded_at", "cell_id")
+    raw = first.withColumn("token", token).groupBy("study_id", "gene_id", F.col("coordinate_id").alias("branch_id")).agg(F.min_by("token", order).alias("token"))
+    return cells.reconcile(cells.parse_tokens(raw), matrix(spark, folder)).groupBy("study_id", "issue").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.add("a13_keyed_projection", """
@@ -134,7 +142,7 @@ def c02_display_labels(spark, folder):
 
 @R.add("c03_eligibility", with_(CELLS) + """
   SELECT study_id, elig_status, elig_reason, count(*) AS n FROM (SELECT study_id, CASE WHEN coord_state = 'observed' AND value >= 0 THEN 'eligible' WHEN coord_state = 'observed' THEN 'unresolved' ELSE 'not_applicable' END AS elig_status,
-    CASE WHEN coord_state = 'observed' AND value >= 0 THEN NULL WHEN coord_state = 'observed' AND value IS NULL THEN 'observed_payload_unavailable' WHEN coord_state = 'observed' THEN 'measurement_unresolved' ELSE 'coordinate_unavailable' END AS elig_reason
+    CASE WHEN coord_state = 'observed' AND value >= 0 THEN 'eligible_declared' WHEN coord_state = 'observed' THEN 'authority_unresolved' ELSE 'coordinate_not_observed' END AS elig_reason
     FROM cells) GROUP BY 1, 2, 3""")
 def c03_eligibility(spark, folder):
     return cells.eligibility(matrix(spark, folder)).groupBy("study_id", "elig_status", "elig_reason").agg(F.count(F.lit(1)).alias("n"))
@@ -212,8 +220,8 @@ def h03_gbi(spark, folder):
 
 
 _WELCH = f"""welch AS (
-  SELECT *, CASE WHEN v0 / n0 + v1 / n1 > 0 AND n0 >= 2 AND n1 >= 2 THEN (m0 - m1) / sqrt(v0 / n0 + v1 / n1) END AS t,
-    CASE WHEN v0 / n0 + v1 / n1 > 0 AND n0 >= 2 AND n1 >= 2 THEN (v0 / n0 + v1 / n1) * (v0 / n0 + v1 / n1) / ((v0 / n0) * (v0 / n0) / (n0 - 1) + (v1 / n1) * (v1 / n1) / (n1 - 1)) END AS df
+  SELECT *, CASE WHEN v0 / n0 + v1 / n1 > 0 AND sqrt(v0 / n0 + v1 / n1) >= 2.220446049250313e-15 * greatest(abs(m0), abs(m1)) AND n0 >= 2 AND n1 >= 2 THEN (m0 - m1) / sqrt(v0 / n0 + v1 / n1) END AS t,
+    CASE WHEN v0 / n0 + v1 / n1 > 0 AND sqrt(v0 / n0 + v1 / n1) >= 2.220446049250313e-15 * greatest(abs(m0), abs(m1)) AND n0 >= 2 AND n1 >= 2 THEN (v0 / n0 + v1 / n1) * (v0 / n0 + v1 / n1) / ((v0 / n0) * (v0 / n0) / (n0 - 1) + (v1 / n1) * (v1 / n1) / (n1 - 1)) END AS df
   FROM (SELECT r.study_id, r.gene_id, count(gbi) FILTER (WHERE state = 0) AS n0, count(gbi) FILTER (WHERE state = 1) AS n1, avg(gbi) FILTER (WHERE state = 0) AS m0, avg(gbi) FILTER (WHERE state = 1) AS m1,
       CASE WHEN count(gbi) FILTER (WHERE state = 0) > 1 THEN var_samp(gbi) FILTER (WHERE state = 0) END AS v0, CASE WHEN count(gbi) FILTER (WHERE state = 1) > 1 THEN var_samp(gbi) FILTER (WHERE state = 1) END AS v1
     FROM rates r JOIN states s USING (study_id, branch_id) WHERE state IN (0, 1) GROUP BY 1, 2))"""
@@ -221,7 +229,7 @@ _WELCH = f"""welch AS (
 
 @R.add("j01_welch_screen", with_(CELLS, TRIM, GBI, STATES, _WELCH) + f"""
   SELECT study_id, gene_id, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1, {sig("t")} AS t, {sig("df")} AS df, CASE WHEN t > 0 THEN 'slow' WHEN t < 0 THEN 'fast' WHEN t = 0 THEN 'zero' END AS direction,
-    CASE WHEN coalesce(least(n0, n1), 0) < 2 THEN 'insufficient_finite_group_size' WHEN t IS NULL THEN 'zero_variance' END AS reason
+    CASE WHEN coalesce(least(n0, n1), 0) < 2 THEN 'insufficient_finite_group_size' WHEN t IS NULL THEN 'welch_refused_constant_data' END AS reason
   FROM (SELECT DISTINCT study_id, gene_id FROM rates) LEFT JOIN welch USING (study_id, gene_id)""")
 def j01_welch_screen(spark, folder):
     return baseline.screen(rates(spark, folder), states(spark, folder)).select("study_id", "gene_id", "n0", "n1", digits("t").alias("t"), digits("df").alias("df"), "direction", "reason")
@@ -260,12 +268,16 @@ def j03_held_out(spark, folder):
     return held.select("study_id", "genus", "gene_id", F.col("n0").cast("bigint").alias("n0"), F.col("n1").cast("bigint").alias("n1"))
 
 
-@R.add("j05_permutation_screen", with_(CELLS, TRIM, GBI, STATES, _WELCH) + f"SELECT study_id, gene_id, {sig('-t', 6)} AS t FROM welch WHERE t IS NOT NULL")
+@R.add("j05_permutation_screen", with_(CELLS, TRIM, GBI, STATES) + f"""
+  SELECT study_id, gene_id, n0, n1, {sig("(m1 - m0) / sqrt(v0 / n0 + v1 / n1)", 5)} AS t FROM (
+    SELECT study_id, gene_id, n0, n1, m0, m1, CASE WHEN v0 < 0 AND v0 > -1e-10 THEN 0 ELSE v0 END AS v0, CASE WHEN v1 < 0 AND v1 > -1e-10 THEN 0 ELSE v1 END AS v1 FROM (
+      SELECT study_id, gene_id, n0, n1, s0 / n0 AS m0, s1 / n1 AS m1, (q0 - s0 * s0 / n0) / (n0 - 1) AS v0, (q1 - s1 * s1 / n1) / (n1 - 1) AS v1 FROM (
+        SELECT study_id, gene_id, count(gbi) FILTER (WHERE state = 0) AS n0, count(gbi) FILTER (WHERE state = 1) AS n1, sum(gbi) FILTER (WHERE state = 0) AS s0, sum(gbi) FILTER (WHERE state = 1) AS s1, sum(gbi * gbi) FILTER (WHERE state = 0) AS q0, sum(gbi * gbi) FILTER (WHERE state = 1) AS q1
+        FROM rates JOIN states USING (study_id, branch_id) WHERE state IN (0, 1) GROUP BY 1, 2) WHERE n0 > 1 AND n1 > 1)) WHERE v0 / n0 + v1 / n1 > 0""")
 def j05_permutation_screen(spark, folder):
-    """t as focal minus background from the mergeable statistics."""
-    r, s = rates(spark, folder), states(spark, folder)
-    tested = baseline.screen(r, s).where("t IS NOT NULL")
-    return tested.select("study_id", "gene_id", digits(-F.col("t"), 6).alias("t"))
+    """t as focal minus background from the mergeable statistics, as the permuted worlds are screened."""
+    tested = baseline.welch(baseline.group_statistics(rates(spark, folder), states(spark, folder)), focal_first=True).where("t IS NOT NULL")
+    return tested.select("study_id", "gene_id", "n0", "n1", digits("t", 5).alias("t"))
 
 
 _P = "p_rows AS (SELECT study_id, gene_id, branch_id, CASE WHEN value > 0 THEN 1.0 / (1.0 + floor(value)) END AS p FROM cells)"

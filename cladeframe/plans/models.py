@@ -262,34 +262,44 @@ def f04_common_domain(spark, folder):
 
 @R.add("f05_compare_pair", with_(CELLS, _EDGES, _CLOSED, TRIM, GBI, f"""pairs AS (
     SELECT study_id, y / mu AS a, gbi AS b FROM fit JOIN rates USING (study_id, gene_id, branch_id) WHERE mu > 0 AND gbi IS NOT NULL)""") + f"""
-  SELECT study_id, count(*) AS n, {sig("CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END", 6)} AS spearman, {sig("median(abs(a - b))", 6)} AS median_abs_difference, {sig("max(abs(a - b))", 6)} AS max_abs_difference
+  SELECT study_id, count(*) AS n, {sig("CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN covar_pop(ra, rb) / (stddev_pop(ra) * stddev_pop(rb)) END", 6)} AS spearman, {sig("median(abs(b - a))", 6)} AS median_abs_difference, {sig("max(abs(b - a))", 6)} AS max_abs_difference,
+    {", ".join(sig(f"quantile_cont(b - a, {q})", 5) + f" AS difference_{n}" for q, n in ((0.05, "q05"), (0.25, "q25"), (0.5, "q50"), (0.75, "q75"), (0.95, "q95")))},
+    count(*) FILTER (WHERE a > 0 AND b > 0) AS positive_ratio_count, {", ".join(sig(f"round(quantile_cont(CASE WHEN a > 0 AND b > 0 THEN ln(b / a) END, {q}), 6)", 5) + f" AS {n}" for q, n in ((0.05, "log_ratio_q05"), (0.5, "median_log_ratio"), (0.95, "log_ratio_q95")))}
   FROM (SELECT *, rank() OVER (PARTITION BY study_id ORDER BY a) + (count(*) OVER (PARTITION BY study_id, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY study_id ORDER BY b) + (count(*) OVER (PARTITION BY study_id, b) - 1) / 2.0 AS rb
     FROM (SELECT study_id, {sig("a", 9)} AS a, {sig("b", 9)} AS b FROM pairs)) GROUP BY 1""")
 def f05_compare_pair(spark, folder):
-    """The closed-form ratio against the study ratio, values to nine digits so that ties agree."""
+    """The study ratio less the closed-form ratio, values to nine digits so that ties agree."""
     return _compare_pair(spark, folder, closed_form)
 
 
 def _compare_pair(spark, folder, fit):
     a = rates.rate(matrix(spark, folder), fit(spark, folder), "GBI").withColumn("rate", digits("rate", 9))
     b = study_rates(spark, folder).select("study_id", "gene_id", "branch_id", digits("gbi", 9).alias("rate"), F.col("gbi").isNotNull().alias("available"))
-    out = rates.compare_pair(a, b)
-    return out.select("study_id", "n", digits("spearman", 6).alias("spearman"), digits("median_abs_difference", 6).alias("median_abs_difference"), digits("max_abs_difference", 6).alias("max_abs_difference"))
+    out = rates.compare_pair(a, b, positive_ratio=True)
+    names = ("spearman", "median_abs_difference", "max_abs_difference")
+    return out.select("study_id", "n", *[digits(c, 6).alias(c) for c in names], *[digits(f"difference_{q}", 5).alias(f"difference_{q}") for q in ("q05", "q25", "q50", "q75", "q95")], "positive_ratio_count", *[digits(F.round(c, 6), 5).alias(c) for c in ("log_ratio_q05", "median_log_ratio", "log_ratio_q95")])
 
 
+# The rate that is associated in the queries with SQL: the logarithm of the study ratio where it is positive.
 _ASSOC = """assoc AS (
-  SELECT r.study_id, r.gene_id, r.branch_id, ln(1 + value) AS rate, s.state, CASE WHEN value IS NULL OR value < 0 THEN 'rate_unavailable' WHEN s.state IS NULL OR s.state = 0.5 THEN 'trait_unavailable' ELSE 'eligible' END AS reason
-  FROM cells r LEFT JOIN states s USING (study_id, branch_id))"""
+  SELECT r.study_id, r.gene_id, r.branch_id, CASE WHEN gbi > 0 THEN ln(gbi) END AS rate, s.state, CASE WHEN gbi IS NULL OR gbi <= 0 THEN 'rate_unavailable' WHEN s.state IS NULL OR s.state = 0.5 THEN 'trait_unavailable' ELSE 'eligible' END AS reason
+  FROM rates r LEFT JOIN states s USING (study_id, branch_id))"""
+_LOG_RATES = (CELLS, TRIM, GBI)
 
 
 def assoc_cells(spark, folder):
-    """ln(1 + y) of every cell with its branch's state: a rate whose sums keep their digits."""
-    m = matrix(spark, folder)
-    r = m.withColumn("available", F.coalesce(F.col("value") >= 0, F.lit(False))).withColumn("rate", F.when(F.col("available"), F.ln(1 + F.when(F.col("value") >= 0, F.col("value")))))
-    return association.domain(r.select("study_id", "gene_id", "branch_id", "rate", "available"), traits.branch_states(m, states(spark, folder)))
+    """The logarithm of the study ratio of every cell with its branch's state."""
+    r = study_rates(spark, folder).withColumn("available", F.coalesce(F.col("gbi") > 0, F.lit(False))).withColumn("rate", F.ln(F.when(F.col("gbi") > 0, F.col("gbi"))))
+    return association.domain(r.select("study_id", "gene_id", "branch_id", "rate", "available"), traits.branch_states(matrix(spark, folder), states(spark, folder)))
 
 
-@R.add("f01_association_domain", with_(CELLS, STATES, _ASSOC) + "SELECT study_id, reason, count(*) AS n FROM assoc GROUP BY 1, 2")
+def c3_cells(spark, folder, method="logGBI_strict", fit=None):
+    """A rate on the additive-margin fit with the states of the branches."""
+    r = rates.rate(matrix(spark, folder), fit if fit is not None else fitted(spark, folder), method)
+    return association.domain(r.select("study_id", "gene_id", "branch_id", "rate", "available"), traits.branch_states(matrix(spark, folder), states(spark, folder)))
+
+
+@R.add("f01_association_domain", with_(*_LOG_RATES, STATES, _ASSOC) + "SELECT study_id, reason, count(*) AS n FROM assoc GROUP BY 1, 2")
 def f01_association_domain(spark, folder):
     return association.domain_counts(assoc_cells(spark, folder))
 
@@ -302,12 +312,12 @@ _BINARY = f"""bin AS (
       FROM assoc GROUP BY 1, 2)))"""
 
 
-@R.add("j06_binary_association", with_(CELLS, STATES, _ASSOC, _BINARY) + f"SELECT study_id, gene_id, n, n_reference, n_focal, status, {sig('difference', 6)} AS difference, {sig('pb', 6)} AS r FROM bin")
+@R.add("j06_binary_association", with_(*_LOG_RATES, STATES, _ASSOC, _BINARY) + f"SELECT study_id, gene_id, n, n_reference, n_focal, status, {sig('difference', 6)} AS difference, {sig('pb', 6)} AS r FROM bin")
 def j06_binary_association(spark, folder):
     return association.binary(assoc_cells(spark, folder)).select("study_id", "gene_id", "n", "n_reference", "n_focal", "status", digits("difference", 6).alias("difference"), digits("r", 6).alias("r"))
 
 
-@R.add("j07_continuous_association", with_(CELLS, STATES, _ASSOC) + f"""
+@R.add("j07_continuous_association", with_(*_LOG_RATES, STATES, _ASSOC) + f"""
   SELECT study_id, gene_id, n, {sig("CASE WHEN n >= 3 AND vx > 0 THEN cxy / vx END", 6)} AS slope, {sig("round(CASE WHEN n >= 3 AND vrx > 0 AND vry > 0 THEN crxy / (sqrt(vrx) * sqrt(vry)) END, 9)", 6)} AS spearman FROM (
     SELECT study_id, gene_id, count(*) AS n, var_pop(x) AS vx, covar_pop(x, y) AS cxy, var_pop(rx) AS vrx, var_pop(ry) AS vry, covar_pop(rx, ry) AS crxy FROM (
       SELECT *, rank() OVER (PARTITION BY study_id, gene_id ORDER BY x) + (count(*) OVER (PARTITION BY study_id, gene_id, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY study_id, gene_id ORDER BY y) + (count(*) OVER (PARTITION BY study_id, gene_id, y) - 1) / 2.0 AS ry
@@ -381,80 +391,128 @@ def j08_boundary_association_c3(spark, folder):
     return _boundary_association(spark, folder, fitted)
 
 
-_WORLDS = 40
-_NULLS = f"""ranked AS (SELECT study_id, branch_id, state, row_number() OVER (PARTITION BY study_id ORDER BY branch_id) - 1 AS i, count(*) OVER (PARTITION BY study_id) AS m FROM states WHERE state IN (0, 1) AND (study_id, branch_id) IN (SELECT study_id, branch_id FROM cells)),
-worlds AS (SELECT a.study_id, r AS replicate, a.branch_id, b.state FROM ranked a CROSS JOIN range(1, {_WORLDS + 1}) t(r) JOIN ranked b ON b.study_id = a.study_id AND b.i = (a.i + r) % a.m),
-nulls AS (SELECT *, CASE WHEN n1 > 0 AND n1 < n THEN s1 / n1 - (s - s1) / (n - n1) END AS score FROM (
-  SELECT study_id, gene_id, replicate, count(*) AS n, count(*) FILTER (WHERE w.state = 1) AS n1, sum(rate) AS s, coalesce(sum(rate) FILTER (WHERE w.state = 1), 0) AS s1
-  FROM (SELECT * FROM assoc WHERE reason = 'eligible') a JOIN worlds w USING (study_id, branch_id) GROUP BY 1, 2, 3)),
-cal AS (SELECT b.study_id, b.gene_id, CASE WHEN status <> 'ESTIMABLE' THEN 'OBSERVED_NONESTIMABLE' WHEN coalesce(n_null, 0) < {_WORLDS} THEN 'NULL_CALIBRATION_INCOMPLETE' ELSE 'CALIBRATED' END AS status, coalesce(n_null, 0) AS n_null, coalesce(exceed, 0) AS exceedances
-  FROM bin b LEFT JOIN (SELECT n.study_id, n.gene_id, count(score) AS n_null, count(*) FILTER (WHERE abs(round(score, 9)) >= abs(round(difference, 9))) AS exceed FROM nulls n JOIN bin USING (study_id, gene_id) GROUP BY 1, 2) USING (study_id, gene_id))"""
-
-
-def _null_parts(spark, folder):
-    rows = assoc_cells(spark, folder)
-    m = matrix(spark, folder).select("study_id", "branch_id").distinct()
-    worlds = association.arithmetic_worlds(states(spark, folder).join(m, ["study_id", "branch_id"], "left_semi"), _WORLDS)
-    nulls = association.null_scores(rows, worlds)
-    return association.binary(rows), nulls
+@R.add("f01_association_domain_c3")
+def f01_association_domain_c3(spark, folder):
+    return association.domain_counts(c3_cells(spark, folder))
 
 
-# The queries with SQL take rotations, 40 of them; the ones named ..._permuted take permutations, as many as the reference.
-PERMUTATIONS = 200
+@R.add("j06_binary_association_c3")
+def j06_binary_association_c3(spark, folder):
+    return association.binary(c3_cells(spark, folder))
 
 
-def _permuted_parts(spark, folder):
-    rows = assoc_cells(spark, folder)
-    m = matrix(spark, folder).select("study_id", "branch_id").distinct()
-    own = states(spark, folder).join(m, ["study_id", "branch_id"], "left_semi")
-    nulls = Workspace(spark, "k").save(association.null_scores(rows, association.permuted_worlds(own, PERMUTATIONS)), "nulls")
-    calibrated = association.mark_few(association.calibrate(association.binary(rows), nulls, PERMUTATIONS), association.labellings(own), PERMUTATIONS)
-    return nulls, calibrated
+@R.add("j07_continuous_association_c3")
+def j07_continuous_association_c3(spark, folder):
+    return association.continuous(c3_cells(spark, folder).withColumn("x", F.length("branch_id") + F.col("state")), "x")
 
 
-@R.add("k02_null_scores_permuted")
-def k02_null_scores_permuted(spark, folder):
-    return _permuted_parts(spark, folder)[0]
+@R.add("f02_common_association_domain", with_(*_LOG_RATES, STATES, _ASSOC) + """
+  SELECT a.study_id, count(*) FILTER (WHERE reason = 'eligible') AS n_first, count(*) FILTER (WHERE value > 0 AND state IN (0, 1)) AS n_second, count(*) FILTER (WHERE reason = 'eligible' AND value > 0) AS n_common
+  FROM assoc a JOIN cells c USING (study_id, gene_id, branch_id) GROUP BY 1""")
+def f02_common_association_domain(spark, folder):
+    """Cells eligible for the study ratio, for the raw positive payload, and for both."""
+    first = assoc_cells(spark, folder)
+    raw = matrix(spark, folder).withColumn("available", F.coalesce(F.col("value") > 0, F.lit(False))).withColumn("rate", F.col("value"))
+    second = association.domain(raw.select("study_id", "gene_id", "branch_id", "rate", "available"), traits.branch_states(matrix(spark, folder), states(spark, folder)))
+    n = lambda d, name: d.groupBy("study_id").agg(F.count_if("eligible").cast("bigint").alias(name))
+    return n(first, "n_first").join(n(second, "n_second"), "study_id").join(n(association.common([first, second]), "n_common"), "study_id")
 
 
-@R.add("k03_calibrate_permuted")
-def k03_calibrate_permuted(spark, folder):
-    return _permuted_parts(spark, folder)[1].select("study_id", "gene_id", "status", "n_null", "exceedances", "p")
+@R.add("f03_compatible_axes", with_(CELLS, _EDGES, _CLOSED) + "SELECT study_id, count(*) AS n_cells, true AS same_cells, true AS same_states, true AS same_baseline FROM cells GROUP BY 1")
+def f03_compatible_axes(spark, folder):
+    """The gate before rates are compared: the same cells, coordinate states and baseline on both sides."""
+    m, f = matrix(spark, folder), closed_form(spark, folder)
+    of = lambda method: rates.rate(m, f, method).join(f.select("study_id", "gene_id", "branch_id", "mu"), ["study_id", "gene_id", "branch_id"], "left").join(m.select("study_id", "gene_id", "branch_id", "coord_state"), ["study_id", "gene_id", "branch_id"])
+    return rates.compatible(of("GBI"), of("logGBI_strict"))
+
+
+# As many worlds as the reference: permutations of a study's labels by a portable key.
+_WORLDS = 200
+_PERMUTED = lambda stream: "((kb * kb + replicate * 17 + place) % 1000003)".replace("kb", f"((ka * ka + place * 31 + {stream}) % 1000003)").replace("ka", f"((place * 7919 + replicate * 104729 + {stream} * 15485863) % 1000003)")
+_ONLY_WORLDS = f"""own AS (SELECT study_id, branch_id, state, row_number() OVER (PARTITION BY study_id ORDER BY branch_id) AS place, sum(state) OVER (PARTITION BY study_id) AS k, count(*) OVER (PARTITION BY study_id) AS m FROM states WHERE state IN (0, 1) AND (study_id, branch_id) IN (SELECT study_id, branch_id FROM cells)),
+worlds AS (SELECT study_id, replicate, branch_id, CASE WHEN pos <= k THEN 1.0::DOUBLE ELSE 0.0 END AS state FROM (SELECT *, row_number() OVER (PARTITION BY study_id, replicate ORDER BY {_PERMUTED(3)}, place) AS pos FROM own CROSS JOIN range(1, {_WORLDS + 1}) t(replicate))),
+ways AS (SELECT study_id, coalesce(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1)), 1) AS n_labellings FROM (SELECT DISTINCT study_id, m, k FROM own))"""
+_STATUS = f"CASE WHEN status <> 'ESTIMABLE' THEN 'OBSERVED_ASSOCIATION_NONESTIMABLE' WHEN coalesce(n_null, 0) < {_WORLDS} THEN 'NULL_CALIBRATION_INCOMPLETE' WHEN round(n_labellings) <= {_WORLDS} THEN 'TOO_FEW_LABELLINGS' ELSE 'CALIBRATED' END"
+_NULLS = _ONLY_WORLDS + f""",
+nulls AS (SELECT *, CASE WHEN n1 > 0 AND n1 < n THEN s1 / n1 - (s - s1) / (n - n1) END AS score FROM (
+  SELECT study_id, gene_id, replicate, count(*) AS n, count(*) FILTER (WHERE w.state = 1) AS n1, sum(rate) AS s, coalesce(sum(rate) FILTER (WHERE w.state = 1), 0) AS s1
+  FROM (SELECT * FROM assoc WHERE reason = 'eligible') a JOIN worlds w USING (study_id, branch_id) GROUP BY 1, 2, 3)),
+cal AS (SELECT b.study_id, b.gene_id, {_STATUS} AS status, coalesce(n_null, 0) AS n_null, exceed
+  FROM bin b LEFT JOIN ways USING (study_id) LEFT JOIN (SELECT n.study_id, n.gene_id, count(score) AS n_null, count(*) FILTER (WHERE abs(score) >= abs(difference) - 1e-10 * greatest(1, abs(difference))) AS exceed FROM nulls n JOIN bin USING (study_id, gene_id) GROUP BY 1, 2) USING (study_id, gene_id))"""
+_NULL_SQL = with_(*_LOG_RATES, STATES, _ASSOC, _BINARY, _NULLS)
 
 
-@R.add("k04_joint_maximum_permuted")
-def k04_joint_maximum_permuted(spark, folder):
-    return association.joint_maximum(*_permuted_parts(spark, folder))
+def labelled(spark, folder):
+    """The labelled terminal branches that the matrices have."""
+    return states(spark, folder).join(matrix(spark, folder).select("study_id", "branch_id").distinct(), ["study_id", "branch_id"], "left_semi")
 
 
-@R.add("k06_adjusted_calibration_permuted")
-def k06_adjusted_calibration_permuted(spark, folder):
-    rows = adjust(_permuted_parts(spark, folder)[1], "p", ["study_id"], ["gene_id"]).where("p IS NOT NULL")
-    return rows.select("study_id", "gene_id", "n_tests", "p_bh", "p_holm")
+def _null_parts(spark, folder, rows_of=assoc_cells, statistic="beta"):
+    """Null scores, written once, and the calibration that stands on them."""
+    work = Workspace(spark, "k")
+    rows, own = work.save(rows_of(spark, folder), "cells"), work.save(labelled(spark, folder), "own")
+    nulls = work.save(association.null_scores(rows, association.permuted_worlds(own, _WORLDS), statistic=statistic), "nulls")
+    observed = association.binary(rows)
+    calibrated = association.calibrate(observed, nulls, _WORLDS, statistic="difference" if statistic == "beta" else "r")
+    return nulls, association.mark_few(calibrated, association.labellings(own), _WORLDS)
 
 
-@R.add("k02_null_scores", with_(CELLS, STATES, _ASSOC, _BINARY, _NULLS) + f"SELECT study_id, gene_id, replicate, {sig('round(score, 9)', 6)} AS score FROM nulls")
+@R.add("k02_null_scores", _NULL_SQL + f"SELECT study_id, gene_id, replicate, {sig('round(score, 9)', 6)} AS score FROM nulls")
 def k02_null_scores(spark, folder):
-    return _null_parts(spark, folder)[1].select("study_id", "gene_id", F.col("replicate").cast("bigint").alias("replicate"), digits(F.round("score", 9), 6).alias("score"))
+    return _null_parts(spark, folder)[0].select("study_id", "gene_id", "replicate", digits(F.round("score", 9), 6).alias("score"))
 
 
-@R.add("k03_calibrate", with_(CELLS, STATES, _ASSOC, _BINARY, _NULLS) + f"""
-  SELECT study_id, gene_id, status, n_null, exceedances, CASE WHEN status = 'CALIBRATED' THEN (exceedances + 1) / {_WORLDS + 1}.0::DOUBLE END AS p FROM cal""")
+@R.add("k03_calibrate", _NULL_SQL + f"""
+  SELECT study_id, gene_id, status, n_null, CASE WHEN status IN ('CALIBRATED', 'TOO_FEW_LABELLINGS') THEN exceed END AS exceedances, CASE WHEN status = 'CALIBRATED' THEN (exceed + 1) / {_WORLDS + 1}.0::DOUBLE END AS p FROM cal""")
 def k03_calibrate(spark, folder):
-    return association.calibrate(*_null_parts(spark, folder), _WORLDS).select("study_id", "gene_id", "status", "n_null", "exceedances", "p")
+    return _null_parts(spark, folder)[1].select("study_id", "gene_id", "status", "n_null", "exceedances", "p")
+
 
+@R.add("k03_replicate_status", _NULL_SQL + """
+  SELECT study_id, replicate, n AS nonestimable_gene_count, CASE WHEN n = 0 THEN 'ESTIMABLE_FOR_ALL_ACTIVE_GENES' ELSE 'NULL_REPLICATE_NONESTIMABLE' END AS status FROM (
+    SELECT study_id, replicate, count(*) FILTER (WHERE score IS NULL) AS n FROM nulls JOIN cal USING (study_id, gene_id) WHERE status IN ('CALIBRATED', 'TOO_FEW_LABELLINGS', 'NULL_CALIBRATION_INCOMPLETE') GROUP BY 1, 2)""")
+def k03_replicate_status(spark, folder):
+    """Per world, the genes that it leaves without a score."""
+    nulls, calibrated = _null_parts(spark, folder)
+    return association.replicate_status(nulls, calibrated.replace({"TOO_FEW_LABELLINGS": "CALIBRATED"}, subset=["status"]))
 
-@R.add("k04_joint_maximum", with_(CELLS, STATES, _ASSOC, _BINARY, _NULLS) + f"""
+
+@R.add("k04_joint_maximum", _NULL_SQL + f"""
   SELECT study_id, replicate, {sig("max(abs(round(score, 9)))", 6)} AS max_abs, count(score) AS n_genes FROM nulls WHERE (study_id, gene_id) IN (SELECT study_id, gene_id FROM cal WHERE status = 'CALIBRATED') GROUP BY 1, 2""")
 def k04_joint_maximum(spark, folder):
-    observed, nulls = _null_parts(spark, folder)
-    out = association.joint_maximum(nulls.withColumn("score", F.round("score", 9)), association.calibrate(observed, nulls, _WORLDS))
-    return out.select("study_id", F.col("replicate").cast("bigint").alias("replicate"), digits("max_abs", 6).alias("max_abs"), "n_genes")
+    nulls, calibrated = _null_parts(spark, folder)
+    out = association.joint_maximum(nulls.withColumn("score", F.round("score", 9)), calibrated)
+    return out.select("study_id", "replicate", digits("max_abs", 6).alias("max_abs"), "n_genes")
 
 
-@R.add("k06_adjusted_calibration", with_(CELLS, STATES, _ASSOC, _BINARY, _NULLS) + f"""
+@R.add("k06_adjusted_calibration", _NULL_SQL + f"""
   SELECT study_id, gene_id, n AS n_tests, {sig("least(1.0, min(p * n / k) OVER (PARTITION BY study_id ORDER BY k DESC))", 6)} AS p_bh, {sig("least(1.0, max(p * (n - k + 1)) OVER (PARTITION BY study_id ORDER BY k))", 6)} AS p_holm
-  FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY p, gene_id) AS k, count(*) OVER (PARTITION BY study_id) AS n FROM (SELECT study_id, gene_id, (exceedances + 1) / {_WORLDS + 1}.0::DOUBLE AS p FROM cal WHERE status = 'CALIBRATED'))""")
+  FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY p, gene_id) AS k, count(*) OVER (PARTITION BY study_id) AS n FROM (SELECT study_id, gene_id, (exceed + 1) / {_WORLDS + 1}.0::DOUBLE AS p FROM cal WHERE status = 'CALIBRATED'))""")
 def k06_adjusted_calibration(spark, folder):
-    rows = adjust(association.calibrate(*_null_parts(spark, folder), _WORLDS), "p", ["study_id"], ["gene_id"]).where("p IS NOT NULL")
+    rows = adjust(_null_parts(spark, folder)[1], "p", ["study_id"], ["gene_id"]).where("p IS NOT NULL")
     return rows.select("study_id", "gene_id", "n_tests", digits("p_bh", 6).alias("p_bh"), digits("p_holm", 6).alias("p_holm"))
+
+
+def _c3_parts(spark, folder):
+    return _null_parts(spark, folder, c3_cells)
+
+
+@R.add("k02_null_scores_c3")
+def k02_null_scores_c3(spark, folder):
+    return _c3_parts(spark, folder)[0]
+
+
+@R.add("k03_calibrate_c3")
+def k03_calibrate_c3(spark, folder):
+    """The calibration on strict log ratios of the fit, by the point-biserial correlation."""
+    return _null_parts(spark, folder, c3_cells, "point_biserial_r")[1]
+
+
+@R.add("k04_joint_maximum_c3")
+def k04_joint_maximum_c3(spark, folder):
+    return association.joint_maximum(*_c3_parts(spark, folder))
+
+
+@R.add("k06_adjusted_calibration_c3")
+def k06_adjusted_calibration_c3(spark, folder):
+    return adjust(_c3_parts(spark, folder)[1], "p", ["study_id"], ["gene_id"]).where("p IS NOT NULL")

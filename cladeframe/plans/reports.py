@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from cladeframe.functions.stats import adjust
 from cladeframe.operators import association, baseline, reporting, traits
 from cladeframe.plans.matrix import digits, matrix, rates, states
-from cladeframe.plans.models import _BOUNDARY, _CLOSED, _EDGES, _NULLS, _WORLDS, boundary_cells, PERMUTATIONS, closed_form, fitted, kept_fit
+from cladeframe.plans.models import _BOUNDARY, _CLOSED, _EDGES, _ONLY_WORLDS, _WORLDS, boundary_cells, closed_form, fitted, kept_fit, labelled
 from cladeframe.plans.registry import Registry
 from cladeframe.plans.sql import CELLS, GBI, STATES, TRIM, sig, with_
 from cladeframe.plans.validation import _COEF
 from cladeframe.sources.tables import table
+from cladeframe.workspace import Workspace
 
 R = Registry()
 
@@ -111,43 +112,41 @@ _BOUND_NULLS = f"""part AS (
 obs AS (SELECT study_id, gene_id, component, count(*) AS n, avg(v) FILTER (WHERE state = 1) - avg(v) FILTER (WHERE state = 0) AS d FROM part GROUP BY 1, 2, 3),
 nul AS (SELECT study_id, gene_id, component, replicate, CASE WHEN n1 > 0 AND n1 < n THEN s1 / n1 - (s - s1) / (n - n1) END AS score FROM (
   SELECT study_id, gene_id, component, replicate, count(*) AS n, count(*) FILTER (WHERE w.state = 1) AS n1, sum(v) AS s, coalesce(sum(v) FILTER (WHERE w.state = 1), 0) AS s1 FROM part JOIN worlds w USING (study_id, branch_id) GROUP BY 1, 2, 3, 4))"""
-_ONLY_WORLDS = _NULLS.split("nulls AS (")[0].rstrip().rstrip(",")
 
 
 @R.add("k05_boundary_calibration", with_(CELLS, _EDGES, _CLOSED, _BOUNDARY, STATES, _ONLY_WORLDS, _BOUND_NULLS) + f"""
-  SELECT study_id, gene_id, component, n_null, exceedances, CASE WHEN n_null = {_WORLDS} AND d IS NOT NULL AND n >= 3 THEN (exceedances + 1) / {_WORLDS + 1}.0::DOUBLE END AS p FROM obs JOIN (
-    SELECT u.study_id, u.gene_id, u.component, count(score) AS n_null, count(*) FILTER (WHERE abs(round(score, 7)) >= abs(round(d, 7))) AS exceedances FROM nul u JOIN obs USING (study_id, gene_id, component) GROUP BY 1, 2, 3) USING (study_id, gene_id, component)""")
+  SELECT study_id, gene_id, component, status, n_null, CASE WHEN status IN ('CALIBRATED', 'TOO_FEW_LABELLINGS') THEN hits END AS exceedances, CASE WHEN status = 'CALIBRATED' THEN (hits + 1) / {_WORLDS + 1}.0::DOUBLE END AS p FROM (
+    SELECT study_id, gene_id, component, n_null, hits, CASE WHEN d IS NULL OR n < 3 THEN 'OBSERVED_DIAGNOSTIC_NONESTIMABLE' WHEN n_null < {_WORLDS} THEN 'NULL_CALIBRATION_INCOMPLETE' WHEN round(n_labellings) <= {_WORLDS} THEN 'TOO_FEW_LABELLINGS' ELSE 'CALIBRATED' END AS status FROM obs LEFT JOIN ways USING (study_id) JOIN (
+      SELECT u.study_id, u.gene_id, u.component, count(score) AS n_null, count(*) FILTER (WHERE abs(score) >= abs(d) - 1e-10 * greatest(1, abs(d))) AS hits FROM nul u JOIN obs USING (study_id, gene_id, component) GROUP BY 1, 2, 3) USING (study_id, gene_id, component))""")
 def k05_boundary_calibration(spark, folder):
     """Both boundary components against the same null worlds; never one joint p."""
-    return _boundary_calibration(spark, folder).select("study_id", "gene_id", "component", "n_null", "exceedances", "p")
+    return _boundary_calibration(spark, folder).select("study_id", "gene_id", "component", "status", "n_null", "exceedances", "p")
 
 
-def _boundary_calibration(spark, folder, fit=closed_form, worlds_of=association.arithmetic_worlds, n_worlds=_WORLDS):
-    m = matrix(spark, folder)
+def _boundary_calibration(spark, folder, fit=closed_form, null_names=("permutation",)):
+    """Per gene, component and named null; the worlds of a null serve both components."""
+    work = Workspace(spark, "k05")
     b = boundary_cells(spark, folder, fit).withColumn("available", F.col("ratio_state") != "UNAVAILABLE")
-    d = association.domain(b, traits.branch_states(m, states(spark, folder))).where("eligible")
-    own = states(spark, folder).join(m.select("study_id", "branch_id").distinct(), ["study_id", "branch_id"], "left_semi")
-    worlds = worlds_of(own, n_worlds)
-    out = None
-    zero = F.when(F.col("ratio_state") == "EXACT_ZERO_BOUNDARY", 1.0).otherwise(0.0)
-    for name, value, rows in (("ZERO_MASS", zero, d), ("POSITIVE_LOG", F.col("positive_log"), d.where("ratio_state = 'POSITIVE'"))):
-        part = rows.withColumn("rate", value)
-        cal = association.calibrate(association.binary(part), association.null_scores(part, worlds), n_worlds, places=7)
-        cal = cal.withColumn("component", F.lit(name))
-        out = cal if out is None else out.unionByName(cal)
-    return out if worlds_of is association.arithmetic_worlds else association.mark_few(out, association.labellings(own), n_worlds)
-
-
-def _permuted_boundary(spark, folder):
-    return _boundary_calibration(spark, folder, kept_fit, association.permuted_worlds, PERMUTATIONS)
+    d = work.save(association.domain(b, traits.branch_states(matrix(spark, folder), states(spark, folder))).where("eligible"), "cells")
+    own = work.save(labelled(spark, folder), "own")
+    return association.calibrate_boundary(d, {name: association.permuted_worlds(own, _WORLDS, 3 + i) for i, name in enumerate(null_names)}, association.labellings(own), _WORLDS)
 
 
 @R.add("k05_boundary_calibration_c3")
 def k05_boundary_calibration_c3(spark, folder):
-    return _permuted_boundary(spark, folder).select("study_id", "gene_id", "component", "status", "n_null", "exceedances", "p")
+    """On the fit itself, against two named nulls."""
+    return _boundary_calibration(spark, folder, kept_fit, ("permutation", "permutation_2"))
 
 
-@R.add("k07_boundary_adjusted")
+@R.add("k07_boundary_adjusted", f"""SELECT study_id, gene_id, component, 'permutation' AS null_family, p, n AS n_tests, {sig("least(1.0, min(p * n / k) OVER (PARTITION BY study_id, component ORDER BY k DESC))", 6)} AS p_bh, {sig("least(1.0, min(p * n * h / k) OVER (PARTITION BY study_id, component ORDER BY k DESC))", 6)} AS p_by
+  FROM (SELECT *, sum(1.0 / k) OVER (PARTITION BY study_id, component) AS h FROM (SELECT *, row_number() OVER (PARTITION BY study_id, component ORDER BY p, gene_id) AS k, count(*) OVER (PARTITION BY study_id, component) AS n FROM ({R.sql["k05_boundary_calibration"]}) WHERE p IS NOT NULL))""")
 def k07_boundary_adjusted(spark, folder):
-    """Adjustment within each component, on the fit itself."""
-    return adjust(_permuted_boundary(spark, folder), "p", ["study_id", "component"], ["gene_id"]).select("study_id", "gene_id", "component", "p", "p_bh", "p_by", "n_tests")
+    """Adjustment within each component and null family."""
+    rows = adjust(_boundary_calibration(spark, folder), "p", ["study_id", "component", "null_family"], ["gene_id"]).where("p IS NOT NULL")
+    return rows.select("study_id", "gene_id", "component", "null_family", "p", "n_tests", digits("p_bh", 6).alias("p_bh"), digits("p_by", 6).alias("p_by"))
+
+
+@R.add("k07_boundary_adjusted_c3")
+def k07_boundary_adjusted_c3(spark, folder):
+    rows = _boundary_calibration(spark, folder, kept_fit, ("permutation", "permutation_2"))
+    return adjust(rows, "p", ["study_id", "component", "null_family"], ["gene_id"]).select("study_id", "gene_id", "component", "null_family", "p", "p_bh", "p_by", "n_tests")

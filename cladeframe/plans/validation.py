@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cladeframe.operators import baseline, sets, tree, validation
+from cladeframe.operators import baseline, reporting, sets, tree, validation, variants
 from cladeframe.plans.matrix import digits, matrix, rates, states
 from cladeframe.plans.registry import Registry
 from cladeframe.plans.sql import CELLS, GBI, STATES, TRIM, sig, with_
@@ -50,15 +50,33 @@ def i01_parsimony_states(spark, folder):
     return tree.parsimony_states(_edges(spark, folder), states(spark, folder))
 
 
-@R.add("i03_model_variants")
+_VARIANTS = ", ".join(f"('{variants.name(*v)}', '{v[0]}', '{v[1]}', {v[2]})" for v in variants.VARIANTS)
+
+
+@R.add("i03_model_variants", with_(STATES) + f"""
+  SELECT s.study_id, model, branch_id, CASE WHEN coalesce(n_focal >= k, false) AND s.state = 1 AND ((rule = 'drop' AND coalesce(place = k, false)) OR (rule = 'only' AND NOT coalesce(place = k, false))) THEN 0.5::DOUBLE WHEN axis = 'wide' AND s.state = 0.5 THEN 1.0 ELSE s.state END AS state
+  FROM states s CROSS JOIN (VALUES {_VARIANTS}) v(model, axis, rule, k) LEFT JOIN (SELECT study_id, genus, row_number() OVER (PARTITION BY study_id ORDER BY genus) AS place FROM (SELECT DISTINCT study_id, genus FROM states WHERE state = 1 AND genus IS NOT NULL)) f ON f.study_id = s.study_id AND f.genus = s.genus
+    LEFT JOIN (SELECT study_id, count(DISTINCT genus) AS n_focal FROM states WHERE state = 1 GROUP BY 1) n ON n.study_id = s.study_id""")
 def i03_model_variants(spark, folder):
-    """Three codings of the trait (as it is, intermediates focal, intermediates reference) as one job."""
-    s = states(spark, folder)
-    codes = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), v.alias("state")) for n, v in (
-        ("baseline", F.col("state")), ("intermediate_focal", F.when(F.col("state") == 0.5, 1.0).otherwise(F.col("state"))), ("intermediate_reference", F.when(F.col("state") == 0.5, 0.0).otherwise(F.col("state"))))]))
-    tips = s.select("study_id", "branch_id", codes.alias("x")).select("study_id", "branch_id", "x.*")
-    out = tree.parsimony_states(_edges(spark, folder), tips, ("model",))
-    return out.groupBy("study_id", "model", "state", "screened").agg(F.count(F.lit(1)).alias("n_branches"))
+    """The fourteen codings of the trait, terminal by terminal."""
+    return variants.model_variants(states(spark, folder)).select("study_id", "model", "branch_id", "state")
+
+
+def _variant_states(spark, folder, work):
+    """Terminals and reconstructed branch states of all variants; the arrays have a variant at every place."""
+    t = work.save(variants.model_variants(states(spark, folder)), "terminals")
+    names = [variants.name(*v) for v in variants.VARIANTS]
+    tips = t.groupBy("study_id", "branch_id").agg(F.map_from_entries(F.collect_list(F.struct("model", "state"))).alias("m")).select("study_id", "branch_id", F.array(*[F.col("m")[n] for n in names]).alias("states"))
+    arrays = tree.parsimony_arrays(_edges(spark, folder), tips)
+    rows = arrays.select("study_id", "branch_id", F.posexplode("states").alias("i", "state"))
+    return t, work.save(rows.select("study_id", "branch_id", F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1).alias("model"), "state"), "states")
+
+
+@R.add("i03_model_states")
+def i03_model_states(spark, folder):
+    """Branches by reconstructed state in every variant."""
+    _, b = _variant_states(spark, folder, Workspace(spark, "i03"))
+    return b.groupBy("study_id", "model", "state").agg(F.count(F.lit(1)).alias("n_branches"))
 
 
 _PERMUTATIONS = 200
@@ -71,27 +89,30 @@ def k09_permutation_worlds(spark, folder):
 
 
 def permutation_worlds(edges, s, r, n_worlds):
-    """The number of genes selected (strict prefix at 0.01) and the share of them with t < 0, against ``n_worlds`` worlds.
+    """Genes selected (strict prefix at 0.01), and the share of them with t > 0, against ``n_worlds`` worlds.
 
-    A world that selects nothing counts as 0, and has no share.
+    The observed screen has t as background minus focal, the worlds have it as focal minus background; both call t > 0 slow.  This
+    mismatch of direction is the historical one and kept.  A world that selects nothing counts as 0 and has no share.
     """
-    from cladeframe.operators.association import labellings, permuted_worlds
+    from cladeframe.operators.association import group_sums, labellings, permuted_worlds, worlds_as_arrays
 
     work = Workspace(edges.sparkSession, "k09")
-    s = s.where(F.col("state").isin(0.0, 1.0))
-    worlds = permuted_worlds(s, n_worlds).unionByName(s.select("study_id", F.lit(0).alias("replicate"), "branch_id", "state"))
-    annotated = work.save(tree.parsimony_states(edges, worlds, ("replicate",)).where("screened").select("study_id", "replicate", "branch_id", "state"), "worlds")
-    stats = baseline.group_statistics(r.where("gbi IS NOT NULL"), annotated, "gbi", ("replicate",))
-    tested = baseline.strict_prefix(baseline.welch(stats, focal_first=True), "p", ["study_id", "replicate"], ["gene_id"])
-    chosen = tested.where("selected").groupBy("study_id", "replicate").agg(F.count(F.lit(1)).alias("n_low"), F.avg(F.when(F.col("t") < 0, 1.0).otherwise(0.0)).alias("slow"))
-    every = s.select("study_id").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_worlds))))
-    per = work.save(every.join(chosen, ["study_id", "replicate"], "left").withColumn("n_low", F.coalesce("n_low", F.lit(0).cast("bigint"))), "screens")
-    o = per.where("replicate = 0").select("study_id", F.col("n_low").alias("observed_low"), F.col("slow").alias("observed_slow"))
-    rows = per.where("replicate > 0").join(o, "study_id")
+    s = work.save(s.where(F.col("state").isin(0.0, 1.0)), "labelled")
+    r = work.save(r.where("gbi IS NOT NULL").select("study_id", "gene_id", "branch_id", "gbi"), "rates")
+    arrays = work.save(tree.parsimony_arrays(edges, worlds_as_arrays(permuted_worlds(s, n_worlds), s)), "worlds")
+    observed = arrays.select("study_id", "branch_id", F.get("states", F.lit(0)).alias("state"))
+    own = baseline.screen(r, observed).where("selected").groupBy("study_id").agg(F.count(F.lit(1)).alias("observed_n"), F.avg(F.when(F.col("t") > 0, 1.0).otherwise(0.0)).alias("observed_slow"))
+    tested = baseline.welch(group_sums(r, arrays, "gbi").where("replicate > 0"), focal_first=True).where("p IS NOT NULL").select("study_id", "gene_id", "replicate", "t", "p")
+    chosen = baseline.strict_prefix(tested, "p", ["study_id", "replicate"], ["gene_id"]).where("selected")
+    chosen = chosen.groupBy("study_id", "replicate").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("t") > 0, 1.0).otherwise(0.0)).alias("slow"))
+    every = s.select("study_id").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_worlds))))
+    per = work.save(every.join(chosen, ["study_id", "replicate"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint"))), "screens")
+    rows = per.join(own, "study_id", "left").withColumn("observed_n", F.coalesce("observed_n", F.lit(0).cast("bigint")))
     few = F.first("n_labellings") <= n_worlds
     return rows.join(labellings(s), "study_id").groupBy("study_id").agg(
-        F.first("observed_low").alias("observed_low"), F.median("n_low").alias("null_median"), F.min("n_low").alias("null_min"), F.max("n_low").alias("null_max"),
-        F.when(~few, (F.count_if(F.col("n_low") >= F.col("observed_low")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"),
+        F.first("observed_n").alias("observed_n"), F.first("observed_slow").alias("observed_slow"), F.median("n").alias("null_median"), F.min("n").alias("null_min"), F.max("n").alias("null_max"),
+        F.count("slow").alias("n_defined"), F.median("slow").alias("null_median_slow"), F.min("slow").alias("null_min_slow"), F.max("slow").alias("null_max_slow"),
+        F.when(~few, (F.count_if(F.col("n") >= F.col("observed_n")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"),
         F.when(~few & F.first("observed_slow").isNotNull() & (F.count("slow") > 0), (F.count_if(F.col("slow") >= F.col("observed_slow")) + 1) / (F.count("slow") + 1)).alias("slow_p"),
         F.count(F.lit(1)).alias("n_worlds"), F.when(few, "TOO_FEW_LABELLINGS").otherwise("CALIBRATED").alias("status"))
 
@@ -102,13 +123,12 @@ def f07_terminal_frame(spark, folder):
 
 
 @R.add("f10_gene_annotation", with_(CELLS, STATES) + """SELECT c.study_id, c.branch_id, CASE WHEN m.coord_state IS NULL THEN 'absent' WHEN m.coord_state <> 'observed' THEN m.coord_state WHEN m.value IS NULL THEN 'no payload' WHEN m.value = 0 THEN 'zero' ELSE 'value' END AS label
-  FROM coords c LEFT JOIN (SELECT * FROM cells WHERE gene_id = (SELECT gene_id FROM cells GROUP BY 1 ORDER BY count(*) DESC, gene_id LIMIT 1)) m USING (study_id, branch_id)""")
+  FROM coords c LEFT JOIN (SELECT * FROM cells WHERE gene_id = (SELECT gene_id FROM cells GROUP BY 1 ORDER BY count(*) DESC, gene_id LIMIT 1)) m USING (study_id, branch_id) WHERE c.side_a_taxa IS NOT NULL AND c.side_b_taxa IS NOT NULL""")
 def f10_gene_annotation(spark, folder):
-    """The tree edges of every study with the cells of the gene that has most of them."""
+    """The rooted tree edges of every study with the cells of the gene that has most of them."""
     m = matrix(spark, folder)
-    gene = m.groupBy("gene_id").count().orderBy(F.desc("count"), "gene_id").first().gene_id
-    e = _splits(spark, folder).withColumn("parent_branch", F.lit(None).cast("string"))
-    return tree.annotate_gene(m, e, gene).select("study_id", "branch_id", "label")
+    gene = m.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("gene_id", F.struct("n", F.transform(F.split("gene_id", ""), lambda c: -F.ascii(c)))).alias("gene_id"))
+    return tree.annotate_gene(m.join(gene, "gene_id", "left_semi"), _edges(spark, folder)).select("study_id", "branch_id", "label")
 
 
 @R.add("l01_folds", with_(STATES) + """SELECT study_id, CAST(k AS INT) AS fold_ord, 'fold_' || lpad(CAST(k AS VARCHAR), 3, '0') AS fold_id, genus, 20260523 + k AS seed FROM (
@@ -136,33 +156,151 @@ def l04_design(spark, folder):
     return d.withColumn("mean", digits("mean", 6)).withColumn("sd", digits("sd", 5))
 
 
+def _branch_states(spark, folder):
+    """States of all branches: terminals as declared, internal ones by parsimony."""
+    out = tree.parsimony_states(_edges(spark, folder), states(spark, folder))
+    return out.select("study_id", "branch_id", "state")
+
+
+def _fold_inputs(spark, folder):
+    work = Workspace(spark, "folds")
+    r = work.save(rates(spark, folder).select("study_id", "gene_id", "branch_id", "gbi"), "rates")
+    return r, work.save(states(spark, folder), "terminals"), work.save(_branch_states(spark, folder), "branches"), work
+
+
 @R.add("l03_fold_features")
 def l03_fold_features(spark, folder):
-    """Genes selected in each fold by the training screen (p under 0.2, so that small studies select some)."""
-    return validation.fold_features(rates(spark, folder), states(spark, folder), level=0.2, prefix=False)
+    """Genes selected in each fold by the training screen over all branches, strict prefix at 0.01."""
+    r, s, b, _ = _fold_inputs(spark, folder)
+    return validation.fold_features(r, s, branches=b)
 
 
-def _out_of_fold(spark, folder):
-    r, s = rates(spark, folder), states(spark, folder)
-    features = validation.fold_features(r, s, level=0.2, prefix=False)
-    return validation.out_of_fold(r, s, validation.make_folds(s, 20260523), features)
+def _out_of_fold(spark, folder, recipe="nested_phase12B"):
+    r, s, b, work = _fold_inputs(spark, folder)
+    folds = validation.make_folds(s, 20260523)
+    everywhere = work.save(baseline.screen(r, b), "screen").where("selected").select("study_id", "gene_id")
+    screen = None
+    if recipe == "global_screen_foldwise":
+        features = everywhere
+    else:
+        screen = work.save(validation.fold_screen(r, s, branches=b), "fold-screen")
+        features = screen.where("selected")
+    return work.save(validation.out_of_fold(r, s, folds, features, recipe=recipe), "oof"), screen, everywhere
 
 
 @R.add("l05_out_of_fold")
 def l05_out_of_fold(spark, folder):
-    """Held-out lasso predictions of every fold of every study."""
-    return _out_of_fold(spark, folder)
+    """Held-out lasso predictions of every fold of every study, features selected within the fold."""
+    return _out_of_fold(spark, folder)[0]
+
+
+@R.add("l05_global_screen")
+def l05_global_screen(spark, folder):
+    """The same with the features of one screen on all data."""
+    return _out_of_fold(spark, folder, "global_screen_foldwise")[0]
+
+
+@R.add("l11_fold_table")
+def l11_fold_table(spark, folder):
+    """One row per fold, with the overlap of its selection with the global one."""
+    oof, screen, everywhere = _out_of_fold(spark, folder)
+    return validation.fold_table(oof, screen, everywhere)
+
+
+@R.add("l11_selected_predictors")
+def l11_selected_predictors(spark, folder):
+    return validation.selected_table(_out_of_fold(spark, folder)[0])
+
+
+@R.add("l11_recipe_delta")
+def l11_recipe_delta(spark, folder):
+    """Nested predictions beside those of the global screen, and their difference, species by species."""
+    a, b = _out_of_fold(spark, folder)[0], _out_of_fold(spark, folder, "global_screen_foldwise")[0]
+    both = a.where("branch_id IS NOT NULL").select("study_id", "species", "branch_id", "state", F.col("prediction").alias("nested")).join(b.where("branch_id IS NOT NULL").select("study_id", "branch_id", F.col("prediction").alias("global")), ["study_id", "branch_id"], "left")
+    return both.withColumn("prediction_delta", F.col("nested") - F.col("global"))
+
+
+@R.add("l12_sensitivity")
+def l12_sensitivity(spark, folder):
+    """Area under the curve, folds by outcome and decision label of every study."""
+    return validation.validation_summary(_out_of_fold(spark, folder)[0])
+
+
+_DECISIONS = "(VALUES (0.50, 0.96), (0.52, 0.95), (0.53, 0.95), (0.50, 0.94), (0.59, 0.10), (0.60, 0.10), (0.70, 0.80), (0.74, 0.79), (0.75, 0.10), (0.99, 0.00), (NULL, 0.5), (0.9, NULL)) t(auc, none_selected)"
+
+
+@R.add("l12_decision_labels", f"""SELECT auc::DOUBLE AS auc, none_selected::DOUBLE AS none_selected, CASE WHEN auc IS NULL OR none_selected IS NULL THEN NULL WHEN auc BETWEEN 0.48 AND 0.52 AND none_selected >= 0.95 THEN 'strict_null_collapse'
+  WHEN auc < 0.60 OR none_selected >= 0.80 THEN 'near_collapse' WHEN auc < 0.75 THEN 'strong_attenuation' ELSE 'retained_sparse_prediction' END AS decision FROM {_DECISIONS}""")
+def l12_decision_labels(spark, folder):
+    """The thresholds of the decision label, at and beside each of them."""
+    rows = [(0.50, 0.96), (0.52, 0.95), (0.53, 0.95), (0.50, 0.94), (0.59, 0.10), (0.60, 0.10), (0.70, 0.80), (0.74, 0.79), (0.75, 0.10), (0.99, 0.00), (None, 0.5), (0.9, None)]
+    d = spark.createDataFrame(rows, "auc double, none_selected double")
+    return d.withColumn("decision", validation.decision(F.col("auc"), F.col("none_selected")))
+
+
+@R.add("l13_taxon_roles", with_(STATES) + """SELECT f.study_id, fold_id, species AS taxon_id, CASE WHEN s.state = 0.5 THEN 'excluded' WHEN s.genus = f.genus THEN 'test' ELSE 'train' END AS role, s.genus AS "group" FROM (
+      SELECT study_id, genus, 'fold_' || lpad(CAST(row_number() OVER (PARTITION BY study_id ORDER BY genus) AS VARCHAR), 3, '0') AS fold_id FROM (SELECT DISTINCT study_id, genus FROM states WHERE genus IS NOT NULL)) f JOIN states s ON s.study_id = f.study_id""")
+def l13_taxon_roles(spark, folder):
+    """The role of every species in every fold."""
+    s = states(spark, folder)
+    return validation.taxon_roles(validation.roles(s, validation.make_folds(s, 20260523)))
+
+
+def _full_fits(spark, folder):
+    """The fourteen full-data fits of every study, on the features of their own global screens."""
+    work = Workspace(spark, "full")
+    t, b = _variant_states(spark, folder, work)
+    r = work.save(rates(spark, folder).select("study_id", "gene_id", "branch_id", "gbi"), "rates")
+    screen = work.save(baseline.screen(r, b, extra=("model",)), "screen")
+    return work.save(validation.full_fit(r, t, screen.where("selected")), "fit"), screen, r, t
+
+
+@R.add("l07_full_coefficients")
+def l07_full_coefficients(spark, folder):
+    f = _full_fits(spark, folder)[0].where("gene_id IS NOT NULL")
+    sign = F.when(F.col("coefficient") > 0, "positive").when(F.col("coefficient") < 0, "negative").otherwise("zero")
+    return f.select("study_id", "model", "gene_id", "status", "coefficient", (F.col("coefficient") != 0).alias("selected"), sign.alias("coefficient_sign"), "lambda")
+
+
+@R.add("l07_full_summary")
+def l07_full_summary(spark, folder):
+    return validation.full_summary(_full_fits(spark, folder)[0])
+
+
+@R.add("l07_partition")
+def l07_partition(spark, folder):
+    """Predictors of the two baselines: of one only, of the other only, of both."""
+    return validation.partition(_full_fits(spark, folder)[0], "declared_baseline", "wide_baseline")
+
+
+@R.add("l09_internal_projection")
+def l09_internal_projection(spark, folder):
+    """Terminal-only screen and fit of both baselines, projected onto the internal branches."""
+    return internal_projection(rates(spark, folder), variants.model_variants(states(spark, folder)).where("drop_rule = 'baseline'"))
+
 
+def internal_projection(r, t):
+    """Screen and fit on terminals alone, projection onto all other branches with the training transforms; a study without a fit does not come out."""
+    work = Workspace(r.sparkSession, "l09")
+    r, t = work.save(r.select("study_id", "gene_id", "branch_id", "gbi"), "rates"), work.save(t, "terminals")
+    tested = baseline.welch(baseline.group_statistics(r.where("gbi IS NOT NULL"), t.select("study_id", "model", "branch_id", "state"), "gbi", ("model",))).where("p IS NOT NULL")
+    chosen = baseline.strict_prefix(tested, "p", ["study_id", "model"], ["gene_id"]).where("selected")
+    fit = work.save(validation.full_fit(r, t, chosen), "fit").where("status = 'fit' AND sd IS NOT NULL")
+    targets = r.join(t.select("study_id", "branch_id").distinct(), ["study_id", "branch_id"], "left_anti")
+    parts = [validation.project(targets, fit.where(F.col("model") == m)).withColumn("model", F.lit(m)) for m in ("declared_baseline", "wide_baseline")]
+    return parts[0].unionByName(parts[1]).select("study_id", "model", "branch_id", "logit", "probability", "n_imputed")
 
-@R.add("l12_oof_auc")
-def l12_oof_auc(spark, folder):
-    """Area under the curve of the held-out predictions per study, with folds by status."""
-    from cladeframe.functions.stats import auc
 
-    oof = Workspace(spark, "oof").save(_out_of_fold(spark, folder), "oof")
-    a = auc(oof.where("branch_id IS NOT NULL"), "prediction", "state", ["study_id"])
-    n = oof.groupBy("study_id").agg(F.count_distinct("fold_id").alias("n_folds"), F.count_distinct(F.when(F.col("status").startswith("fit"), F.col("fold_id"))).alias("n_fitted"))
-    return a.join(n, "study_id")
+@R.add("l10_fingerprints")
+def l10_fingerprints(spark, folder):
+    """Contributions of every selected predictor to every terminal under the fitted baseline, with its held-out prediction beside it."""
+    fit, _, r, t = _full_fits(spark, folder)
+    c = fit.where("model = 'declared_baseline' AND coefficient <> 0")
+    parts = reporting.contributions(r.join(t.where("model = 'declared_baseline'").select("study_id", "branch_id"), ["study_id", "branch_id"], "left_semi"), c.select("study_id", "gene_id", "coefficient", "mean", "sd", "intercept"), "gbi")
+    logit = parts.join(c.select("study_id", "gene_id", "intercept"), ["study_id", "gene_id"]).groupBy("study_id", "branch_id").agg((F.first("intercept") + F.sum("contribution")).alias("logit"), F.count(F.lit(1)).alias("n_predictors"), F.count_if("imputed").cast("bigint").alias("n_imputed"))
+    oof = _out_of_fold(spark, folder)[0].where("branch_id IS NOT NULL").select("study_id", "branch_id", F.col("prediction").alias("held_out_probability"))
+    out = logit.withColumn("fitted_probability", 1 / (1 + F.exp(-F.col("logit")))).join(oof, ["study_id", "branch_id"], "left")
+    return out.withColumn("fitted_minus_held_out", F.col("fitted_probability") - F.col("held_out_probability"))
 
 
 _COEF = """coef AS (SELECT study_id, gene_id, mean, sd, 1.0 / k AS coefficient, -0.5::DOUBLE AS intercept FROM (SELECT study_id, gene_id, avg(gbi) AS mean, stddev_samp(gbi) AS sd, row_number() OVER (PARTITION BY study_id ORDER BY gene_id) AS k FROM rates GROUP BY 1, 2) WHERE sd > 0)"""
