@@ -61,6 +61,42 @@ def rate(cells: DataFrame, fitted: DataFrame, method: str) -> DataFrame:
     )
 
 
+C2_METHODS = ("ADD_C2", "GBI_C2", "logGBI_C2")
+
+
+def c2_rate(cells: DataFrame, evaluated: DataFrame, method: str) -> DataFrame:
+    """A rate on the sensitivity baseline, never a production rate: as ``rate``, with the support labels of that baseline.
+
+    ``evaluated`` is ``c2.evaluate``: cells with their ``c2_state`` and ``mu``.
+    """
+    if method not in C2_METHODS:
+        raise ContractError(f"unknown sensitivity rate {method}")
+    f = evaluated.select(*KEY, F.col("y").alias("__y"), F.col("mu").alias("__mu"), F.col("c2_state").alias("__s"))
+    rows = cells.join(f, list(KEY), "left")
+    y, mu, state, observed = F.col("__y"), F.col("__mu"), F.col("__s"), F.col("coord_state") == "observed"
+    edge, base = y.isNotNull(), mu.isNotNull()
+    available = F.coalesce(base & (y > 0) if method == "logGBI_C2" else base, F.lit(False))
+    value = {"ADD_C2": y - mu, "GBI_C2": F.try_divide(y, mu), "logGBI_C2": F.ln(F.when(y > 0, y / mu))}[method]
+    elig = F.col("elig_status") if "elig_status" in cells.columns else F.when(edge, "eligible").when(observed, "unresolved").otherwise("not_applicable")
+    reason = (
+        F.when(available, "available").when(edge & base, "input_zero_log_undefined").when(edge & (state == "cross_component"), "cross_component_baseline_unavailable").when(edge, "baseline_unavailable")
+        .when(~observed, "coordinate_unavailable").when(elig == "ineligible", "measurement_ineligible").when(F.col("value").isNull() & (elig == "eligible"), "observed_payload_unavailable").otherwise("measurement_unresolved")
+    )
+    support = F.when(base, "C2_SUPPORTED").when(state == "cross_component", "C2_CROSS_COMPONENT").when(edge, "C2_UNSUPPORTED_VERTEX").otherwise("BASELINE_UNAVAILABLE")
+    return rows.select(*KEY, F.when(available, value).alias("rate"), available.alias("available"), reason.alias("reason"), support.alias("support"))
+
+
+def encoded_mismatches(view: DataFrame, boundary: DataFrame, depth: float = 10.0) -> DataFrame:
+    """Cells of an encoded view that its source boundary object does not give again: ``issue`` is ``view_only``, ``source_only``, ``value`` or ``zero_flag``.
+
+    A subset view is compared on its own cells, with the sentinel of the full source.
+    """
+    again = encoded(boundary, None, depth).select(*KEY, F.col("encoded").alias("__e"), F.col("zero_encoded").alias("__z"), F.lit(True).alias("__s"))
+    rows = view.select(*KEY, "encoded", "zero_encoded", F.lit(True).alias("__v")).join(again, list(KEY), "left")
+    issue = F.when(F.col("__s").isNull(), "view_only").when(~F.col("encoded").eqNullSafe(F.col("__e")), "value").when(~F.col("zero_encoded").eqNullSafe(F.col("__z")), "zero_flag")
+    return rows.select(*KEY, issue.alias("issue")).where("issue IS NOT NULL")
+
+
 def log_relative(gbi: DataFrame) -> DataFrame:
     """The boundary object of a GBI rate: POSITIVE with its logarithm, EXACT_ZERO_BOUNDARY, or UNAVAILABLE with the reason.
 

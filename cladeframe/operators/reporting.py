@@ -62,6 +62,29 @@ def run_diagnostics(trimmed: DataFrame, rates: DataFrame) -> DataFrame:
     return t.join(r, "study_id")
 
 
-def recipes() -> list[tuple[str, str, str]]:
-    """The recipes offered: name, what it screens, how it validates."""
-    return [("nested_phase12B", "training_screen", "leave_one_genus_out"), ("nested_phase13", "training_screen", "leave_one_genus_out"), ("global_screen_foldwise", "global_screen", "leave_one_genus_out")]
+def recipes() -> list[tuple[str, str, str, str, str]]:
+    """The recipes offered: recipe, version, validation recipe, selection, footprint.
+
+    Fixed values: the texts are part of the results.
+    """
+    footprint = "inclusive gene q0.975/type7; arithmetic GE/BE; divide BE then GE; historical castor ASR; reference-minus-focal Welch; strict-prefix FDR0.01"
+    return [
+        ("submitted_S2", "S2", "nested_phase12B", "fold-held branches excluded; nested_multiply arithmetic", footprint),
+        ("submitted_S2", "S2", "nested_phase13", "fold-held branches excluded; phase13_power arithmetic", footprint),
+        ("submitted_S2", "S2", "global_screen_foldwise", "global supervised screen reused; not nested feature selection", footprint),
+    ]
+
+
+def screening_table(screened: DataFrame, states: DataFrame) -> DataFrame:
+    """Per study and model: genes in, tested and skipped, branches screened, genes selected, slow and fast ones and their shares."""
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False))).cast("bigint")
+    s, t = F.col("selected"), F.col("t")
+    genes = screened.groupBy("study_id", "model").agg(F.count(F.lit(1)).alias("n_input_genes"), F.count("t").alias("n_tested_genes"), n(t.isNull()).alias("n_skipped_genes"), n(s).alias("n_significant"), n(s & (t > 0)).alias("n_slow"), n(s & (t < 0)).alias("n_fast"))
+    branches = states.groupBy("study_id", "model").agg(n(F.col("state").isin(0.0, 1.0)).alias("n_branches_screened"))
+    out = genes.join(branches, ["study_id", "model"])
+    return out.withColumn("slow_proportion", F.try_divide("n_slow", "n_significant")).withColumn("fast_proportion", F.try_divide("n_fast", "n_significant"))
+
+
+def habitat(first: Column, second: Column) -> Column:
+    """Four categories of two codings of a trait: ``marine`` where the first is 1, else by the second (1, 0.5, 0); null where it is missing."""
+    return F.when(first == 1, "marine").when(second == 1, "non-marine aquatic").when(second == 0.5, "semi-aquatic").when(second == 0, "terrestrial")

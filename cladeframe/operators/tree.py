@@ -220,6 +220,27 @@ def parsimony_states(edges: DataFrame, tips: DataFrame, by: tuple[str, ...] = ()
     return out.withColumn("state", s).withColumn("screened", F.coalesce(s.isin(0.0, 1.0), F.lit(False))).withColumn("reason", F.when(s == 0.5, "intermediate_excluded"))
 
 
+def match_edges(main: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of two rooted trees of a study with the same clade, ``(study_id, branch_id, other_branch, clade)``, and the ledger of those that have none or several.
+
+    Both have ``(study_id, branch_id, clade)``.  The ledger says ``main`` or ``other`` for the side and how many partners there are.
+    """
+    a, b = main.select("study_id", "branch_id", "clade"), other.select("study_id", F.col("branch_id").alias("other_branch"), "clade")
+    pairs = a.join(b, ["study_id", "clade"])
+    ledger = []
+    for side, own, name in (("main", a, "branch_id"), ("other", b, "other_branch")):
+        n = own.join(pairs.groupBy("study_id", name).agg(F.count(F.lit(1)).alias("n")), ["study_id", name], "left")
+        ledger.append(n.select("study_id", F.lit(side).alias("side"), F.col(name).alias("branch_id"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n_partners")).where("n_partners <> 1"))
+    once = pairs.join(ledger[0].select("study_id", "branch_id"), ["study_id", "branch_id"], "left_anti").join(ledger[1].select("study_id", F.col("branch_id").alias("other_branch")), ["study_id", "other_branch"], "left_anti")
+    return once.select("study_id", "branch_id", "other_branch", "clade"), ledger[0].unionByName(ledger[1])
+
+
+def map_states(states: DataFrame, pairs: DataFrame) -> DataFrame:
+    """States reconstructed on another tree carried over to the branches of the main one, by matched edges; ``pairs`` as ``match_edges`` gives them."""
+    own = states.select("study_id", F.col("branch_id").alias("other_branch"), "state")
+    return pairs.join(own, ["study_id", "other_branch"]).select("study_id", "branch_id", "state")
+
+
 _ARRAYS = "study_id string, branch_id string, states array<double>"
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from cladeframe.plans import io, matrix, models, quality, records, reports, validation
+from cladeframe.plans import io, matrix, models, objects, quality, records, reports, validation
 from pyspark.sql import DataFrame, SparkSession
 
 from cladeframe.plans.registry import Query
 
-_REGISTRIES = (records.R, matrix.R, quality.R, models.R, validation.R, reports.R, io.R)
+_REGISTRIES = (records.R, matrix.R, quality.R, models.R, validation.R, reports.R, objects.R, io.R)
 
 
 def queries() -> dict[str, Query]:

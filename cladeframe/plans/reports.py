@@ -25,11 +25,18 @@ def a08_ledger_agreement(spark, folder):
     return traits.key_agreement(matrix(spark, folder), traits.in_force(table(spark, folder, "coordinates"), ["study_id", "branch_id"]), ["study_id", "branch_id"], "matrix", "ledger")
 
 
-@R.add("a08_preserved_rows", with_(CELLS) + "SELECT study_id, gene_id, branch_id, coord_state, 'first' AS side FROM cells WHERE coord_state <> 'observed'")
+@R.add("a08_preserved_rows", """
+  WITH v AS (SELECT *, row_number() OVER (PARTITION BY study_id, gene_id, coordinate_id ORDER BY run_day DESC NULLS LAST, loaded_at DESC NULLS LAST, cell_id DESC) AS late, row_number() OVER (PARTITION BY study_id, gene_id, coordinate_id ORDER BY run_day, loaded_at, cell_id) AS early
+    FROM state_ledger WHERE study_id IS NOT NULL AND gene_id IS NOT NULL AND coordinate_id IS NOT NULL AND run_day IS NOT NULL AND loaded_at IS NOT NULL)
+  SELECT 'first' AS side, * FROM (SELECT study_id, gene_id, coordinate_id AS branch_id, state FROM v WHERE early = 1 EXCEPT ALL SELECT study_id, gene_id, coordinate_id, state FROM v WHERE late = 1)
+  UNION ALL SELECT 'second', * FROM (SELECT study_id, gene_id, coordinate_id, state FROM v WHERE late = 1 EXCEPT ALL SELECT study_id, gene_id, coordinate_id, state FROM v WHERE early = 1)""")
 def a08_preserved_rows(spark, folder):
-    """Rows that only one of two views of the matrix holds: the whole, and its observed part."""
-    m = matrix(spark, folder)
-    return reporting.same_cells(m, m.where("coord_state = 'observed'"), ["study_id", "gene_id", "branch_id", "coord_state"])
+    """States that the first and the last export of a cell do not have in common."""
+    rows = table(spark, folder, "state_ledger").where("study_id IS NOT NULL AND gene_id IS NOT NULL AND coordinate_id IS NOT NULL AND run_day IS NOT NULL AND loaded_at IS NOT NULL")
+    order = F.struct("run_day", "loaded_at", "cell_id")
+    ends = rows.groupBy("study_id", "gene_id", F.col("coordinate_id").alias("branch_id")).agg(F.min_by("state", order).alias("a"), F.max_by("state", order).alias("b"))
+    side = lambda c: ends.select("study_id", "gene_id", "branch_id", F.col(c).alias("state"))
+    return reporting.same_cells(side("a"), side("b"), ["study_id", "gene_id", "branch_id", "state"])
 
 
 @R.add("b06_accessors", with_(CELLS, _EDGES, _CLOSED, _BOUNDARY) + """SELECT study_id, gene_id, branch_id, CASE ratio_state WHEN 'EXACT_ZERO_BOUNDARY' THEN true WHEN 'POSITIVE' THEN false END AS exact_zero, ratio_state <> 'UNAVAILABLE' AS ratio_available, positive_log IS NOT NULL AS log_available FROM boundary""")
@@ -100,9 +107,22 @@ def r10_run_diagnostics(spark, folder):
     return reporting.run_diagnostics(t, baseline.ratio(t))
 
 
-@R.add("r01_recipes", "SELECT * FROM (VALUES ('nested_phase12B', 'training_screen', 'leave_one_genus_out'), ('nested_phase13', 'training_screen', 'leave_one_genus_out'), ('global_screen_foldwise', 'global_screen', 'leave_one_genus_out')) t(recipe, screen, validation)")
+_FOOT = "'inclusive gene q0.975/type7; arithmetic GE/BE; divide BE then GE; historical castor ASR; reference-minus-focal Welch; strict-prefix FDR0.01'"
+
+
+@R.add("r01_recipes", f"""SELECT 'submitted_S2' AS recipe, 'S2' AS version, validation_recipe, selection, {_FOOT} AS footprint FROM (VALUES ('nested_phase12B', 'fold-held branches excluded; nested_multiply arithmetic'), ('nested_phase13', 'fold-held branches excluded; phase13_power arithmetic'),
+  ('global_screen_foldwise', 'global supervised screen reused; not nested feature selection')) t(validation_recipe, selection)""")
 def r01_recipes(spark, folder):
-    return spark.createDataFrame(reporting.recipes(), "recipe string, screen string, validation string")
+    return spark.createDataFrame(reporting.recipes(), "recipe string, version string, validation_recipe string, selection string, footprint string")
+
+
+@R.add("b16_habitat", with_(STATES) + """SELECT study_id, species, CASE WHEN state = 1 THEN 'marine' WHEN wide = 1 THEN 'non-marine aquatic' WHEN wide = 0.5 THEN 'semi-aquatic' WHEN wide = 0 THEN 'terrestrial' END AS category
+  FROM (SELECT study_id, species, state, CASE WHEN genus IS NULL THEN NULL WHEN length(species) % 3 = 0 THEN 1 ELSE state END AS wide FROM states)""")
+def b16_habitat(spark, folder):
+    """Four categories from two codings: the trait, and one that counts names of a third of all lengths as focal too."""
+    s = states(spark, folder)
+    wide = F.when(F.col("genus").isNotNull(), F.when(F.length("species") % 3 == 0, 1.0).otherwise(F.col("state")))
+    return s.select("study_id", "species", reporting.habitat(F.col("state"), wide).alias("category"))
 
 
 _BOUND_NULLS = f"""part AS (

@@ -352,13 +352,49 @@ def n02_overlap(spark, folder):
     return sets.compare_sets(_sets(spark, folder), ["study_id"], "name", "member", "high", "low")
 
 
-@R.add("n03_module_metrics", with_(CELLS, _BSETS) + f"""SELECT study_id, count(*) FILTER (WHERE x > 0 AND y > 0)::DOUBLE / count(*) AS module_jaccard, {sig("CASE WHEN sum(x * x) > 0 AND sum(y * y) > 0 THEN sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) END", 6)} AS module_cosine FROM (
-    SELECT study_id, CASE WHEN length(member) > 3 THEN 'REVIEW_UNANNOTATED' ELSE left(member, 2) END AS module, count(*) FILTER (WHERE name = 'high')::DOUBLE AS x, count(*) FILTER (WHERE name = 'low')::DOUBLE AS y FROM sets GROUP BY 1, 2) GROUP BY 1""")
+@R.add("n03_module_metrics", with_(CELLS, _BSETS) + f"""SELECT study_id, n_first, n_second, gene_jaccard, coalesce(n_first_annotated, 0) AS n_first_annotated, coalesce(n_second_annotated, 0) AS n_second_annotated, module_jaccard, module_cosine FROM (
+    SELECT study_id, count(*) FILTER (WHERE a) AS n_first, count(*) FILTER (WHERE b) AS n_second, count(*) FILTER (WHERE a AND b)::DOUBLE / count(*) AS gene_jaccard FROM ab GROUP BY 1) LEFT JOIN (
+    SELECT study_id, sum(x)::BIGINT AS n_first_annotated, sum(y)::BIGINT AS n_second_annotated, count(*) FILTER (WHERE x > 0 AND y > 0)::DOUBLE / count(*) AS module_jaccard, {sig("CASE WHEN sum(x * x) > 0 AND sum(y * y) > 0 THEN sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) END", 6)} AS module_cosine FROM (
+      SELECT study_id, left(member, 2) AS module, count(*) FILTER (WHERE name = 'high')::DOUBLE AS x, count(*) FILTER (WHERE name = 'low')::DOUBLE AS y FROM sets WHERE length(member) <= 3 GROUP BY 1, 2) GROUP BY 1) USING (study_id)""")
 def n03_module_metrics(spark, folder):
     """Modules of branches by the first two characters of labels of up to three characters; longer labels have none."""
-    s = _sets(spark, folder)
-    modules = s.where(F.length("member") <= 3).select("member", F.left("member", F.lit(2)).alias("module")).distinct()
-    return sets.module_metrics(s, modules, ["study_id"], "name", "member", "high", "low").withColumn("module_cosine", digits("module_cosine", 6))
+    return sets.module_metrics(_sets(spark, folder), _modules(spark, folder), ["study_id"], "name", "member", "high", "low").withColumn("module_cosine", digits("module_cosine", 6))
+
+
+def _modules(spark, folder):
+    return _sets(spark, folder).where(F.length("member") <= 3).select("member", F.left("member", F.lit(2)).alias("module")).distinct()
+
+
+_SCREENS = f"""welch AS (
+  SELECT study_id, model, gene_id, CASE WHEN v0 / n0 + v1 / n1 > 0 AND sqrt(v0 / n0 + v1 / n1) >= 2.220446049250313e-15 * greatest(abs(m0), abs(m1)) AND n0 >= 2 AND n1 >= 2 THEN (m0 - m1) / sqrt(v0 / n0 + v1 / n1) END AS t FROM (
+    SELECT study_id, model, gene_id, count(gbi) FILTER (WHERE state = 0) AS n0, count(gbi) FILTER (WHERE state = 1) AS n1, avg(gbi) FILTER (WHERE state = 0) AS m0, avg(gbi) FILTER (WHERE state = 1) AS m1,
+      CASE WHEN count(gbi) FILTER (WHERE state = 0) > 1 THEN var_samp(gbi) FILTER (WHERE state = 0) END AS v0, CASE WHEN count(gbi) FILTER (WHERE state = 1) > 1 THEN var_samp(gbi) FILTER (WHERE state = 1) END AS v1
+    FROM rates JOIN (SELECT study_id, branch_id, state, 'a' AS model FROM states WHERE state IN (0, 1) UNION ALL SELECT study_id, branch_id, CASE WHEN state = 0.5 THEN 1 ELSE state END, 'b' FROM states) USING (study_id, branch_id) GROUP BY 1, 2, 3)),
+x AS (SELECT study_id, gene_id, coalesce(bool_or(model = 'a' AND t IS NOT NULL), false) AS ta, coalesce(bool_or(model = 'a' AND abs(t) > 1), false) AS sa, coalesce(bool_or(model = 'a' AND t > 1), false) AS la,
+  coalesce(bool_or(model = 'b' AND t IS NOT NULL), false) AS tb, coalesce(bool_or(model = 'b' AND abs(t) > 1), false) AS sb, coalesce(bool_or(model = 'b' AND t > 1), false) AS lb FROM welch WHERE t IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT study_id, {", ".join(f"count(*) FILTER (WHERE {w})::DOUBLE AS {k}" for k, w in {"first_tested": "ta", "second_tested": "tb", "first_selected": "sa", "first_slow": "la", "first_fast": "sa AND NOT la", "second_selected": "sb", "second_slow": "lb", "second_fast": "sb AND NOT lb", "shared_slow": "la AND lb", "first_only_slow": "la AND NOT lb", "second_only_slow": "lb AND NOT la", "slow_union": "la OR lb", "first_slow_second_fast": "la AND sb AND NOT lb", "first_fast_second_slow": "sa AND NOT la AND lb", "fast_both": "sa AND NOT la AND sb AND NOT lb", "selected_both": "sa AND sb", "selected_union": "sa OR sb", "concordant": "(la AND lb) OR (sa AND NOT la AND sb AND NOT lb)", "discordant": "(la AND sb AND NOT lb) OR (sa AND NOT la AND lb)"}.items())} FROM x GROUP BY 1)"""
+_OVER = {"first_selected": "first_tested", "first_slow": "first_selected", "first_fast": "first_selected", "second_selected": "second_tested", "second_slow": "second_selected", "second_fast": "second_selected", "concordant": "selected_both", "discordant": "selected_both"}
+_DERIVED = {"first_slow_shared_percent": ("shared_slow", "first_slow", 2, 100), "second_slow_shared_percent": ("shared_slow", "second_slow", 2, 100), "slow_jaccard": ("shared_slow", "slow_union", 4, 1), "selected_jaccard": ("selected_both", "selected_union", 4, 1)}
+
+
+def _overlap_sql() -> str:
+    part = lambda x, y, places, by: f"CASE WHEN {y} > 0 THEN round({by} * {x} / {y}, {places}) END"
+    rows = []
+    for m in sets.OVERLAP:
+        value = part(*_DERIVED[m][:2], *_DERIVED[m][2:]) if m in _DERIVED else m
+        under = _OVER.get(m) or ({"first_slow_shared_percent": "first_slow", "second_slow_shared_percent": "second_slow"}.get(m) or "NULL")
+        rows.append(f"SELECT study_id, '{m}' AS metric, {value} AS value, {under}::DOUBLE AS denominator, {part(m, _OVER[m], 2, 100) if m in _OVER else 'NULL::DOUBLE'} AS percent FROM c")
+    return " UNION ALL ".join(rows)
+
+
+@R.add("n02_overlap_table", with_(CELLS, TRIM, GBI, STATES, _SCREENS) + _overlap_sql())
+def n02_overlap_table(spark, folder):
+    """The 22 metrics of the screens of two codings (intermediates left out, intermediates focal); genes with |t| > 1 taken as selected, since p has no SQL."""
+    s = states(spark, folder)
+    wide = s.withColumn("state", F.when(F.col("state") == 0.5, 1.0).otherwise(F.col("state")))
+    r = rates(spark, folder)
+    of = lambda d: baseline.screen(r, d).withColumn("selected", F.coalesce(F.abs("t") > 1, F.lit(False)))
+    return sets.overlap_table(of(s), of(wide))
 
 
 _DRAWS = 10_000
@@ -380,11 +416,32 @@ def n04_turnover_draws(spark, folder):
     return _turnover(spark, folder)[1]
 
 
-@R.add("n05_turnover_summary", with_(CELLS, _BSETS, _TURN) + f"""SELECT study_id, {sig("max(o)", 6)} AS observed, {sig("quantile_cont(j, 0.5)", 6)} AS null_median, (count(*) FILTER (WHERE j >= o) + 1)::DOUBLE / (count(*) + 1) AS p, count(*) AS n_draws FROM (
+@R.add("n04_module_draws")
+def n04_module_draws(spark, folder):
+    """Module metrics of 10,000 draws among the branches with a module."""
+    return _module_turnover(spark, folder)[1]
+
+
+def _module_turnover(spark, folder):
+    modules = _modules(spark, folder)
+    observed = sets.module_metrics(_sets(spark, folder), modules, ["study_id"], "name", "member", "high", "low")
+    universe = matrix(spark, folder).select("study_id", F.col("branch_id").alias("member")).distinct().join(modules, "member", "left")
+    return observed, sets.turnover_modules(universe, observed.select("study_id", "n_first_annotated", "n_second_annotated"), _DRAWS)
+
+
+@R.add("n05_module_summary")
+def n05_module_summary(spark, folder):
+    """Both module metrics against their draws."""
+    observed, draws = _module_turnover(spark, folder)
+    return sets.turnover_summary(observed, draws, "module_jaccard").unionByName(sets.turnover_summary(observed, draws, "module_cosine"))
+
+
+@R.add("n05_turnover_summary", with_(CELLS, _BSETS, _TURN) + f"""SELECT study_id, {sig("max(o)", 6)} AS observed, {sig("quantile_cont(j, 0.5)", 6)} AS null_median, {sig("quantile_cont(j, 0.025)", 5)} AS null_low, {sig("quantile_cont(j, 0.975)", 5)} AS null_high, (count(*) FILTER (WHERE j >= o) + 1)::DOUBLE / (count(*) + 1) AS p,
+    {sig("round(CASE WHEN stddev_samp(j) > 0 THEN (max(o) - avg(j)) / stddev_samp(j) END, 6)", 5)} AS z, {sig("CASE WHEN quantile_cont(j, 0.5) > 0 THEN max(o) / quantile_cont(j, 0.5) END", 6)} AS enrichment, count(*) AS n_draws FROM (
     SELECT study_id, n_both::DOUBLE / n_union AS j FROM turn) JOIN (SELECT study_id, round(count(*) FILTER (WHERE a AND b)::DOUBLE / count(*), 4) AS o FROM ab GROUP BY 1) USING (study_id) GROUP BY 1""")
 def n05_turnover_summary(spark, folder):
     out = sets.turnover_summary(*_turnover(spark, folder))
-    return out.select("study_id", digits("observed", 6).alias("observed"), digits("null_median", 6).alias("null_median"), "p", "n_draws")
+    return out.select("study_id", digits("observed", 6).alias("observed"), digits("null_median", 6).alias("null_median"), digits("null_low", 5).alias("null_low"), digits("null_high", 5).alias("null_high"), "p", digits(F.round("z", 6), 5).alias("z"), digits("enrichment", 6).alias("enrichment"), "n_draws")
 
 
 @R.add("o02_ordered_listing", with_(CELLS) + "SELECT study_id, gene_id, string_agg(branch_id, '; ' ORDER BY value, branch_id) AS listing, count(*) AS n FROM cells WHERE value > 1000 GROUP BY 1, 2")
