@@ -139,7 +139,7 @@ def fit_lasso(x: np.ndarray, y: np.ndarray, n_lambdas: int = 100) -> tuple[float
     paths = lasso_paths(x, y, left_out, lambdas)
     eta = paths[:, :, 0] + np.einsum("klj,kj->kl", paths[:, :, 1:], x)
     best = int(np.argmin(_deviance(eta, y[:, None]).mean(0)))
-    b = lasso_paths(x, y, np.full((1, n), 1 / n), lambdas[best : best + 1], tolerance=1e-12, rounds=200, sweeps=2000)[0, 0]
+    b = lasso_paths(x, y, np.full((1, n), 1 / n), lambdas[best : best + 1], tolerance=1e-11, rounds=60)[0, 0]
     return float(b[0]), b[1:], float(lambdas[best])
 
 
