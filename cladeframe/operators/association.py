@@ -177,8 +177,9 @@ def null_scores(cells: DataFrame, worlds: DataFrame, value: str = "rate", statis
     size = rows.groupBy("study_id", "gene_id").agg(F.count(F.lit(1)).alias("n")).groupBy("study_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("g")).join(given, "study_id")
     size = size.select("study_id", F.ceil((F.col("n") + F.col("g") * F.col("r")) / _BLOCK).cast("int").alias("__blocks"))
     left = rows.join(size, "study_id").withColumn("__block", F.pmod(F.xxhash64("gene_id"), F.col("__blocks")).cast("int"))
-    table = worlds.groupBy("study_id", "branch_id").agg(F.collect_list(F.struct(F.col("replicate").cast("bigint").alias("r"), F.col("state").cast("double").alias("s"))).alias("__w"))
-    right = table.join(size, "study_id").withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).select("study_id", "__block", "branch_id", "__w")
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("replicate").cast("bigint").alias("r"), F.col("state").cast("double").alias("s"))))
+    table = worlds.groupBy("study_id", "branch_id").agg(pairs.alias("__w")).select("study_id", "branch_id", F.col("__w.r").alias("__r"), F.transform("__w", lambda x: F.coalesce(x["s"], F.lit(float("nan")))).alias("__s"))
+    right = table.join(size, "study_id").withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).select("study_id", "__block", "branch_id", "__r", "__s")
 
     def run(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(given):
@@ -186,10 +187,10 @@ def null_scores(cells: DataFrame, worlds: DataFrame, value: str = "rate", statis
         genes, g = np.unique(own.gene_id.to_numpy(str), return_inverse=True)
         branches, b = np.unique(np.concatenate([own.branch_id.to_numpy(str), given.branch_id.to_numpy(str)]), return_inverse=True)
         b, wb = b[: len(own)], b[len(own) :]
-        replicates = np.unique([x["r"] for w in given["__w"] for x in w])
+        replicates = np.unique(np.concatenate([np.asarray(r) for r in given["__r"]]))
         w = np.full((len(branches), len(replicates)), np.nan)
-        for i, row in zip(wb, given["__w"]):
-            w[i, np.searchsorted(replicates, [x["r"] for x in row])] = [np.nan if x["s"] is None else x["s"] for x in row]
+        for i, r, x in zip(wb, given["__r"], given["__s"]):
+            w[i, slice(None) if len(r) == len(replicates) else np.searchsorted(replicates, r)] = x
         values, has = np.zeros((len(genes), len(branches))), np.zeros((len(genes), len(branches)), bool)
         values[g, b], has[g, b] = own["__v"].to_numpy(float), True
         lacks = has.astype(float) @ np.isnan(w)
