@@ -63,7 +63,7 @@ def value_summary(cells: DataFrame, by: list[str]) -> DataFrame:
     out = rows.groupBy(*by).agg(
         F.count("value").alias("available_count"), n(v == 0).alias("exact_zero_count"), n(v > 0).alias("positive_count"), n(v < 0).alias("negative_count"), F.min("value").alias("min"),
         F.percentile("value", [p for _, p in QUANTILES]).alias("__q"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.sum("value").alias("sum"),
-        F.sum(F.abs(v)).alias("sum_abs"), F.max(F.abs(v)).alias("max_abs"), F.min(log).alias("positive_log_min"), F.median(log).alias("positive_log_median"), F.max(log).alias("positive_log_max"),
+        F.sum(F.abs(v)).alias("sum_abs"), F.max(F.abs(v)).alias("max_abs"), F.count(log).cast("bigint").alias("positive_log_count"), n(v <= 0).alias("positive_log_domain_loss"), F.min(log).alias("positive_log_min"), F.median(log).alias("positive_log_median"), F.max(log).alias("positive_log_max"),
     )
     for i, (name, _) in enumerate(QUANTILES):
         out = out.withColumn(name, F.get("__q", F.lit(i)))
@@ -76,7 +76,11 @@ def axis_summary(cells: DataFrame, axis: str) -> DataFrame:
     has = (F.col("coord_state") == "observed") & F.col("value").isNotNull()
     total = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("total_coordinates"), F.count_if(F.col("coord_state") == "observed").cast("bigint").alias("observed_count"), F.count_if(has).cast("bigint").alias("payload_count"))
     total = total.withColumn("observed_fraction", F.col("observed_count") / F.col("total_coordinates")).withColumn("available_of_observed", F.try_divide("payload_count", "observed_count"))
-    return total.join(value_summary(cells, by), by, "left")
+    out = total.join(value_summary(cells, by), by, "left")
+    # Shares of the study: of its absolute mass, and of the absolute sums over all units of the axis.
+    whole = out.groupBy("study_id").agg(F.sum("sum_abs").alias("__mass"), F.sum(F.abs("sum")).alias("__margin"))
+    out = out.join(whole, "study_id").withColumn("mass_fraction", F.try_divide("sum_abs", "__mass")).withColumn("margin_fraction", F.try_divide(F.abs("sum"), F.col("__margin")))
+    return out.drop("__mass", "__margin")
 
 
 def state_crosstab(cells: DataFrame) -> DataFrame:
@@ -232,3 +236,70 @@ def apply_qc(cells: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]
     after = after.withColumn("elig_status", F.when(F.col("__move"), "ineligible").otherwise(F.col("elig_status"))).withColumn("elig_reason", F.when(F.col("__move"), "measurement_qc_excluded").otherwise(F.col("elig_reason")))
     ledger = after.groupBy("study_id", F.col("__before").alias("status_before"), F.col("elig_status").alias("status_after")).agg(F.count(F.lit(1)).alias("n"))
     return after.drop("__x", "__before", "__move"), ledger
+
+
+DOMAINS = ("auto", "signed", "nonnegative", "positive")
+
+
+def overall(cells: DataFrame, value_domain: str = "auto") -> DataFrame:
+    """Per study: genes, branches, cells by availability and sign, and the value domain asked for and resolved (``auto``: signed if any value is negative)."""
+    if value_domain not in DOMAINS:
+        raise ContractError(f"unknown value domain {value_domain}")
+    observed, v = F.col("coord_state") == "observed", F.col("value")
+    has = observed & F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False))).cast("bigint")
+    a = cells.groupBy("study_id").agg(
+        F.count_distinct("gene_id").alias("gene_count"), F.count_distinct("branch_id").alias("branch_count"), F.count(F.lit(1)).alias("cell_count"), n(observed).alias("coordinate_observed_count"), n(~observed).alias("coordinate_unavailable_count"),
+        n(has).alias("payload_available_count"), n(observed & ~has).alias("observed_payload_unavailable_count"), n(has & (v == 0)).alias("exact_zero_count"), n(has & (v > 0)).alias("positive_count"), n(has & (v < 0)).alias("negative_count"))
+    resolved = F.when(F.col("negative_count") > 0, "signed").otherwise("nonnegative") if value_domain == "auto" else F.lit(value_domain)
+    a = a.withColumn("requested_value_domain", F.lit(value_domain)).withColumn("resolved_value_domain", resolved)
+    a = a.withColumn("coordinate_observed_fraction", F.col("coordinate_observed_count") / F.col("cell_count")).withColumn("payload_available_fraction", F.try_divide("payload_available_count", "coordinate_observed_count"))
+    return a.withColumn("exact_zero_fraction", F.try_divide("exact_zero_count", "payload_available_count")).withColumn("concentration_measure", F.when(F.col("resolved_value_domain") == "signed", "absolute_value").otherwise("nonnegative_value"))
+
+
+def holds(profile: DataFrame) -> DataFrame:
+    """Studies whose values contradict the declared domain: a HOLD with its code and the number of cells."""
+    d, low, zero = F.col("requested_value_domain"), F.col("negative_count"), F.col("exact_zero_count")
+    code = F.when((d == "nonnegative") & (low > 0), "DECLARED_NONNEGATIVE_DOMAIN_VIOLATION").when((d == "positive") & (low + zero > 0), "DECLARED_POSITIVE_DOMAIN_VIOLATION")
+    return profile.select("study_id", F.lit("HOLD").alias("severity"), code.alias("hold_code"), F.when(d == "nonnegative", low).otherwise(low + zero).alias("n")).where("hold_code IS NOT NULL")
+
+
+def metric_domains(profile: DataFrame) -> DataFrame:
+    """Per study and metric: its mathematical domain, the cells admitted and lost, and what becomes of zeros."""
+    n, loss = F.col("payload_available_count"), F.col("exact_zero_count") + F.col("negative_count")
+    row = lambda m, d, a, l, z: F.struct(F.lit(m).alias("metric"), d.alias("mathematical_domain"), a.alias("admitted_count"), l.cast("bigint").alias("domain_loss_count"), F.lit(z).alias("zero_handling"))
+    each = F.array(
+        row("raw_distribution", F.lit("finite_signed"), n, F.lit(0), "retained"),
+        row("contribution_concentration", F.when(F.col("resolved_value_domain") == "signed", "absolute_finite_value").otherwise("finite_nonnegative_value"), n, F.lit(0), "retained"),
+        row("positive_log_distribution", F.lit("strictly_positive_finite_value"), F.col("positive_count"), loss, "outside_metric_domain_no_pseudocount"))
+    return profile.select("study_id", F.explode(each).alias("x")).select("study_id", "x.*")
+
+
+def profile(cells: DataFrame, value_domain: str = "auto", rules: tuple[Rule, ...] = (), top: int = 10) -> dict[str, DataFrame]:
+    """All tables of the profile of every study: it diagnoses only, no value and no eligibility is changed.
+
+    ``warnings`` has INFO rows for repeated values and for cells outside the positive logarithm, those of the rules, and one
+    per rule and severity that flagged cells.  The standard profile has no rules, hence no threshold.
+    """
+    whole = overall(cells, value_domain)
+    masses = point_masses(cells, top)
+    note = lambda d, severity, code, scope_id, n: d.select("study_id", severity.alias("severity"), code.alias("warning_code"), scope_id.alias("scope_id"), n.cast("bigint").alias("n"))
+    told = [
+        note(masses.groupBy("study_id").agg(F.count(F.lit(1)).alias("c")), F.lit("INFO"), F.lit("EXACT_POINT_MASS_PRESENT"), F.lit("whole_matrix"), F.col("c")),
+        note(whole.where("exact_zero_count + negative_count > 0"), F.lit("INFO"), F.lit("POSITIVE_ONLY_METRIC_DOMAIN_LOSS"), F.lit("whole_matrix"), F.col("exact_zero_count") + F.col("negative_count")),
+    ]
+    flagged = None
+    for rule in rules:
+        hit, warned = flags(cells, rule)
+        flagged = hit if flagged is None else flagged.unionByName(hit)
+        told.append(note(warned, F.lit("WARNING"), F.col("warning_code"), F.col("scope_id"), F.lit(1)))
+        told.append(note(hit.groupBy("study_id", "rule_id", "severity").agg(F.count(F.lit(1)).alias("c")), F.col("severity"), F.lit("DIAGNOSTIC_FLAGS_PRESENT"), F.col("rule_id"), F.col("c")))
+    warnings = told[0]
+    for t in told[1:]:
+        warnings = warnings.unionByName(t)
+    out = {
+        "overall": whole, "holds": holds(whole), "metric_domains": metric_domains(whole), "warnings": warnings, "state_counts": state_crosstab(cells), "value_distribution": value_summary(cells, ["study_id"]),
+        "gene_summary": axis_summary(cells, "gene_id"), "branch_summary": axis_summary(cells, "branch_id"), "point_masses": masses, "extreme_repetition": extreme_repetition(cells), "tail_concentration": tail_concentration(cells),
+        "leverage": leverage(cells), "top_cells": top_cells(cells, top),
+    }
+    return out if flagged is None else out | {"flags": flagged}

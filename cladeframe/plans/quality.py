@@ -148,3 +148,41 @@ def g13_diagnose_rate(spark, folder):
 def g14_extreme_ledger(spark, folder):
     r = rates(spark, folder).withColumn("gbi", digits("gbi", 9))
     return qc.extreme_ledger(r, "gbi", 1.0).withColumn("rate", digits("rate"))
+
+
+_OVERALL = """whole AS (SELECT study_id, count(DISTINCT gene_id) AS gene_count, count(DISTINCT branch_id) AS branch_count, count(*) AS cell_count, count(*) FILTER (WHERE coord_state = 'observed') AS observed, count(*) FILTER (WHERE coord_state = 'observed' AND value IS NOT NULL) AS available,
+  count(*) FILTER (WHERE value = 0) AS zero, count(*) FILTER (WHERE value > 0) AS positive, count(*) FILTER (WHERE value < 0) AS negative FROM cells GROUP BY 1)"""
+
+
+@R.add("g10_overall", with_(CELLS, _OVERALL) + """SELECT study_id, gene_count, branch_count, cell_count, observed AS coordinate_observed_count, available AS payload_available_count, observed - available AS observed_payload_unavailable_count, zero AS exact_zero_count,
+  CASE WHEN negative > 0 THEN 'signed' ELSE 'nonnegative' END AS resolved_value_domain, CASE WHEN negative > 0 THEN 'absolute_value' ELSE 'nonnegative_value' END AS concentration_measure, CASE WHEN available > 0 THEN zero::DOUBLE / available END AS exact_zero_fraction FROM whole""")
+def g10_overall(spark, folder):
+    return qc.overall(matrix(spark, folder)).select("study_id", "gene_count", "branch_count", "cell_count", "coordinate_observed_count", "payload_available_count", "observed_payload_unavailable_count", "exact_zero_count", "resolved_value_domain", "concentration_measure", "exact_zero_fraction")
+
+
+@R.add("g10_holds", with_(CELLS, _OVERALL) + "SELECT study_id, 'HOLD' AS severity, 'DECLARED_POSITIVE_DOMAIN_VIOLATION' AS hold_code, zero + negative AS n FROM whole WHERE zero + negative > 0")
+def g10_holds(spark, folder):
+    """Studies that hold when their values are declared positive."""
+    return qc.holds(qc.overall(matrix(spark, folder), "positive"))
+
+
+@R.add("g10_metric_domains", with_(CELLS, _OVERALL) + """SELECT study_id, 'raw_distribution' AS metric, 'finite_signed' AS mathematical_domain, available AS admitted_count, 0::BIGINT AS domain_loss_count, 'retained' AS zero_handling FROM whole
+  UNION ALL SELECT study_id, 'contribution_concentration', CASE WHEN negative > 0 THEN 'absolute_finite_value' ELSE 'finite_nonnegative_value' END, available, 0, 'retained' FROM whole
+  UNION ALL SELECT study_id, 'positive_log_distribution', 'strictly_positive_finite_value', positive, zero + negative, 'outside_metric_domain_no_pseudocount' FROM whole""")
+def g10_metric_domains(spark, folder):
+    return qc.metric_domains(qc.overall(matrix(spark, folder)))
+
+
+@R.add("g10_warnings", with_(CELLS, _OVERALL, _HAVE) + """SELECT study_id, 'INFO' AS severity, 'EXACT_POINT_MASS_PRESENT' AS warning_code, 'whole_matrix' AS scope_id, least(10, count(*)) AS n FROM (SELECT study_id, value FROM have GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1
+  UNION ALL SELECT study_id, 'INFO', 'POSITIVE_ONLY_METRIC_DOMAIN_LOSS', 'whole_matrix', zero + negative FROM whole WHERE zero + negative > 0
+  UNION ALL SELECT study_id, 'WARNING', 'DIAGNOSTIC_FLAGS_PRESENT', 'high', count(*) FROM have WHERE value > 1000 GROUP BY 1""")
+def g10_warnings(spark, folder):
+    """Warnings of the profile with one rule, values above 1000."""
+    return qc.profile(matrix(spark, folder), rules=(qc.Rule("high", "absolute", direction="upper", upper=1000.0),))["warnings"]
+
+
+@R.add("g02_mass_fractions", _Q + f"""SELECT study_id, gene_id, {sig("CASE WHEN t > 0 THEN s / t END", 6)} AS mass_fraction, n AS positive_log_count, l AS positive_log_domain_loss FROM (
+    SELECT study_id, gene_id, sum(abs(value)) AS s, count(*) FILTER (WHERE value > 0) AS n, count(*) FILTER (WHERE value <= 0) AS l FROM have GROUP BY 1, 2) JOIN (SELECT study_id, sum(abs(value)) AS t FROM have GROUP BY 1) USING (study_id)""")
+def g02_mass_fractions(spark, folder):
+    """Share of a gene in its study's absolute mass, and its cells inside and outside the positive logarithm."""
+    return qc.axis_summary(matrix(spark, folder), "gene_id").where("available_count > 0").select("study_id", "gene_id", digits("mass_fraction", 6).alias("mass_fraction"), "positive_log_count", "positive_log_domain_loss")

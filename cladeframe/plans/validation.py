@@ -38,7 +38,11 @@ def c14_split_issues(spark, folder):
     return tree.split_issues(_splits(spark, folder))
 
 
-@R.add("f06_edge_split_join")
+@R.add("f06_edge_split_join", with_(STATES, _SPLITS) + """, own AS (SELECT * FROM splits WHERE a IS NOT NULL AND b IS NOT NULL),
+  root AS (SELECT study_id, max(t) AS root FROM (SELECT study_id, unnest(string_split(a, ';')) AS t FROM own UNION ALL SELECT study_id, unnest(string_split(b, ';')) FROM own) GROUP BY 1),
+  e AS (SELECT study_id, branch_id, array_to_string(list_sort(list_distinct(CASE WHEN NOT list_contains(string_split(a, ';'), root) THEN string_split(a, ';') WHEN NOT list_contains(string_split(b, ';'), root) THEN string_split(b, ';') ELSE [] END)), ';') AS clade FROM own JOIN root USING (study_id)),
+  side AS (SELECT study_id, branch_id AS split_branch, a AS key FROM splits UNION SELECT study_id, branch_id, b FROM splits)
+  SELECT e.study_id, branch_id, clade, count(split_branch) AS n_matches, min(split_branch) AS split_branch FROM e LEFT JOIN side s ON s.study_id = e.study_id AND s.key = e.clade GROUP BY 1, 2, 3""")
 def f06_edge_split_join(spark, folder):
     """Rooted tree edges joined to the split side that equals their clade."""
     return tree.join_edges(_edges(spark, folder), _splits(spark, folder))

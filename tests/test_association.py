@@ -269,3 +269,22 @@ def test_common_domains(spark):
         association.common([d, other.where("gene_id <> 'g0'")])
     with pytest.raises(ContractError):
         association.common([d])
+
+
+def test_profile(spark):
+    """Declared domains, holds and warnings; the standard profile has no flags, and nothing is changed."""
+    from cladeframe.operators import qc
+
+    m = grid(spark, [[0, 1, None], [2, 2, 50]])
+    told = qc.profile(m, "positive", (qc.Rule("high", "absolute", direction="upper", upper=10.0), qc.Rule("mad", "mad", scope="within_gene")))
+    assert [(r.hold_code, r.n) for r in told["holds"].collect()] == [("DECLARED_POSITIVE_DOMAIN_VIOLATION", 1)]
+    assert {(r.severity, r.warning_code, r.scope_id, r.n) for r in told["warnings"].collect()} == {
+        ("INFO", "EXACT_POINT_MASS_PRESENT", "whole_matrix", 1), ("INFO", "POSITIVE_ONLY_METRIC_DOMAIN_LOSS", "whole_matrix", 1), ("WARNING", "DIAGNOSTIC_FLAGS_PRESENT", "high", 1), ("WARNING", "MAD_ZERO_UNDEFINED", "g1", 1)}
+    standard = qc.profile(m)
+    assert "flags" not in standard and standard["holds"].count() == 0 and standard["overall"].first().resolved_value_domain == "nonnegative"
+    shares = {r.gene_id: r.mass_fraction for r in standard["gene_summary"].collect()}
+    assert shares == {"g0": 1 / 55, "g1": 54 / 55}
+    assert qc.overall(grid(spark, [[-1, 2]])).first().resolved_value_domain == "signed"
+    with pytest.raises(ContractError):
+        qc.overall(m, "odd")
+    assert qc.profile(m.limit(0))["warnings"].count() == 0
