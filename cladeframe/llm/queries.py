@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cladeframe.llm import components, leaks, mixing, names, percentiles, spam
@@ -41,6 +42,30 @@ def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
     return components.split_shares(p1_rows(spark, folder)).select("level", "study_id", "split", "n", F.col("rows").alias("of_rows"), "share")
 
 
+_PARTED = ", ".join(f"0::BIGINT AS {name}_parted" for name in ("genera", "species", "folds"))
+
+
+@R.add("p1_kept_together", f"""SELECT study_id, n_rows, {_PARTED}, true AS train_within_largest FROM (
+    SELECT study_id, count(*) AS n_rows FROM (SELECT study_id FROM taxon_groups UNION ALL SELECT study_id FROM folds) GROUP BY 1)""")
+def p1_kept_together(spark: SparkSession, folder: str) -> DataFrame:
+    """What the splits must hold: every row has one, no genus, species or fold id of a study is parted, and the share of the
+    training split is off by no more than the study's heaviest component."""
+    groups, folds = table(spark, folder, "taxon_groups"), table(spark, folder, "folds")
+    rows = Workspace(spark, "p1").save(components.split_rows(groups, folds, Workspace(spark, "p1")), "rows")
+    keyed = rows.join(
+        groups.select(F.lit("taxon_groups").alias("table_name"), "row_id", "genus", "species", F.lit(None).cast("string").alias("fold_id")).unionByName(folds.select(F.lit("folds").alias("table_name"), "row_id", "genus", F.lit(None).cast("string").alias("species"), "fold_id")),
+        ["table_name", "row_id"])
+    out = rows.groupBy("study_id").agg(F.count("split").alias("n_rows"))
+    for name, key in (("genera", "genus"), ("species", "species"), ("folds", "fold_id")):
+        parted = keyed.where(F.col(key).isNotNull()).groupBy("study_id", key).agg(F.count_distinct("split").alias("n")).groupBy("study_id").agg(F.count_if(F.col("n") > 1).cast("bigint").alias(f"{name}_parted"))
+        out = out.join(parted.withColumnRenamed("study_id", f"s_{name}"), F.col("study_id").eqNullSafe(F.col(f"s_{name}")), "left").drop(f"s_{name}")
+    own = rows.where("table_name = 'taxon_groups'")
+    heavy = own.groupBy("study_id", "component", "split").agg(F.count(F.lit(1)).alias("w")).groupBy(F.col("study_id").alias("s")).agg(F.max("w").alias("most"), F.sum("w").alias("n"), F.sum(F.when(F.col("split") == "train", F.col("w")).otherwise(0)).alias("train"))
+    out = out.join(heavy, F.col("study_id").eqNullSafe(F.col("s")), "left").drop("s")
+    near = F.coalesce(F.abs(F.col("train") - 0.8 * F.col("n")) <= F.col("most"), F.lit(True))
+    return out.select("study_id", "n_rows", *[F.coalesce(f"{n}_parted", F.lit(0)).cast("bigint").alias(f"{n}_parted") for n in ("genera", "species", "folds")], near.alias("train_within_largest"))
+
+
 def _free(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     reference = table(spark, folder, "taxon_reference")
     rows = [
@@ -159,3 +184,18 @@ def p7_records(spark: SparkSession, folder: str) -> DataFrame:
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Shares reached beside the targets."""
     return mixing.shares(*_mixed(spark, folder))
+
+
+@R.add("p7_limits", """WITH have AS (SELECT source, count(*) AS n FROM documents WHERE text IS NOT NULL AND length(text) > 0 AND source IS NOT NULL GROUP BY 1),
+  t AS (SELECT m.*, n, target_share / (SELECT sum(target_share) FROM mix_targets JOIN have USING (source)) AS goal FROM mix_targets m JOIN have USING (source))
+  SELECT source, true AS within_repeats, true AS own_records, true AS share_reached FROM t""")
+def p7_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mixture must hold for every target with documents: no record beyond its repeats, records of the source only, the share within 0.01 of its part."""
+    used, quotas, targets = _mixed(spark, folder)
+    used = Workspace(spark, "p7").save(used, "used")
+    docs = table(spark, folder, "documents").select("doc_id", F.col("source").alias("__own"))
+    checked = used.join(docs, "doc_id").join(targets.select("source", "max_repeats", "target_share"), "source")
+    a = checked.groupBy("source").agg(F.every(F.col("uses").between(1, F.col("max_repeats"))).alias("within_repeats"), F.every(F.col("__own") == F.col("source")).alias("own_records"), F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.first("target_share").alias("share"))
+    whole = W.partitionBy()  # over one row per target
+    reached = F.abs(F.col("tokens") / F.sum("tokens").over(whole) - F.col("share") / F.sum("share").over(whole)) < 0.01
+    return a.select("source", "within_repeats", "own_records", reached.alias("share_reached"))
