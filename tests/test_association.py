@@ -288,3 +288,15 @@ def test_profile(spark):
     with pytest.raises(ContractError):
         qc.overall(m, "odd")
     assert qc.profile(m.limit(0))["warnings"].count() == 0
+
+
+def test_sensitivity_baseline_by_joins_equals_local(spark):
+    """Two components, one of them with gaps, and zeros that take no part."""
+    rng = np.random.default_rng(6)
+    rows = [[float(np.exp(rng.normal(0, 3))) if rng.random() > 0.2 else (0.0 if rng.random() > 0.5 else None) for _ in range(5)] + [None, None] for _ in range(4)] + [[None] * 5 + [2.0, 8.0], [None] * 5 + [3.0, None]]
+    e = cells.eligibility(grid(spark, rows)).where("elig_status = 'eligible'").select("study_id", "gene_id", "branch_id", F.col("value").alias("y"))
+    key = lambda d: {(r.axis, r.id): r for r in d.collect()}
+    local, joined = key(c2.effects(e)), key(c2.effects(e, Workspace(spark, "t"), local_edges=0))
+    assert set(local) == set(joined) and len({r.component for r in local.values()}) == 2
+    assert all(joined[k].component == r.component and joined[k].certified == r.certified and joined[k].effect == pytest.approx(r.effect, abs=1e-7) for k, r in local.items())
+    assert c2.effects(e.limit(0)).count() == 0
