@@ -296,7 +296,11 @@ def test_sets(spark):
     assert (got.n_first, got.n_second, got.n_both, got.jaccard) == (3, 3, 1, 0.2)
     modules = spark.createDataFrame([(x, "m1" if x in "ab" else "m2") for x in "abcd"], "member string, module string")
     m = sets.module_metrics(rows, modules, ["study_id"], "name", "member", "A", "B").first()
-    assert m.module_jaccard == pytest.approx(1 / 3) and m.module_cosine == pytest.approx(2 / (np.sqrt(5) * np.sqrt(5)))
+    # Members without a module count among the members and in no module metric, as in the reference's fixture (1/5, 1/2, 1/sqrt 2).
+    assert (m.n_first, m.n_first_annotated, m.n_second_annotated) == (3, 2, 3)
+    assert m.gene_jaccard == pytest.approx(1 / 5) and m.module_jaccard == pytest.approx(1 / 2) and m.module_cosine == pytest.approx(1 / np.sqrt(5))
+    m = sets.module_metrics(rows, modules.where("member <> 'd'"), ["study_id"], "name", "member", "A", "B").first()
+    assert m.gene_jaccard == pytest.approx(1 / 5) and m.module_jaccard == pytest.approx(1 / 2) and m.module_cosine == pytest.approx(1 / np.sqrt(2))
 
 
 def test_turnover_draws(spark):
