@@ -115,11 +115,90 @@ def _deviance(eta: np.ndarray, y: np.ndarray) -> np.ndarray:
     return -2 * (y * np.log(p) + (1 - y) * np.log(1 - p))
 
 
+def _lanes(x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, left: np.ndarray, start: np.ndarray, tolerance: float = 1e-7, rounds: int = 500, sweeps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """The regressions of ``lasso_paths`` side by side, each (a lane) with a lambda, a row left out (-1: none) and start values of its own.
+
+    ``start`` and the first result are (1 + features, lanes), intercepts first.  The second result names the lanes that still move after
+    all ``rounds``.  The intercept is solved exactly within each quadratic approximation, so one feature takes a single sweep.
+    A step that would move a row's linear predictor by more than ``LANE_STEP`` (within the bounds of 30) is shortened, since the approximation does not reach as far.
+    """
+    n, p = x.shape
+    a = np.column_stack([np.ones(n), x])
+    i, j = np.triu_indices(p + 1)
+    pairs = np.ascontiguousarray((a[:, i] * a[:, j]).T)
+    b, todo = start.copy(), np.arange(start.shape[1])
+    for _ in range(rounds):
+        c, lam, out = b[:, todo], lambdas[todo], left[todo]
+        own = np.flatnonzero(out >= 0)
+        weight = 1 / (n - (out >= 0))
+        eta = np.clip(a @ c, -30, 30)
+        mu = 1 / (1 + np.exp(-eta))
+        rest = (y[:, None] - mu) * weight
+        v = np.maximum(mu * (1 - mu), 1e-10) * weight
+        rest[out[own], own] = v[out[own], own] = 0
+        slope, gram = a.T @ rest, np.empty((p + 1, p + 1, len(todo)))
+        gram[i, j] = gram[j, i] = pairs @ v
+        across = gram[0, 1:] / gram[0, 0]
+        inner = gram[1:, 1:] - gram[1:, :1] * across
+        pull = slope[1:] - across * slope[0]
+        curve = np.maximum(np.einsum("jjk->jk", inner), 1e-12)
+        new = c[1:].copy()
+        for _ in range(sweeps):
+            moved = 0.0
+            for k in range(p):
+                u = pull[k] + curve[k] * new[k]
+                step = np.sign(u) * np.maximum(np.abs(u) - lam, 0) / curve[k] - new[k]
+                if step.any():
+                    new[k] += step
+                    if p > 1:
+                        pull -= inner[k] * step
+                        moved = max(moved, float((curve[k] * step * step).max()))
+            if moved < tolerance:
+                break
+        step = np.concatenate([slope[:1] / gram[0, 0] - (across * (new - c[1:])).sum(0, keepdims=True), new - c[1:]])
+        far = np.abs(np.clip(a @ (c + step), -30, 30) - eta).max(0)
+        step *= LANE_STEP / np.maximum(far, LANE_STEP)
+        b[:, todo] = c + step
+        todo = todo[(np.einsum("jjk->jk", gram) * step * step).max(0) >= tolerance]
+        if not len(todo):
+            break
+    return b, todo
+
+
+#: Numbers of a block of lanes in one array of ``_lanes``, the most features of a fit that is solved in lanes, and the longest step.
+LANE_NUMBERS, LANE_FEATURES, LANE_STEP = 2_000_000, 64, 2.0
+
+
+def _path_lanes(x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, stop) -> tuple[np.ndarray, np.ndarray] | None:
+    """The path on all rows as far as ``stop`` lets it go, (lambdas, 1 + features), and the linear predictor of each row by the paths without it, (rows, lambdas).
+
+    None where a fit still moves after all rounds: the caller goes along the path instead, from lambda to lambda.
+    """
+    n, p = x.shape
+    m, begin = y.mean(), np.zeros((p + 1, len(lambdas)))
+    begin[0] = np.log(m / (1 - m))
+    full, moving = _lanes(x, y, lambdas, np.full(len(lambdas), -1), begin, tolerance=1e-11)
+    length = next((k + 1 for k in range(len(lambdas)) if stop(full.T[None, : k + 1])), len(lambdas))
+    if (moving < length).any():
+        return None
+    eta = np.empty((n, length))
+    at = max(1, LANE_NUMBERS // max(n, (p + 1) ** 2) // length)
+    for k in range(0, n, at):
+        rows = np.arange(k, min(k + at, n))
+        left = np.repeat(rows, length)
+        b, moving = _lanes(x, y, np.tile(lambdas[:length], len(rows)), left, np.tile(full[:, :length], len(rows)))
+        if len(moving):
+            return None
+        eta[rows] = (b[0] + (b[1:] * x[left].T).sum(0)).reshape(len(rows), length)
+    return full[:, :length].T, eta
+
+
 def fit_lasso(x: np.ndarray, y: np.ndarray, n_lambdas: int = 100) -> tuple[float, np.ndarray, float]:
     """Intercept, coefficients and lambda of least leave-one-out deviance, refitted on all rows.
 
     The path has 100 values from the least lambda without a coefficient down to 0.01 (fewer rows than features) or 0.0001 of
     it, and ends early once the deviance no longer falls.  One row is left out at a time, whatever the number of rows.
+    Fits of few features are solved for all lambdas and rows at once, others from lambda to lambda; the optimum is the same.
     """
     n, p = x.shape
     top = np.abs(x.T @ (y - y.mean())).max() / n if p else 0.0
@@ -128,13 +207,22 @@ def fit_lasso(x: np.ndarray, y: np.ndarray, n_lambdas: int = 100) -> tuple[float
         return float(np.log(m / (1 - m))), np.zeros(p), 0.0
     lambdas = top * np.geomspace(1, 0.01 if n < p else 1e-4, n_lambdas)
     none = _deviance(np.full(n, np.log(y.mean() / (1 - y.mean()))), y).mean()
-    told: list[float] = []
 
-    def ended(path: np.ndarray) -> bool:
-        told.append(1 - _deviance(path[0, -1, 0] + x @ path[0, -1, 1:], y).mean() / none)
-        return told[-1] > 0.999 or (len(told) > 5 and told[-1] - told[-2] < 1e-5 * told[-1])
+    def ending():
+        told: list[float] = []
+
+        def ended(path: np.ndarray) -> bool:
+            told.append(1 - _deviance(path[0, -1, 0] + x @ path[0, -1, 1:], y).mean() / none)
+            return told[-1] > 0.999 or (len(told) > 5 and told[-1] - told[-2] < 1e-5 * told[-1])
+
+        return ended
 
-    lambdas = lambdas[: lasso_paths(x, y, np.full((1, n), 1 / n), lambdas, stop=ended).shape[1]]
+    solved = _path_lanes(x, y, lambdas, ending()) if p <= LANE_FEATURES else None
+    if solved is not None:
+        path, eta = solved
+        best = int(np.argmin(_deviance(eta, y[:, None]).mean(0)))
+        return float(path[best, 0]), path[best, 1:].copy(), float(lambdas[best])
+    lambdas = lambdas[: lasso_paths(x, y, np.full((1, n), 1 / n), lambdas, stop=ending()).shape[1]]
     left_out = (1 - np.eye(n)) / (n - 1)
     paths = lasso_paths(x, y, left_out, lambdas)
     eta = paths[:, :, 0] + np.einsum("klj,kj->kl", paths[:, :, 1:], x)
@@ -228,9 +316,27 @@ def out_of_fold(rates: DataFrame, terminals: DataFrame, folds: DataFrame, featur
     else:
         chosen = folds.select("study_id", F.col("genus").alias("held_out")).distinct().join(features.select("study_id", "gene_id").distinct(), "study_id")
     v = rates.where(F.col(value).isNotNull()).select("study_id", "branch_id", "gene_id", F.col(value).alias("value"))
-    # Candidates are kept with every person of a fold, so that a gene without any value in the fold counts as one.
-    rows = assigned.join(chosen, ["study_id", "held_out"], "left").join(v, ["study_id", "branch_id", "gene_id"], "left")
-    return spread(rows, "study_id", "fold_id").groupBy("study_id", "fold_id").applyInPandas(lambda d: _fit_fold(d, nested), _OOF)
+    # Folds without any candidate are settled by counts; of the others candidates are kept with every person, so that a gene without any value in the fold counts as one.
+    with_genes = folds.select("study_id", "fold_id", F.col("genus").alias("held_out")).join(chosen, ["study_id", "held_out"], "left_semi").select("study_id", "fold_id").distinct()
+    rows = assigned.join(with_genes, ["study_id", "fold_id"], "left_semi").join(chosen, ["study_id", "held_out"], "left").join(v, ["study_id", "branch_id", "gene_id"], "left")
+    fitted = spread(rows, "study_id", "fold_id").groupBy("study_id", "fold_id").applyInPandas(lambda d: _fit_fold(d, nested), _OOF)
+    return fitted.unionByName(_without_candidates(assigned.join(with_genes, ["study_id", "fold_id"], "left_anti"), nested))
+
+
+def _without_candidates(assigned: DataFrame, nested: bool) -> DataFrame:
+    """What ``_fit_fold`` says of folds without a candidate gene: the training mean, or no prediction."""
+    people = assigned.groupBy("study_id", "fold_id", "branch_id").agg(F.first(F.struct("held_out", "species", "role", "state")).alias("r")).select("study_id", "fold_id", "branch_id", "r.*")
+    train, test = F.col("role") == "train", F.col("role") == "test"
+    g = people.groupBy("study_id", "fold_id").agg(
+        F.first("held_out").alias("held_out"), F.count_if(train).cast("int").alias("n_train"), F.coalesce(F.sum(F.when(train, F.col("state"))), F.lit(0.0)).alias("positive"),
+        F.min(F.when(train, F.col("state"))).alias("least"), F.max(F.when(train, F.col("state"))).alias("most"), F.collect_list(F.when(test, F.struct("species", "branch_id", "state"))).alias("test"))
+    none = "no_FDR_features_in_training_ttest" if nested else "no_features_after_all_missing_drop"
+    status = F.when(F.size("test") == 0, "no_evaluable_test_species_after_exclusion").when((F.col("n_train") == 0) | (F.col("least") == F.col("most")), "null_intercept_only_training_one_class").otherwise(f"null_intercept_only_{none}")
+    rows = g.withColumn("status", status).withColumn("t", F.explode_outer("test"))
+    prediction = F.when(F.col("t.branch_id").isNotNull(), F.try_divide("positive", "n_train"))
+    constant = {"n_candidates": F.lit(0), "n_features": F.lit(0), "n_nonzero": F.lit(0), "lambda": F.lit(None).cast("double"), "n_dropped_all": F.lit(0), "n_dropped_zero": F.lit(0), "genes": F.array().cast("array<string>"), "coefficients": F.array().cast("array<double>")}
+    made = {"species": F.col("t.species"), "branch_id": F.col("t.branch_id"), "state": F.col("t.state"), "prediction": prediction, "n_train_positive": F.col("positive").cast("int")}
+    return rows.withColumns(made | constant).select(*[c.split()[0] for c in _OOF.split(", ")])
 
 
 _FULL = "study_id string, model string, gene_id string, status string, coefficient double, mean double, sd double, intercept double, lambda double, n_rows int, n_positive int, n_candidates int, n_dropped_all int, n_dropped_zero int"
@@ -265,9 +371,14 @@ def full_fit(rates: DataFrame, terminals: DataFrame, features: DataFrame, value:
     ``terminals`` and ``features`` have a ``model`` column; a full-data fit is no validation.  A model without candidates has one row without a gene.
     """
     people = terminals.where(F.col("state").isin(0.0, 1.0)).select("study_id", "model", "branch_id", "state")
-    rows = people.join(features.select("study_id", "model", "gene_id").distinct(), ["study_id", "model"], "left")
-    rows = rows.join(rates.where(F.col(value).isNotNull()).select("study_id", "branch_id", "gene_id", F.col(value).alias("value")), ["study_id", "branch_id", "gene_id"], "left")
+    chosen = features.select("study_id", "model", "gene_id").distinct()
+    rows = people.join(chosen, ["study_id", "model"]).join(rates.where(F.col(value).isNotNull()).select("study_id", "branch_id", "gene_id", F.col(value).alias("value")), ["study_id", "branch_id", "gene_id"], "left")
     out = spread(rows, "study_id", "model").groupBy("study_id", "model").applyInPandas(_fit_full, _FULL)
+    # Most models have no candidate: they are settled by counts.
+    counts = people.groupBy("study_id", "model").agg(F.count_distinct("branch_id").cast("int").alias("n_rows"), F.count_distinct(F.when(F.col("state") == 1, F.col("branch_id"))).cast("int").alias("n_positive"))
+    rest = counts.join(chosen, ["study_id", "model"], "left_anti").withColumns({"status": F.lit("null_no_usable_features_or_one_class"), "n_candidates": F.lit(0), "n_dropped_all": F.lit(0), "n_dropped_zero": F.lit(0)})
+    rest = rest.withColumns({"gene_id": F.lit(None).cast("string")} | {c: F.lit(None).cast("double") for c in ("coefficient", "mean", "sd", "intercept", "lambda")})
+    out = out.unionByName(rest.select(*[c.split()[0] for c in _FULL.split(", ")]))
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("coefficient", "mean", "sd", "intercept", "lambda")})
 
 

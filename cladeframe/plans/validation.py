@@ -166,9 +166,11 @@ def _branch_states(spark, folder):
     return out.select("study_id", "branch_id", "state")
 
 
-def _fold_inputs(spark, folder):
+def _fold_inputs(spark, folder, r=None):
+    """Rates (or ``r``, where a query has saved them already), terminals and states of all branches, and their workspace."""
     work = Workspace(spark, "folds")
-    r = work.save(rates(spark, folder).select("study_id", "gene_id", "branch_id", "gbi"), "rates")
+    if r is None:
+        r = work.save(rates(spark, folder).select("study_id", "gene_id", "branch_id", "gbi"), "rates")
     return r, work.save(states(spark, folder), "terminals"), work.save(_branch_states(spark, folder), "branches"), work
 
 
@@ -179,17 +181,18 @@ def l03_fold_features(spark, folder):
     return validation.fold_features(r, s, branches=b)
 
 
-def _out_of_fold(spark, folder, recipe="nested_phase12B"):
-    r, s, b, work = _fold_inputs(spark, folder)
+def _out_of_fold(spark, folder, recipe="nested_phase12B", inputs=None, everywhere=None):
+    r, s, b, work = inputs or _fold_inputs(spark, folder)
     folds = validation.make_folds(s, 20260523)
-    everywhere = work.save(baseline.screen(r, b), "screen").where("selected").select("study_id", "gene_id")
+    if everywhere is None:
+        everywhere = work.save(baseline.screen(r, b), "screen").where("selected").select("study_id", "gene_id")
     screen = None
     if recipe == "global_screen_foldwise":
         features = everywhere
     else:
         screen = work.save(validation.fold_screen(r, s, branches=b), "fold-screen")
         features = screen.where("selected")
-    return work.save(validation.out_of_fold(r, s, folds, features, recipe=recipe), "oof"), screen, everywhere
+    return work.save(validation.out_of_fold(r, s, folds, features, recipe=recipe), f"oof-{recipe}"), screen, everywhere
 
 
 @R.add("l05_out_of_fold")
@@ -219,7 +222,9 @@ def l11_selected_predictors(spark, folder):
 @R.add("l11_recipe_delta")
 def l11_recipe_delta(spark, folder):
     """Nested predictions beside those of the global screen, and their difference, species by species."""
-    a, b = _out_of_fold(spark, folder)[0], _out_of_fold(spark, folder, "global_screen_foldwise")[0]
+    inputs = _fold_inputs(spark, folder)
+    a, _, everywhere = _out_of_fold(spark, folder, inputs=inputs)
+    b = _out_of_fold(spark, folder, "global_screen_foldwise", inputs, everywhere)[0]
     both = a.where("branch_id IS NOT NULL").select("study_id", "species", "branch_id", "state", F.col("prediction").alias("nested")).join(b.where("branch_id IS NOT NULL").select("study_id", "branch_id", F.col("prediction").alias("global")), ["study_id", "branch_id"], "left")
     return both.withColumn("prediction_delta", F.col("nested") - F.col("global"))
 
@@ -302,7 +307,7 @@ def l10_fingerprints(spark, folder):
     c = fit.where("model = 'declared_baseline' AND coefficient <> 0")
     parts = reporting.contributions(r.join(t.where("model = 'declared_baseline'").select("study_id", "branch_id"), ["study_id", "branch_id"], "left_semi"), c.select("study_id", "gene_id", "coefficient", "mean", "sd", "intercept"), "gbi")
     logit = parts.join(c.select("study_id", "gene_id", "intercept"), ["study_id", "gene_id"]).groupBy("study_id", "branch_id").agg((F.first("intercept") + F.sum("contribution")).alias("logit"), F.count(F.lit(1)).alias("n_predictors"), F.count_if("imputed").cast("bigint").alias("n_imputed"))
-    oof = _out_of_fold(spark, folder)[0].where("branch_id IS NOT NULL").select("study_id", "branch_id", F.col("prediction").alias("held_out_probability"))
+    oof = _out_of_fold(spark, folder, inputs=_fold_inputs(spark, folder, r))[0].where("branch_id IS NOT NULL").select("study_id", "branch_id", F.col("prediction").alias("held_out_probability"))
     out = logit.withColumn("fitted_probability", 1 / (1 + F.exp(-F.col("logit")))).join(oof, ["study_id", "branch_id"], "left")
     return out.withColumn("fitted_minus_held_out", F.col("fitted_probability") - F.col("held_out_probability"))
 

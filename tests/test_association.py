@@ -300,3 +300,40 @@ def test_sensitivity_baseline_by_joins_equals_local(spark):
     assert set(local) == set(joined) and len({r.component for r in local.values()}) == 2
     assert all(joined[k].component == r.component and joined[k].certified == r.certified and joined[k].effect == pytest.approx(r.effect, abs=1e-7) for k, r in local.items())
     assert c2.effects(e.limit(0)).count() == 0
+
+
+def test_lasso_chooses_by_solved_fits():
+    """A short path solved loosely chose another lambda here; the chosen one has the least deviance of tightly solved fits without a row."""
+    rng = np.random.default_rng(31)
+    n = 22
+    x = rng.normal(size=(n, 2))
+    y = (x[:, 0] + rng.normal(size=n) > 0.9).astype(float)
+    x = (x - x.mean(0)) / x.std(0, ddof=1)
+    lam = validation.fit_lasso(x, y)[2]
+    lambdas = np.abs(x.T @ (y - y.mean())).max() / n * np.geomspace(1, 1e-4, 100)
+    near = lambdas[(lambdas > lam / 2) & (lambdas < lam * 2)]
+    paths = validation.lasso_paths(x, y, (1 - np.eye(n)) / (n - 1), near, tolerance=1e-13, rounds=200, sweeps=3000)
+    p = np.clip(1 / (1 + np.exp(-(paths[:, :, 0] + np.einsum("klj,kj->kl", paths[:, :, 1:], x)))), 1e-5, 1 - 1e-5)
+    deviance = -(y[:, None] * np.log(p) + (1 - y[:, None]) * np.log(1 - p)).mean(0)
+    assert near[deviance.argmin()] == lam
+
+
+def test_fits_without_candidates_need_no_python(spark, monkeypatch):
+    """Folds and models without a candidate gene come out as the fit itself would say, and none is handed to a fit."""
+    rows = [("s", f"b{j}", f"sp{j}", f"gen{j % 3}", float(j % 2) if j < 8 else 0.5) for j in range(9)]
+    t = spark.createDataFrame(rows, "study_id string, branch_id string, species string, genus string, state double")
+    r = spark.createDataFrame([("s", "g0", f"b{j}", float(j)) for j in range(9)], "study_id string, gene_id string, branch_id string, gbi double")
+    folds = validation.make_folds(t, 1)
+    none = folds.select("study_id", "genus", F.lit("g0").alias("gene_id")).where("false")
+    frame = validation.roles(t, folds).join(folds.select("study_id", "fold_id", F.col("genus").alias("held_out")), ["study_id", "fold_id"]).withColumn("gene_id", F.lit(None).cast("string")).withColumn("value", F.lit(None).cast("double")).toPandas()
+    expected = {(q.fold_id, q.branch_id): (q.status, q.prediction, q.n_train, q.n_train_positive) for _, d in frame.groupby("fold_id") for q in validation._fit_fold(d).itertuples()}
+
+    def refuse(rows, nested=True):
+        raise AssertionError("handed to a fit")
+
+    monkeypatch.setattr(validation, "_fit_fold", refuse)
+    monkeypatch.setattr(validation, "_fit_full", lambda rows: refuse(rows))
+    got = {(q.fold_id, q.branch_id): (q.status, q.prediction, q.n_train, q.n_train_positive) for q in validation.out_of_fold(r, t, folds, none).collect()}
+    assert got == expected and len(got) == 8
+    full = validation.full_fit(r, t.withColumn("model", F.lit("m")), none.withColumn("model", F.lit("m"))).collect()
+    assert [(q.gene_id, q.status, q.n_rows, q.n_positive, q.n_candidates) for q in full] == [(None, "null_no_usable_features_or_one_class", 8, 4, 0)]
