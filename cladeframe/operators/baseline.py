@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cladeframe.errors import ContractError
 from cladeframe.functions.stats import student_t_two_sided
 from cladeframe.operators.cells import KEY
+from cladeframe.workspace import unbroadcast
 
 
 def trim(cells: DataFrame, probability: float = 0.975) -> DataFrame:
@@ -43,7 +44,7 @@ def ratio(trimmed: DataFrame) -> DataFrame:
 
 def group_statistics(rates: DataFrame, states: DataFrame, value: str = "gbi", extra: tuple[str, ...] = ()) -> DataFrame:
     """Mergeable statistics per gene (and ``extra`` keys) of both groups: n, sum and sum of squares for states 0 and 1."""
-    rows = rates.join(states.where(F.col("state").isin(0.0, 1.0)), ["study_id", "branch_id"])
+    rows = rates.join(unbroadcast(states.where(F.col("state").isin(0.0, 1.0))), ["study_id", "branch_id"])
     v = F.col(value)
     aggs = []
     for g in (0, 1):
@@ -94,7 +95,7 @@ def screen(rates: DataFrame, states: DataFrame, value: str = "gbi", extra: tuple
     A gene whose values are constant is refused with that reason; ``require_screen`` stops the run over it.
     """
     by = ["study_id", "gene_id", *extra]
-    rows = rates.join(states.where(F.col("state").isin(0.0, 1.0)), ["study_id", "branch_id"])
+    rows = rates.join(unbroadcast(states.where(F.col("state").isin(0.0, 1.0))), ["study_id", "branch_id"])
     aggs = []
     for g in (0, 1):
         own = F.when(F.col("state") == g, F.col(value))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.errors import ContractError
 from cladeframe.operators.baseline import held_out_statistics, strict_prefix, welch
-from cladeframe.workspace import spread
+from cladeframe.workspace import spread, unbroadcast
 
 
 def make_folds(terminals: DataFrame, base: int, offset: int = 0) -> DataFrame:
@@ -372,7 +372,7 @@ def full_fit(rates: DataFrame, terminals: DataFrame, features: DataFrame, value:
     """
     people = terminals.where(F.col("state").isin(0.0, 1.0)).select("study_id", "model", "branch_id", "state")
     chosen = features.select("study_id", "model", "gene_id").distinct()
-    rows = people.join(chosen, ["study_id", "model"]).join(rates.where(F.col(value).isNotNull()).select("study_id", "branch_id", "gene_id", F.col(value).alias("value")), ["study_id", "branch_id", "gene_id"], "left")
+    rows = unbroadcast(people).join(chosen, ["study_id", "model"]).join(rates.where(F.col(value).isNotNull()).select("study_id", "branch_id", "gene_id", F.col(value).alias("value")), ["study_id", "branch_id", "gene_id"], "left")
     out = spread(rows, "study_id", "model").groupBy("study_id", "model").applyInPandas(_fit_full, _FULL)
     # Most models have no candidate: they are settled by counts.
     counts = people.groupBy("study_id", "model").agg(F.count_distinct("branch_id").cast("int").alias("n_rows"), F.count_distinct(F.when(F.col("state") == 1, F.col("branch_id"))).cast("int").alias("n_positive"))

@@ -337,3 +337,17 @@ def test_fits_without_candidates_need_no_python(spark, monkeypatch):
     assert got == expected and len(got) == 8
     full = validation.full_fit(r, t.withColumn("model", F.lit("m")), none.withColumn("model", F.lit("m"))).collect()
     assert [(q.gene_id, q.status, q.n_rows, q.n_positive, q.n_candidates) for q in full] == [(None, "null_no_usable_features_or_one_class", 8, 4, 0)]
+
+
+def test_states_of_variants_are_not_broadcast(spark, tmp_path):
+    """Rows of variants, which take next to nothing in files, are joined without going through the driver, though their files are below the bound."""
+    states = spark.range(2000).selectExpr("'s' AS study_id", "CAST(id AS STRING) AS branch_id", "'m' AS model", "CAST(id % 2 AS DOUBLE) AS state")
+    states.write.parquet(str(tmp_path / "states"))
+    spark.range(4000).selectExpr("'s' AS study_id", "CAST(id AS STRING) AS branch_id", "'g' AS gene_id", "CAST(id AS DOUBLE) AS gbi").write.parquet(str(tmp_path / "rates"))
+    b, r = spark.read.parquet(str(tmp_path / "states")), spark.read.parquet(str(tmp_path / "rates"))
+    joins = lambda d: [x for x in d._jdf.queryExecution().executedPlan().toString().split("\n") if "Join " in x]
+    assert "BroadcastHashJoin" in joins(r.join(b, ["study_id", "branch_id"]))[0]  # what Spark does by itself
+    assert "SortMergeJoin" in joins(baseline.group_statistics(r, b, "gbi", ("model",)))[0]
+    assert any("SortMergeJoin" in x and "branch_id" in x for x in joins(baseline.screen(r, b, extra=("model",))))
+    fit = validation.full_fit(r, b, b.selectExpr("study_id", "model", "branch_id AS gene_id").limit(1))
+    assert any("SortMergeJoin" in x and "model" in x for x in joins(fit)) and not any("BroadcastHashJoin" in x and "branch_id" in x and "model" in x for x in joins(fit))
