@@ -16,7 +16,7 @@ from cladeframe.plans.validation import _edges as tree_edges
 from cladeframe.plans.validation import _full_fits, internal_projection
 from cladeframe.plans.validation import rates as study_rates
 from cladeframe.sources.tables import table
-from cladeframe.workspace import Workspace
+from cladeframe.workspace import Workspace, unbroadcast
 
 R = Registry()
 
@@ -145,7 +145,7 @@ def r08_projection_profile(spark, folder):
     fit, _, r, t = _full_fits(spark, folder)
     usable = fit.where("status = 'fit' AND sd IS NOT NULL")
     own = t.where("drop_rule = 'baseline'")
-    ends = [validation.project(r.join(own.where(F.col("model") == m).select("study_id", "branch_id"), ["study_id", "branch_id"], "left_semi"), usable.where(F.col("model") == m)).withColumn("model", F.lit(m)) for m in ("declared_baseline", "wide_baseline")]
+    ends = [validation.project(r.join(unbroadcast(own.where(F.col("model") == m).select("study_id", "branch_id")), ["study_id", "branch_id"], "left_semi"), usable.where(F.col("model") == m)).withColumn("model", F.lit(m)) for m in ("declared_baseline", "wide_baseline")]
     terminal = ends[0].unionByName(ends[1]).select("study_id", "model", "branch_id", "logit").withColumn("branch_type", F.lit("terminal"))
     internal = internal_projection(r, own).select("study_id", "model", "branch_id", "logit").withColumn("branch_type", F.lit("internal"))
     return terminal.unionByName(internal).groupBy("study_id", "branch_id", "branch_type").pivot("model", ["declared_baseline", "wide_baseline"]).agg(F.first("logit"))

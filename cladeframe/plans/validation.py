@@ -9,7 +9,7 @@ from cladeframe.plans.matrix import digits, matrix, rates, states
 from cladeframe.plans.registry import Registry
 from cladeframe.plans.sql import CELLS, GBI, STATES, TRIM, sig, with_
 from cladeframe.sources.tables import table
-from cladeframe.workspace import Workspace
+from cladeframe.workspace import Workspace, unbroadcast
 
 R = Registry()
 
@@ -295,7 +295,7 @@ def internal_projection(r, t):
     tested = baseline.welch(baseline.group_statistics(r.where("gbi IS NOT NULL"), t.select("study_id", "model", "branch_id", "state"), "gbi", ("model",))).where("p IS NOT NULL")
     chosen = baseline.strict_prefix(tested, "p", ["study_id", "model"], ["gene_id"]).where("selected")
     fit = work.save(validation.full_fit(r, t, chosen), "fit").where("status = 'fit' AND sd IS NOT NULL")
-    targets = r.join(t.select("study_id", "branch_id").distinct(), ["study_id", "branch_id"], "left_anti")
+    targets = r.join(unbroadcast(t.select("study_id", "branch_id").distinct()), ["study_id", "branch_id"], "left_anti")
     parts = [validation.project(targets, fit.where(F.col("model") == m)).withColumn("model", F.lit(m)) for m in ("declared_baseline", "wide_baseline")]
     return parts[0].unionByName(parts[1]).select("study_id", "model", "branch_id", "logit", "probability", "n_imputed")
 
@@ -305,7 +305,7 @@ def l10_fingerprints(spark, folder):
     """Contributions of every selected predictor to every terminal under the fitted baseline, with its held-out prediction beside it."""
     fit, _, r, t = _full_fits(spark, folder)
     c = fit.where("model = 'declared_baseline' AND coefficient <> 0")
-    parts = reporting.contributions(r.join(t.where("model = 'declared_baseline'").select("study_id", "branch_id"), ["study_id", "branch_id"], "left_semi"), c.select("study_id", "gene_id", "coefficient", "mean", "sd", "intercept"), "gbi")
+    parts = reporting.contributions(r.join(unbroadcast(t.where("model = 'declared_baseline'").select("study_id", "branch_id")), ["study_id", "branch_id"], "left_semi"), c.select("study_id", "gene_id", "coefficient", "mean", "sd", "intercept"), "gbi")
     logit = parts.join(c.select("study_id", "gene_id", "intercept"), ["study_id", "gene_id"]).groupBy("study_id", "branch_id").agg((F.first("intercept") + F.sum("contribution")).alias("logit"), F.count(F.lit(1)).alias("n_predictors"), F.count_if("imputed").cast("bigint").alias("n_imputed"))
     oof = _out_of_fold(spark, folder, inputs=_fold_inputs(spark, folder, r))[0].where("branch_id IS NOT NULL").select("study_id", "branch_id", F.col("prediction").alias("held_out_probability"))
     out = logit.withColumn("fitted_probability", 1 / (1 + F.exp(-F.col("logit")))).join(oof, ["study_id", "branch_id"], "left")
