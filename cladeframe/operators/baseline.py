@@ -42,6 +42,16 @@ def ratio(trimmed: DataFrame) -> DataFrame:
     return rows.withColumn("gbi", gbi)
 
 
+def study_ratio(cells: DataFrame, probability: float = 0.975) -> DataFrame:
+    """``(study_id, gene_id, branch_id, gbi)``: ``ratio`` of ``trim`` in two passes over the cells, one by gene and one by branch, where nothing else of them is wanted."""
+    gene, branch = W.partitionBy("study_id", "gene_id"), W.partitionBy("study_id", "branch_id")
+    v = F.col("value")
+    rows = cells.select(*KEY, "value").withColumn("cutoff", F.percentile("value", F.lit(probability)).over(gene))
+    rows = rows.select(*KEY, F.when(~(v.isNotNull() & F.col("cutoff").isNotNull() & (v >= F.col("cutoff"))), v).alias("kept"))
+    rows = rows.withColumn("gene_mean", F.avg("kept").over(gene)).withColumn("branch_mean", F.avg("kept").over(branch))
+    return rows.select(*KEY, F.try_divide(F.try_divide(F.col("kept"), F.col("branch_mean")), F.col("gene_mean")).alias("gbi"))
+
+
 def group_statistics(rates: DataFrame, states: DataFrame, value: str = "gbi", extra: tuple[str, ...] = ()) -> DataFrame:
     """Mergeable statistics per gene (and ``extra`` keys) of both groups: n, sum and sum of squares for states 0 and 1."""
     rows = rates.join(unbroadcast(states.where(F.col("state").isin(0.0, 1.0))), ["study_id", "branch_id"])

@@ -120,25 +120,19 @@ def _root(rows: pd.DataFrame) -> pd.DataFrame:
     sides = [(set(a.split(";")), set(b.split(";"))) for a, b in zip(rows.a, rows.b)]
     tips = sorted(set().union(*(x | y for x, y in sides)))
     root = tips[-1]
-    number = {t: i for i, t in enumerate(tips)}
     clades = [y if root in x else x for x, y in sides]
     clades = [c if c and root not in c else set() for c in clades]
-    words = (len(tips) + 63) // 64
-    bits = np.zeros((len(clades), words), np.uint64)
-    for i, c in enumerate(clades):
-        for t in c:
-            bits[i, number[t] // 64] |= np.uint64(1) << np.uint64(number[t] % 64)
+    bit = {t: 1 << i for i, t in enumerate(tips)}
+    bits = [sum(bit[t] for t in c) for c in clades]
     size = np.array([len(c) for c in clades])
-    order = np.lexsort((rows.branch_id.to_numpy(), size))
+    order = np.lexsort((rows.branch_id.to_numpy(), size)).tolist()
+    above = np.searchsorted(size[order], size, "right").tolist()  # the first place in order of a larger clade
     parent: list[str | None] = [None] * len(clades)
     depth = np.zeros(len(clades), int)
     names = rows.branch_id.to_list()
-    for k, i in enumerate(order):
-        later = order[k + 1 :]
-        later = later[size[later] > size[i]]
-        inside = (bits[later] & bits[i] == bits[i]).all(1)
-        if size[i] and inside.any():
-            parent[i] = names[later[np.argmax(inside)]]
+    for i, own in enumerate(bits):
+        if own:
+            parent[i] = next((names[k] for k in order[above[i] :] if bits[k] & own == own), None)
     at = {n: i for i, n in enumerate(names)}
     for i in order[::-1]:
         depth[i] = depth[at[parent[i]]] + 1 if parent[i] is not None else 1
@@ -164,21 +158,19 @@ def _parsimony(children: dict, roots: list, tips: dict, states: list[float]) ->
         n = todo.pop()
         order.append(n)
         todo += children.get(n, [])
-    k = len(states)
     up: dict = {}
+    reach = lambda cost: [min(x, min(cost) + 1) for x in cost]
+    from_child: dict = {}
     for n in reversed(order):
-        cost = np.zeros(k)
-        if n in tips:
-            cost = np.where(np.array(states) == tips[n], 0.0, np.inf)
+        cost = [0.0 if x == tips[n] else np.inf for x in states] if n in tips else [0.0] * len(states)
         for c in children.get(n, []):
-            cost = cost + np.minimum(up[c], up[c].min() + 1)
-        up[n] = cost
+            cost = [x + y for x, y in zip(cost, from_child[c])]
+        up[n], from_child[n] = cost, reach(cost)
     total = {}
     for n in order:
         total.setdefault(n, up[n])
         for c in children.get(n, []):
-            rest = total[n] - np.minimum(up[c], up[c].min() + 1)
-            total[c] = up[c] + np.minimum(rest, rest.min() + 1)
+            total[c] = [x + y for x, y in zip(up[c], reach([x - y for x, y in zip(total[n], from_child[c])]))]
     return total
 
 
@@ -192,7 +184,7 @@ def _reconstruct(rows: pd.DataFrame) -> pd.DataFrame:
     if not states:
         return out.assign(state=np.nan, observed=False)
     total = _parsimony({k: v for k, v in children.items() if k is not None}, children.get(None, []), tips, states)
-    best = [states[int(np.argmin(total[b]))] for b in rows.branch_id]
+    best = [states[total[b].index(min(total[b]))] for b in rows.branch_id]
     observed = rows.branch_id.isin(list(tips)).to_numpy()
     return out.assign(state=best, observed=observed)
 

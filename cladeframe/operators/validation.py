@@ -64,7 +64,8 @@ def fold_screen(rates: DataFrame, terminals: DataFrame, value: str = "gbi", leve
     known = terminals.where(F.col("state").isin(0.0, 1.0))
     states = known.select("study_id", "branch_id", "state") if branches is None else branches.where(F.col("state").isin(0.0, 1.0)).select("study_id", "branch_id", "state")
     named = states.join(known.select("study_id", "branch_id", "genus"), ["study_id", "branch_id"], "left")
-    tested = welch(held_out_statistics(rates, states, named, value)).where("p IS NOT NULL")
+    # A gene without a value in the study is tested in no fold.
+    tested = welch(held_out_statistics(rates.where(F.col(value).isNotNull()), states, named, value)).where("p IS NOT NULL")
     return strict_prefix(tested, "p", ["study_id", "genus"], ["gene_id"], level)
 
 
@@ -115,29 +116,49 @@ def _deviance(eta: np.ndarray, y: np.ndarray) -> np.ndarray:
     return -2 * (y * np.log(p) + (1 - y) * np.log(1 - p))
 
 
-def _lanes(x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, left: np.ndarray, start: np.ndarray, tolerance: float = 1e-7, rounds: int = 500, sweeps: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def _lanes(x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, left: np.ndarray, start: np.ndarray, times: np.ndarray | None = None, tolerance: float = 1e-7, rounds: int = 200, sweeps: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """The regressions of ``lasso_paths`` side by side, each (a lane) with a lambda, a row left out (-1: none) and start values of its own.
 
-    ``start`` and the first result are (1 + features, lanes), intercepts first.  The second result names the lanes that still move after
+    ``start`` and the first result are (1 + features, lanes), intercepts first; a ``start`` of fewer columns is taken again and again.
+    ``times`` says how often each row stands, of which a lane leaves one out.  The second result names the lanes that still move after
     all ``rounds``.  The intercept is solved exactly within each quadratic approximation, so one feature takes a single sweep.
     A step that would move a row's linear predictor by more than ``LANE_STEP`` (within the bounds of 30) is shortened, since the approximation does not reach as far.
     """
     n, p = x.shape
+    times = np.ones(n) if times is None else times
     a = np.column_stack([np.ones(n), x])
     i, j = np.triu_indices(p + 1)
-    pairs = np.ascontiguousarray((a[:, i] * a[:, j]).T)
-    b, todo = start.copy(), np.arange(start.shape[1])
-    for _ in range(rounds):
+    pairs = a[:, i] * a[:, j]
+    own, counted = np.ascontiguousarray(pairs.T), np.ascontiguousarray((pairs * times[:, None]).T)
+    widest, weighed = np.abs(a).max(0), np.ascontiguousarray((a * times[:, None]).T)
+    todo = np.arange(len(left))
+    at = todo % start.shape[1]
+    b = start[:, at]
+    for turn in range(rounds):
         c, lam, out = b[:, todo], lambdas[todo], left[todo]
-        own = np.flatnonzero(out >= 0)
-        weight = 1 / (n - (out >= 0))
-        eta = np.clip(a @ c, -30, 30)
-        mu = 1 / (1 + np.exp(-eta))
-        rest = (y[:, None] - mu) * weight
-        v = np.maximum(mu * (1 - mu), 1e-10) * weight
-        rest[out[own], own] = v[out[own], own] = 0
-        slope, gram = a.T @ rest, np.empty((p + 1, p + 1, len(todo)))
-        gram[i, j] = gram[j, i] = pairs @ v
+        mu = a @ (c if turn else start)
+        np.clip(mu, -30, 30, out=mu)
+        np.negative(mu, out=mu)
+        np.exp(mu, out=mu)
+        mu += 1
+        np.reciprocal(mu, out=mu)
+        v = 1 - mu
+        v *= mu
+        np.maximum(v, 1e-10, out=v)
+        np.subtract(y[:, None], mu, out=mu)
+        slope, packed = weighed @ mu, counted @ v
+        if not turn:
+            slope, packed = slope[:, at], packed[:, at]
+        lane = np.flatnonzero(out >= 0)
+        if len(lane):
+            row, of = out[lane], lane if turn else at[lane]
+            slope[:, lane] -= a[row].T * mu[row, of]
+            packed[:, lane] -= own[:, row] * v[row, of]
+        weight = 1 / (times.sum() - (out >= 0))
+        slope *= weight
+        packed *= weight
+        gram = np.empty((p + 1, p + 1, len(todo)))
+        gram[i, j] = gram[j, i] = packed
         across = gram[0, 1:] / gram[0, 0]
         inner = gram[1:, 1:] - gram[1:, :1] * across
         pull = slope[1:] - across * slope[0]
@@ -155,9 +176,15 @@ def _lanes(x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, left: np.ndarray,
                         moved = max(moved, float((curve[k] * step * step).max()))
             if moved < tolerance:
                 break
+        if p > 1 and turn >= LANE_TURNS:
+            new = _settled(inner, pull, new, lam)
         step = np.concatenate([slope[:1] / gram[0, 0] - (across * (new - c[1:])).sum(0, keepdims=True), new - c[1:]])
-        far = np.abs(np.clip(a @ (c + step), -30, 30) - eta).max(0)
-        step *= LANE_STEP / np.maximum(far, LANE_STEP)
+        # No row moves by more than this; only where it may be too far are the rows looked at.
+        long = np.flatnonzero(widest @ np.abs(step) > LANE_STEP)
+        if len(long):
+            here = c[:, long]
+            far = np.abs(np.clip(a @ (here + step[:, long]), -30, 30) - np.clip(a @ here, -30, 30)).max(0)
+            step[:, long] *= LANE_STEP / np.maximum(far, LANE_STEP)
         b[:, todo] = c + step
         todo = todo[(np.einsum("jjk->jk", gram) * step * step).max(0) >= tolerance]
         if not len(todo):
@@ -165,20 +192,41 @@ def _lanes(x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, left: np.ndarray,
     return b, todo
 
 
-#: Numbers of a block of lanes in one array of ``_lanes``, the most features of a fit that is solved in lanes, and the longest step.
-LANE_NUMBERS, LANE_FEATURES, LANE_STEP = 2_000_000, 64, 2.0
+def _settled(inner: np.ndarray, pull: np.ndarray, near: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """The exact optimum of each lane's quadratic approximation, given the signs of the solution ``near`` it; where the signs do not hold, ``near``.
 
+    Steps along one coordinate after another come to rest too early where features nearly tell the same.
+    """
+    sign = np.sign(near)
+    on = sign != 0
+    goal = pull + np.einsum("jik,ik->jk", inner, near)
+    part = np.where(on[:, None] & on[None], inner, 0)
+    diagonal = np.arange(len(near))
+    part[diagonal, diagonal] = np.where(on, part[diagonal, diagonal] * (1 + 1e-12), 1)
+    z = np.linalg.solve(part.transpose(2, 0, 1), np.where(on, goal - lam * sign, 0).T[:, :, None])[:, :, 0].T
+    rest = np.abs(goal - np.einsum("jik,ik->jk", inner, z))
+    return np.where((np.isfinite(z) & (np.sign(z) == sign) & (on | (rest <= lam * (1 + 1e-9)))).all(0), z, near)
+
+
+#: Numbers of a block of lanes in one array of ``_lanes`` (they stay in the processor's cache), the most features of a fit that is solved in lanes, the longest step, and the rounds after which lanes are settled.
+LANE_NUMBERS, LANE_FEATURES, LANE_STEP, LANE_TURNS = 200_000, 64, 2.0, 6
 
-def _path_lanes(x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, stop) -> tuple[np.ndarray, np.ndarray] | None:
-    """The path on all rows as far as ``stop`` lets it go, (lambdas, 1 + features), and the linear predictor of each row by the paths without it, (rows, lambdas).
 
-    None where a fit still moves after all rounds: the caller goes along the path instead, from lambda to lambda.
+def _path_lanes(x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, ended) -> tuple[np.ndarray, np.ndarray] | None:
+    """The path on all rows up to the first lambda at which it has ``ended``, (lambdas, 1 + features), and the linear predictor of each row by the paths without it, (rows, lambdas).
+
+    Equal rows have the same path without one of them, which is found once.
+    A row without which a fit still moves after all rounds is gone through from lambda to lambda instead; None where the path on all rows has such a fit.
     """
-    n, p = x.shape
+    p = x.shape[1]
     m, begin = y.mean(), np.zeros((p + 1, len(lambdas)))
     begin[0] = np.log(m / (1 - m))
-    full, moving = _lanes(x, y, lambdas, np.full(len(lambdas), -1), begin, tolerance=1e-11)
-    length = next((k + 1 for k in range(len(lambdas)) if stop(full.T[None, : k + 1])), len(lambdas))
+    rows, which, times = np.unique(np.column_stack([x, y]), axis=0, return_inverse=True, return_counts=True)
+    x, y, times, n = np.ascontiguousarray(rows[:, :-1]), rows[:, -1].copy(), times.astype(float), len(rows)
+    full, moving = _lanes(x, y, lambdas, np.full(len(lambdas), -1), begin, times, tolerance=1e-11)
+    full[:, 0] = begin[:, 0]  # the greatest lambda has no coefficient; rounding may leave one
+    over = ended(full.T)
+    length = int(np.argmax(over)) + 1 if over.any() else len(lambdas)
     if (moving < length).any():
         return None
     eta = np.empty((n, length))
@@ -186,11 +234,12 @@ def _path_lanes(x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, stop) -> tupl
     for k in range(0, n, at):
         rows = np.arange(k, min(k + at, n))
         left = np.repeat(rows, length)
-        b, moving = _lanes(x, y, np.tile(lambdas[:length], len(rows)), left, np.tile(full[:, :length], len(rows)))
-        if len(moving):
-            return None
+        b, moving = _lanes(x, y, np.tile(lambdas[:length], len(rows)), left, full[:, :length], times)
         eta[rows] = (b[0] + (b[1:] * x[left].T).sum(0)).reshape(len(rows), length)
-    return full[:, :length].T, eta
+        for row in np.unique(left[moving]):
+            path = lasso_paths(x, y, ((times - (np.arange(n) == row)) / (times.sum() - 1))[None], lambdas[:length])[0]
+            eta[row] = path[:, 0] + path[:, 1:] @ x[row]
+    return full[:, :length].T, eta[which.reshape(-1)]
 
 
 def fit_lasso(x: np.ndarray, y: np.ndarray, n_lambdas: int = 100) -> tuple[float, np.ndarray, float]:
@@ -208,36 +257,36 @@ def fit_lasso(x: np.ndarray, y: np.ndarray, n_lambdas: int = 100) -> tuple[float
     lambdas = top * np.geomspace(1, 0.01 if n < p else 1e-4, n_lambdas)
     none = _deviance(np.full(n, np.log(y.mean() / (1 - y.mean()))), y).mean()
 
-    def ending():
-        told: list[float] = []
+    def ended(path: np.ndarray) -> np.ndarray:
+        """At which lambdas of ``path`` the deviance no longer falls."""
+        told = 1 - _deviance(path[:, :1] + path[:, 1:] @ x.T, y).mean(1) / none
+        out = told > 0.999
+        out[5:] |= told[5:] - told[4:-1] < 1e-5 * told[5:]
+        return out
 
-        def ended(path: np.ndarray) -> bool:
-            told.append(1 - _deviance(path[0, -1, 0] + x @ path[0, -1, 1:], y).mean() / none)
-            return told[-1] > 0.999 or (len(told) > 5 and told[-1] - told[-2] < 1e-5 * told[-1])
-
-        return ended
-
-    solved = _path_lanes(x, y, lambdas, ending()) if p <= LANE_FEATURES else None
+    solved = _path_lanes(x, y, lambdas, ended) if p <= LANE_FEATURES else None
     if solved is not None:
         path, eta = solved
         best = int(np.argmin(_deviance(eta, y[:, None]).mean(0)))
         return float(path[best, 0]), path[best, 1:].copy(), float(lambdas[best])
-    lambdas = lambdas[: lasso_paths(x, y, np.full((1, n), 1 / n), lambdas, stop=ending()).shape[1]]
+    lambdas = lambdas[: lasso_paths(x, y, np.full((1, n), 1 / n), lambdas, stop=lambda path: ended(path[0])[-1]).shape[1]]
     left_out = (1 - np.eye(n)) / (n - 1)
     paths = lasso_paths(x, y, left_out, lambdas)
     eta = paths[:, :, 0] + np.einsum("klj,kj->kl", paths[:, :, 1:], x)
     best = int(np.argmin(_deviance(eta, y[:, None]).mean(0)))
     b = lasso_paths(x, y, np.full((1, n), 1 / n), lambdas[best : best + 1], tolerance=1e-11, rounds=60)[0, 0]
+    if not best:
+        b[1:] = 0
     return float(b[0]), b[1:], float(lambdas[best])
 
 
 def _wide(rows: pd.DataFrame, branches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gene names and values (branches x genes; NaN where there is none) of long rows."""
-    own = rows[rows.gene_id.notna()]
-    genes, g = np.unique(own.gene_id.to_numpy(str), return_inverse=True)
-    at = pd.Index(branches).get_indexer(own.branch_id)
+    named = rows.gene_id.notna().to_numpy()
+    genes, g = np.unique(rows.gene_id.to_numpy()[named].astype(str), return_inverse=True)
+    at = pd.Index(branches).get_indexer(rows.branch_id.to_numpy()[named])
     out = np.full((len(branches), len(genes)), np.nan)
-    out[at[at >= 0], g[at >= 0]] = own.value.to_numpy(float)[at >= 0]
+    out[at[at >= 0], g[at >= 0]] = rows.value.to_numpy(float)[named][at >= 0]
     return genes, out
 
 
@@ -267,11 +316,12 @@ _OOF = ("study_id string, fold_id string, held_out string, status string, specie
 
 
 def _fit_fold(rows: pd.DataFrame, nested: bool = True) -> pd.DataFrame:
-    people = rows.drop_duplicates("branch_id").sort_values("branch_id")
-    train, test = people[people.role == "train"], people[people.role == "test"]
-    y = train.state.to_numpy(float)
+    branches, first = np.unique(rows.branch_id.to_numpy().astype(str), return_index=True)
+    role, state = rows.role.to_numpy()[first], rows.state.to_numpy(float)[first]
+    train, test = role == "train", np.flatnonzero(role == "test")
+    y = state[train]
     told = {"lambda": np.nan, "n_features": 0, "n_nonzero": 0, "n_dropped_all": 0, "n_dropped_zero": 0, "genes": [], "coefficients": []}
-    genes, wide = _wide(rows, people.branch_id.to_numpy(str))
+    genes, wide = _wide(rows, branches)
     if not len(test):
         status, p = "no_evaluable_test_species_after_exclusion", np.zeros(0)
     elif not len(y) or y.min() == y.max():
@@ -279,7 +329,7 @@ def _fit_fold(rows: pd.DataFrame, nested: bool = True) -> pd.DataFrame:
     elif not len(genes) and nested:
         status, p = "null_intercept_only_no_FDR_features_in_training_ttest", np.full(len(test), y.mean())
     else:
-        why, x, u, kept = prepare_design(wide[(people.role == "train").to_numpy()], wide[(people.role == "test").to_numpy()])
+        why, x, u, kept = prepare_design(wide[train], wide[test])
         told.update(n_dropped_all=kept["n_all"], n_dropped_zero=kept["n_zero"])
         if why:
             status, p = f"null_intercept_only_{why}", np.full(len(test), y.mean())
@@ -294,7 +344,7 @@ def _fit_fold(rows: pd.DataFrame, nested: bool = True) -> pd.DataFrame:
     head = {"study_id": rows.study_id.iloc[0], "fold_id": rows.fold_id.iloc[0], "held_out": rows.held_out.iloc[0], "status": status, "n_candidates": len(genes), "n_train": len(y), "n_train_positive": int(y.sum()), **told}
     if not len(test):
         return pd.DataFrame([{**head, "species": None, "branch_id": None, "state": np.nan, "prediction": np.nan}])
-    return pd.DataFrame({**{k: [v] * len(test) for k, v in head.items()}, "species": test.species.to_numpy(), "branch_id": test.branch_id.to_numpy(), "state": test.state.to_numpy(float), "prediction": p})
+    return pd.DataFrame({**{k: [v] * len(test) for k, v in head.items()}, "species": rows.species.to_numpy()[first[test]], "branch_id": branches[test], "state": state[test], "prediction": p})
 
 
 RECIPES = ("nested_phase12B", "nested_phase13", "global_screen_foldwise")

@@ -160,18 +160,14 @@ def l04_design(spark, folder):
     return d.withColumn("mean", digits("mean", 6)).withColumn("sd", digits("sd", 5))
 
 
-def _branch_states(spark, folder):
-    """States of all branches: terminals as declared, internal ones by parsimony."""
-    out = tree.parsimony_states(_edges(spark, folder), states(spark, folder))
-    return out.select("study_id", "branch_id", "state")
-
-
 def _fold_inputs(spark, folder, r=None):
-    """Rates (or ``r``, where a query has saved them already), terminals and states of all branches, and their workspace."""
+    """Rates (or ``r``, where a query has saved them already), terminals, states of all branches (terminals as declared, internal ones by parsimony), and their workspace."""
     work = Workspace(spark, "folds")
     if r is None:
-        r = work.save(rates(spark, folder).select("study_id", "gene_id", "branch_id", "gbi"), "rates")
-    return r, work.save(states(spark, folder), "terminals"), work.save(_branch_states(spark, folder), "branches"), work
+        r = work.save(baseline.study_ratio(matrix(spark, folder)), "rates")
+    s = work.save(states(spark, folder), "terminals")
+    b = work.save(tree.parsimony_states(_edges(spark, folder), s).select("study_id", "branch_id", "state"), "branches")
+    return r, s, b, work
 
 
 @R.add("l03_fold_features")
@@ -181,14 +177,20 @@ def l03_fold_features(spark, folder):
     return validation.fold_features(r, s, branches=b)
 
 
+def _everywhere(inputs):
+    """The features of one screen on all data."""
+    r, _, b, work = inputs
+    return work.save(baseline.screen(r, b), "screen").where("selected").select("study_id", "gene_id")
+
+
 def _out_of_fold(spark, folder, recipe="nested_phase12B", inputs=None, everywhere=None):
-    r, s, b, work = inputs or _fold_inputs(spark, folder)
+    """Held-out predictions, the screen of each fold (nested recipes) and the features of the global screen (``everywhere``, or as the global recipe makes them)."""
+    inputs = inputs or _fold_inputs(spark, folder)
+    r, s, b, work = inputs
     folds = validation.make_folds(s, 20260523)
-    if everywhere is None:
-        everywhere = work.save(baseline.screen(r, b), "screen").where("selected").select("study_id", "gene_id")
     screen = None
     if recipe == "global_screen_foldwise":
-        features = everywhere
+        features = everywhere = _everywhere(inputs) if everywhere is None else everywhere
     else:
         screen = work.save(validation.fold_screen(r, s, branches=b), "fold-screen")
         features = screen.where("selected")
@@ -210,7 +212,8 @@ def l05_global_screen(spark, folder):
 @R.add("l11_fold_table")
 def l11_fold_table(spark, folder):
     """One row per fold, with the overlap of its selection with the global one."""
-    oof, screen, everywhere = _out_of_fold(spark, folder)
+    inputs = _fold_inputs(spark, folder)
+    oof, screen, everywhere = _out_of_fold(spark, folder, inputs=inputs, everywhere=_everywhere(inputs))
     return validation.fold_table(oof, screen, everywhere)
 
 
@@ -223,7 +226,7 @@ def l11_selected_predictors(spark, folder):
 def l11_recipe_delta(spark, folder):
     """Nested predictions beside those of the global screen, and their difference, species by species."""
     inputs = _fold_inputs(spark, folder)
-    a, _, everywhere = _out_of_fold(spark, folder, inputs=inputs)
+    a, _, everywhere = _out_of_fold(spark, folder, inputs=inputs, everywhere=_everywhere(inputs))
     b = _out_of_fold(spark, folder, "global_screen_foldwise", inputs, everywhere)[0]
     both = a.where("branch_id IS NOT NULL").select("study_id", "species", "branch_id", "state", F.col("prediction").alias("nested")).join(b.where("branch_id IS NOT NULL").select("study_id", "branch_id", F.col("prediction").alias("global")), ["study_id", "branch_id"], "left")
     return both.withColumn("prediction_delta", F.col("nested") - F.col("global"))

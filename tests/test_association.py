@@ -351,3 +351,56 @@ def test_states_of_variants_are_not_broadcast(spark, tmp_path):
     assert any("SortMergeJoin" in x and "branch_id" in x for x in joins(baseline.screen(r, b, extra=("model",))))
     fit = validation.full_fit(r, b, b.selectExpr("study_id", "model", "branch_id AS gene_id").limit(1))
     assert any("SortMergeJoin" in x and "model" in x for x in joins(fit)) and not any("BroadcastHashJoin" in x and "branch_id" in x and "model" in x for x in joins(fit))
+
+
+def test_hard_folds_are_solved_in_lanes(monkeypatch):
+    """l12: steps along coordinates left such a fold moving, and the whole of it was fitted again from lambda to lambda."""
+    x = np.array([[-1.279, -0.805], [0.884, 0.0], [-1.275, -0.797], [1.248, 0.573], [0.0, -0.691], [0.0, -0.805], [0.674, 0.623], [-1.279, -0.805], [0.699, 2.678], [1.472, 0.589], [0.0, 0.0], [-1.279, -0.805], [0.134, 0.244]])
+    y = np.array([0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 1, 0.0])
+
+    def refuse(*a, **k):
+        raise AssertionError("fitted again")
+
+    monkeypatch.setattr(validation, "lasso_paths", refuse)
+    b0, b, lam = validation.fit_lasso(x, y)
+    # Conditions of the optimum: the slope of the likelihood is the penalty's where a feature is in, and within it elsewhere.
+    slope = x.T @ (y - 1 / (1 + np.exp(-(b0 + x @ b)))) / len(y)
+    assert b.any() and np.abs(np.where(b != 0, slope - lam * np.sign(b), np.maximum(np.abs(slope) - lam, 0))).max() < 1e-6
+
+
+def test_equal_rows_are_left_out_once_each():
+    """Repeated rows give the same choice and coefficients as the slow way, which knows nothing of them; at the greatest lambda there is no coefficient, not even by rounding."""
+    rng = np.random.default_rng(9)
+    x, y = np.repeat(rng.normal(size=(9, 2)), 3, 0), np.repeat(np.array([0, 1, 0, 1, 1, 0, 0, 1, 0.0]), 3)
+    y[[0, 4]] = 1 - y[[0, 4]]
+    x = (x - x.mean(0)) / x.std(0, ddof=1)
+    b0, b, lam = validation.fit_lasso(x, y)
+    lanes, validation.LANE_FEATURES = validation.LANE_FEATURES, 0
+    try:
+        c0, c, slow = validation.fit_lasso(x, y)
+    finally:
+        validation.LANE_FEATURES = lanes
+    assert lam == slow and np.allclose([b0, *b], [c0, *c], atol=1e-4)
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        x, y = rng.normal(size=(20, 1)), rng.integers(0, 2, 20).astype(float)
+        _, b, lam = validation.fit_lasso(x, y)
+        assert lam < np.abs(x.T @ (y - y.mean())).max() / 20 * (1 - 1e-9) or not b.any()
+
+
+def test_study_ratio_equals_ratio_of_trim(spark):
+    m = spark.createDataFrame([("s", f"g{i % 3}", f"b{i // 3}", None if i % 7 == 0 else float(i * i % 23)) for i in range(60)], "study_id string, gene_id string, branch_id string, value double")
+    key = lambda d: {(r.study_id, r.gene_id, r.branch_id): r.gbi for r in d.collect()}
+    old, new = key(baseline.ratio(baseline.trim(m))), key(baseline.study_ratio(m))
+    assert set(old) == set(new) and all((old[k] is None) == (v is None) and (v is None or abs(v - old[k]) < 1e-12) for k, v in new.items())
+
+
+def test_out_of_fold_makes_no_screen_that_is_not_asked_for(spark, monkeypatch):
+    """l12_sensitivity: no global screen for the nested recipe."""
+    from cladeframe.plans import validation as plans
+
+    def refuse(*a, **k):
+        raise AssertionError("not needed")
+
+    monkeypatch.setattr(plans.baseline, "screen", refuse)
+    assert plans.l12_sensitivity(spark, "/root/testdata/sf0.001").count() > 0
