@@ -160,11 +160,10 @@ def l04_design(spark, folder):
     return d.withColumn("mean", digits("mean", 6)).withColumn("sd", digits("sd", 5))
 
 
-def _fold_inputs(spark, folder, r=None):
-    """Rates (or ``r``, where a query has saved them already), terminals, states of all branches (terminals as declared, internal ones by parsimony), and their workspace."""
+def _fold_inputs(spark, folder):
+    """Rates, terminals, states of all branches (terminals as declared, internal ones by parsimony), and their workspace."""
     work = Workspace(spark, "folds")
-    if r is None:
-        r = work.save(baseline.study_ratio(matrix(spark, folder)), "rates")
+    r = work.save(baseline.study_ratio(matrix(spark, folder)), "rates")
     s = work.save(states(spark, folder), "terminals")
     b = work.save(tree.parsimony_states(_edges(spark, folder), s).select("study_id", "branch_id", "state"), "branches")
     return r, s, b, work
@@ -306,11 +305,15 @@ def internal_projection(r, t):
 @R.add("l10_fingerprints")
 def l10_fingerprints(spark, folder):
     """Contributions of every selected predictor to every terminal under the fitted baseline, with its held-out prediction beside it."""
-    fit, _, r, t = _full_fits(spark, folder)
-    c = fit.where("model = 'declared_baseline' AND coefficient <> 0")
-    parts = reporting.contributions(r.join(unbroadcast(t.where("model = 'declared_baseline'").select("study_id", "branch_id")), ["study_id", "branch_id"], "left_semi"), c.select("study_id", "gene_id", "coefficient", "mean", "sd", "intercept"), "gbi")
+    inputs = _fold_inputs(spark, folder)
+    r, t, _, work = inputs
+    everywhere = _everywhere(inputs)
+    model = F.lit("declared_baseline")  # the trait as it is, with the screen of its own branches: the other variants take no part
+    fit = work.save(validation.full_fit(r, t.withColumn("model", model), everywhere.withColumn("model", model)), "fit")
+    c = fit.where("coefficient <> 0")
+    parts = reporting.contributions(r.join(unbroadcast(t.select("study_id", "branch_id")), ["study_id", "branch_id"], "left_semi"), c.select("study_id", "gene_id", "coefficient", "mean", "sd", "intercept"), "gbi")
     logit = parts.join(c.select("study_id", "gene_id", "intercept"), ["study_id", "gene_id"]).groupBy("study_id", "branch_id").agg((F.first("intercept") + F.sum("contribution")).alias("logit"), F.count(F.lit(1)).alias("n_predictors"), F.count_if("imputed").cast("bigint").alias("n_imputed"))
-    oof = _out_of_fold(spark, folder, inputs=_fold_inputs(spark, folder, r))[0].where("branch_id IS NOT NULL").select("study_id", "branch_id", F.col("prediction").alias("held_out_probability"))
+    oof = _out_of_fold(spark, folder, inputs=inputs)[0].where("branch_id IS NOT NULL").select("study_id", "branch_id", F.col("prediction").alias("held_out_probability"))
     out = logit.withColumn("fitted_probability", 1 / (1 + F.exp(-F.col("logit")))).join(oof, ["study_id", "branch_id"], "left")
     return out.withColumn("fitted_minus_held_out", F.col("fitted_probability") - F.col("held_out_probability"))
 

@@ -396,11 +396,17 @@ def test_study_ratio_equals_ratio_of_trim(spark):
 
 
 def test_out_of_fold_makes_no_screen_that_is_not_asked_for(spark, monkeypatch):
-    """l12_sensitivity: no global screen for the nested recipe."""
+    """l12_sensitivity and l10_fingerprints: no global screen for the nested recipe, no fits of variants for the fitted baseline."""
     from cladeframe.plans import validation as plans
 
     def refuse(*a, **k):
         raise AssertionError("not needed")
 
+    monkeypatch.setattr(plans, "_full_fits", refuse)
+    got = {(r.study_id, r.branch_id): r for r in plans.l10_fingerprints(spark, "/root/testdata/sf0.001").collect()}
+    monkeypatch.undo()
+    fit = plans._full_fits(spark, "/root/testdata/sf0.001")[0].where("model = 'declared_baseline' AND coefficient <> 0")
+    n = {r.study_id: r["count"] for r in fit.groupBy("study_id").count().collect()}
+    assert {r.study_id for r in got.values()} == set(n) and all(r.n_predictors == n[s] for (s, _), r in got.items())
     monkeypatch.setattr(plans.baseline, "screen", refuse)
     assert plans.l12_sensitivity(spark, "/root/testdata/sf0.001").count() > 0
