@@ -113,7 +113,7 @@ def screen(rates: DataFrame, states: DataFrame, value: str = "gbi", extra: tuple
     tested = _welch(rows.groupBy(*by).agg(*aggs), False, CONSTANT)
     genes = rates.select("study_id", "gene_id").distinct()
     if extra:
-        genes = genes.join(states.select("study_id", *extra).distinct(), "study_id")
+        genes = genes.join(unbroadcast(states.select("study_id", *extra).distinct()), "study_id")
     every = genes.join(tested, by, "left").withColumn("reason", F.when(F.col("n0").isNull(), "insufficient_finite_group_size").otherwise(F.col("reason")))
     every = every.na.fill(0, ["n0", "n1"]).withColumn("direction", F.when(F.col("t") > 0, "slow").when(F.col("t") < 0, "fast").when(F.col("t") == 0, "zero"))
     return strict_prefix(every, "p", ["study_id", *extra], ["gene_id"])
@@ -153,7 +153,7 @@ def held_out_statistics(rates: DataFrame, states: DataFrame, terminals: DataFram
 
     ``terminals`` has ``(study_id, branch_id, genus)``; a null genus is in the totals and never held out.  The data are aggregated once; folds are a join.
     """
-    named = states.join(terminals.select("study_id", "branch_id", "genus"), ["study_id", "branch_id"])
+    named = unbroadcast(states).join(terminals.select("study_id", "branch_id", "genus"), ["study_id", "branch_id"])
     per = group_statistics(rates, named, value, ("genus",))
     columns = [f"{c}{g}" for g in (0, 1) for c in "nsq"]
     total = per.groupBy("study_id", "gene_id").agg(*[F.sum(c).alias(f"all_{c}") for c in columns])

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.errors import AxisError
-from cladeframe.workspace import spread
+from cladeframe.workspace import spread, unbroadcast
 
 
 def compare_sets(sets: DataFrame, by: list[str], name: str, member: str, first: str, second: str) -> DataFrame:
@@ -154,10 +154,15 @@ def _drawn(draws: np.ndarray, n: int, k: int, stream: int) -> np.ndarray:
 
 def turnover_summary(observed: DataFrame, draws: DataFrame, metric: str = "jaccard") -> DataFrame:
     """Of one metric: null median, 95 % interval and its text, p = (1 + draws at or above) / (1 + defined draws), z, and enrichment over the null median."""
-    rows = draws.where(F.col(metric).isNotNull()).select("study_id", F.col(metric).alias("x")).join(observed.select("study_id", F.col(metric).alias("observed")), "study_id")
-    a = rows.groupBy("study_id").agg(
-        F.first("observed").alias("observed"), F.percentile("x", [0.025, 0.5, 0.975]).alias("q"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"),
-        F.count_if(F.col("x") >= F.col("observed")).alias("hits"), F.count(F.lit(1)).alias("n_draws"))
+    # Draws are counted by value before anything is joined: adaptive execution takes them for as few as the blocks they are made from, and would send them through the driver.
+    values = draws.where(F.col(metric).isNotNull()).groupBy("study_id", F.col(metric).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    a = values.groupBy("study_id").agg(F.percentile("x", [0.025, 0.5, 0.975], F.col("n")).alias("q"), F.array_sort(F.collect_list(F.struct("x", "n"))).alias("v"), F.sum("n").alias("n_draws"))
+    a = a.join(unbroadcast(observed.select("study_id", F.col(metric).alias("observed"))), "study_id")
+    total = lambda f: F.aggregate("v", F.lit(0.0), lambda s, v: s + v["n"] * f(v["x"]))
+    least = F.get("v", F.lit(0))["x"]  # moments about a value of the draws: equal draws deviate by nothing
+    a = a.withColumn("mean", least + total(lambda x: x - least) / F.col("n_draws"))
+    a = a.withColumn("sd", F.sqrt(F.try_divide(total(lambda x: (x - F.col("mean")) * (x - F.col("mean"))), F.col("n_draws") - 1)))
+    a = a.withColumn("hits", F.aggregate("v", F.lit(0).cast("bigint"), lambda s, v: s + F.when(v["x"] >= F.col("observed"), v["n"]).otherwise(0)))
     low, middle, high = (F.get("q", F.lit(i)) for i in range(3))
     return a.select("study_id", F.lit(metric).alias("metric"), "observed", middle.alias("null_median"), low.alias("null_low"), high.alias("null_high"), F.format_string("%.4f-%.4f", low, high).alias("null_95_interval"),
         ((F.col("hits") + 1) / (F.col("n_draws") + 1)).alias("p"), F.try_divide(F.col("observed") - F.col("mean"), F.when(F.col("sd") > 0, F.col("sd"))).alias("z"), F.try_divide(F.col("observed"), middle).alias("enrichment"), "n_draws")

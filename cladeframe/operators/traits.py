@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.errors import DomainError
 from cladeframe.operators.cells import newest
+from cladeframe.workspace import unbroadcast
 
 STATES = (0.0, 0.5, 1.0)
 
@@ -71,7 +72,7 @@ def terminals(coordinates: DataFrame) -> DataFrame:
 def terminal_states(coordinates: DataFrame, trait: DataFrame, groups: DataFrame) -> DataFrame:
     """``(study_id, branch_id, species, genus, state)`` of terminal branches whose species has a trait value; genus may be null."""
     genus = in_force(groups, ["study_id", "species"]).select("study_id", "species", "genus")
-    rows = terminals(coordinates).join(trait_values(trait), ["study_id", "species"]).join(genus, ["study_id", "species"], "left")
+    rows = terminals(coordinates).join(unbroadcast(trait_values(trait)), ["study_id", "species"]).join(unbroadcast(genus), ["study_id", "species"], "left")
     return rows.where(F.col("value").isNotNull()).select("study_id", "branch_id", "species", "genus", F.col("value").alias("state"))
 
 

@@ -20,11 +20,14 @@ def make_folds(terminals: DataFrame, base: int, offset: int = 0) -> DataFrame:
     return genera.select("study_id", place.alias("fold_ord"), F.concat(F.lit("fold_"), F.lpad(place.cast("string"), 3, "0")).alias("fold_id"), "genus", (F.lit(base + offset) + place).cast("bigint").alias("seed"))
 
 
-def roles(terminals: DataFrame, folds: DataFrame) -> DataFrame:
-    """The role of every terminal in every fold of its study: intermediate states are excluded, the fold's genus is held out."""
-    rows = folds.select("study_id", "fold_id", F.col("genus").alias("held_out")).join(terminals, "study_id")
-    role = F.when(F.col("state") == 0.5, "excluded").when(F.col("genus") == F.col("held_out"), "test").otherwise("train")
-    return rows.select("study_id", "fold_id", "branch_id", "species", "genus", "state", role.alias("role"))
+def roles(terminals: DataFrame, folds: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The role of every terminal in every fold of its study: intermediate states are excluded, the fold's genus is held out.
+
+    ``keep`` names further columns of ``folds`` that come out too.
+    """
+    rows = folds.select("study_id", "fold_id", *keep, F.col("genus").alias("__held_out")).join(unbroadcast(terminals), "study_id")
+    role = F.when(F.col("state") == 0.5, "excluded").when(F.col("genus") == F.col("__held_out"), "test").otherwise("train")
+    return rows.select("study_id", "fold_id", "branch_id", "species", "genus", "state", role.alias("role"), *keep)
 
 
 def role_counts(assigned: DataFrame) -> DataFrame:
@@ -63,7 +66,7 @@ def fold_screen(rates: DataFrame, terminals: DataFrame, value: str = "gbi", leve
     """Every tested gene of every fold with t, p and ``selected``."""
     known = terminals.where(F.col("state").isin(0.0, 1.0))
     states = known.select("study_id", "branch_id", "state") if branches is None else branches.where(F.col("state").isin(0.0, 1.0)).select("study_id", "branch_id", "state")
-    named = states.join(known.select("study_id", "branch_id", "genus"), ["study_id", "branch_id"], "left")
+    named = states.join(unbroadcast(known.select("study_id", "branch_id", "genus")), ["study_id", "branch_id"], "left")
     # A gene without a value in the study is tested in no fold.
     tested = welch(held_out_statistics(rates.where(F.col(value).isNotNull()), states, named, value)).where("p IS NOT NULL")
     return strict_prefix(tested, "p", ["study_id", "genus"], ["gene_id"], level)
@@ -360,17 +363,19 @@ def out_of_fold(rates: DataFrame, terminals: DataFrame, folds: DataFrame, featur
     if recipe not in RECIPES:
         raise ContractError(f"choose a validation recipe of {', '.join(RECIPES)}")
     nested = recipe != "global_screen_foldwise"
-    assigned = roles(terminals, folds).join(folds.select("study_id", "fold_id", F.col("genus").alias("held_out")), ["study_id", "fold_id"])
+    held_out = folds.select("study_id", "fold_id", F.col("genus").alias("held_out"))
     if nested:
         chosen = features.select("study_id", F.col("genus").alias("held_out"), "gene_id")
     else:
         chosen = folds.select("study_id", F.col("genus").alias("held_out")).distinct().join(features.select("study_id", "gene_id").distinct(), "study_id")
     v = rates.where(F.col(value).isNotNull()).select("study_id", "branch_id", "gene_id", F.col(value).alias("value"))
     # Folds without any candidate are settled by counts; of the others candidates are kept with every person, so that a gene without any value in the fold counts as one.
-    with_genes = folds.select("study_id", "fold_id", F.col("genus").alias("held_out")).join(chosen, ["study_id", "held_out"], "left_semi").select("study_id", "fold_id").distinct()
-    rows = assigned.join(with_genes, ["study_id", "fold_id"], "left_semi").join(chosen, ["study_id", "held_out"], "left").join(v, ["study_id", "branch_id", "gene_id"], "left")
+    with_genes = held_out.join(chosen, ["study_id", "held_out"], "left_semi").select("study_id", "fold_id").distinct()
+    named = folds.select("study_id", "fold_id", "genus").join(unbroadcast(held_out), ["study_id", "fold_id"])
+    assigned = lambda how: roles(terminals, named.join(unbroadcast(with_genes), ["study_id", "fold_id"], how), ("held_out",))
+    rows = assigned("left_semi").join(chosen, ["study_id", "held_out"], "left").join(v, ["study_id", "branch_id", "gene_id"], "left")
     fitted = spread(rows, "study_id", "fold_id").groupBy("study_id", "fold_id").applyInPandas(lambda d: _fit_fold(d, nested), _OOF)
-    return fitted.unionByName(_without_candidates(assigned.join(with_genes, ["study_id", "fold_id"], "left_anti"), nested))
+    return fitted.unionByName(_without_candidates(assigned("left_anti"), nested))
 
 
 def _without_candidates(assigned: DataFrame, nested: bool) -> DataFrame:

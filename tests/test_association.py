@@ -410,3 +410,39 @@ def test_out_of_fold_makes_no_screen_that_is_not_asked_for(spark, monkeypatch):
     assert {r.study_id for r in got.values()} == set(n) and all(r.n_predictors == n[s] for (s, _), r in got.items())
     monkeypatch.setattr(plans.baseline, "screen", refuse)
     assert plans.l12_sensitivity(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_tables_of_studies_stay_out_of_the_driver(spark, tmp_path):
+    """r05_multi_run: Parquet files are far smaller than their rows, and draws far more than the blocks they are made from; none of them is broadcast."""
+    from cladeframe.operators import traits
+
+    def saved(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    def plan(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+    at = "row_id bigint, study_id string, {}, loaded_at timestamp, retired_at timestamp"
+    c = saved("c", [(i, "s", f"b{i}", "terminal", f"t{i}", None, None) for i in range(9)], at.format("branch_id string, branch_type string, terminal_taxon string"))
+    trait = saved("t", [(i, "s", f"t{i}", float(i % 2), None, None) for i in range(9)], at.format("species string, binary_trait double"))
+    g = saved("g", [(i, "s", f"t{i}", f"g{i // 3}", None, None) for i in range(9)], at.format("species string, genus string"))
+    t = traits.terminal_states(c, trait, g)
+    assert len(t.collect()) == 9 and "Broadcast" not in plan(t)
+    t.write.parquet(str(tmp_path / "terminals"))
+    t = spark.read.parquet(str(tmp_path / "terminals"))
+    assert "Broadcast" not in plan(validation.roles(t, validation.make_folds(t, 1)))
+
+    universe = spark.createDataFrame([("s", f"m{j:02d}") for j in range(12)] + [("t", "a"), ("t", "b")], "study_id string, member string")
+    observed = saved("o", [("s", 5, 4, 0.5), ("t", 2, 2, 1.0)], "study_id string, n_first bigint, n_second bigint, jaccard double")
+    draws = sets.turnover_draws(universe, observed.select("study_id", "n_first", "n_second"), 400)
+    x = np.array([r.jaccard for r in draws.where("study_id = 's'").collect()])
+    draws.write.parquet(str(tmp_path / "draws"))
+    summary = sets.turnover_summary(observed, spark.read.parquet(str(tmp_path / "draws")))
+    got = {r.study_id: r for r in summary.collect()}
+    assert "Broadcast" not in plan(summary)
+    s, t = got["s"], got["t"]
+    assert s.n_draws == 400 and (s.null_low, s.null_median, s.null_high) == pytest.approx(tuple(np.quantile(x, [0.025, 0.5, 0.975])))
+    assert s.p == pytest.approx(((x >= 0.5).sum() + 1) / 401) and s.z == pytest.approx((0.5 - x.mean()) / x.std(ddof=1))
+    assert (t.null_median, t.p, t.z, t.enrichment, t.n_draws) == (1.0, 1.0, None, 1.0, 400)
