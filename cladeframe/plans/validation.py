@@ -304,18 +304,41 @@ def internal_projection(r, t):
 
 @R.add("l10_fingerprints")
 def l10_fingerprints(spark, folder):
-    """Contributions of every selected predictor to every terminal under the fitted baseline, with its held-out prediction beside it."""
-    inputs = _fold_inputs(spark, folder)
-    r, t, _, work = inputs
-    everywhere = _everywhere(inputs)
-    model = F.lit("declared_baseline")  # the trait as it is, with the screen of its own branches: the other variants take no part
-    fit = work.save(validation.full_fit(r, t.withColumn("model", model), everywhere.withColumn("model", model)), "fit")
-    c = fit.where("coefficient <> 0")
-    parts = reporting.contributions(r.join(unbroadcast(t.select("study_id", "branch_id")), ["study_id", "branch_id"], "left_semi"), c.select("study_id", "gene_id", "coefficient", "mean", "sd", "intercept"), "gbi")
-    logit = parts.join(c.select("study_id", "gene_id", "intercept"), ["study_id", "gene_id"]).groupBy("study_id", "branch_id").agg((F.first("intercept") + F.sum("contribution")).alias("logit"), F.count(F.lit(1)).alias("n_predictors"), F.count_if("imputed").cast("bigint").alias("n_imputed"))
-    oof = _out_of_fold(spark, folder, inputs=inputs)[0].where("branch_id IS NOT NULL").select("study_id", "branch_id", F.col("prediction").alias("held_out_probability"))
-    out = logit.withColumn("fitted_probability", 1 / (1 + F.exp(-F.col("logit")))).join(oof, ["study_id", "branch_id"], "left")
-    return out.withColumn("fitted_minus_held_out", F.col("fitted_probability") - F.col("held_out_probability"))
+    """Contribution of every selected predictor to every terminal under the full-data fits of both baselines, with the terminal's logit, fitted and held-out probability beside it.
+
+    Each baseline has its own states, screen, fit and nested held-out predictions.  A missing value is imputed by the training mean and
+    contributes nothing.  ``gene_order`` goes by coefficient.  A baseline without a selected predictor has no contributions.
+    """
+    work = Workspace(spark, "l10")
+    r = work.save(baseline.study_ratio(matrix(spark, folder)), "rates")
+    t = work.save(variants.model_variants(states(spark, folder)).where("drop_rule = 'baseline'"), "terminals")
+    b = work.save(tree.parsimony_states(_edges(spark, folder), t, ("model",)).select("study_id", "model", "branch_id", "state"), "branches")
+    screen = work.save(baseline.screen(r, b, extra=("model",)), "screen")
+    fit = work.save(validation.full_fit(r, t, screen.where("selected")), "fit")
+    oof = []
+    for m in ("declared_baseline", "wide_baseline"):
+        own, branches = (d.where(F.col("model") == m).drop("model") for d in (t, b))
+        features = work.save(validation.fold_screen(r, own, branches=branches), f"fold-screen-{m}").where("selected")
+        oof.append(work.save(validation.out_of_fold(r, own, validation.make_folds(own, 20260523), features), f"oof-{m}").withColumn("model", F.lit(m)))
+    held_out = oof[0].unionByName(oof[1]).where("branch_id IS NOT NULL").select("study_id", "model", "branch_id", F.col("prediction").alias("held_out_probability"))
+    return fingerprints(r, t, fit).join(held_out, ["study_id", "model", "branch_id"], "left").withColumn("fitted_minus_held_out", F.col("fitted_probability") - F.col("held_out_probability"))
+
+
+def fingerprints(r, t, fit):
+    """One row per model, terminal and selected predictor; the sums of the terminal stand in each of its rows."""
+    from pyspark.sql import Window as W
+
+    order = F.row_number().over(W.partitionBy("study_id", "model").orderBy("coefficient", "gene_id"))
+    c = fit.where("coefficient <> 0").select("study_id", "model", "gene_id", order.alias("gene_order"), "coefficient", "mean", "sd", "intercept")
+    rows = unbroadcast(t.select("study_id", "model", "branch_id", "species", "state")).join(c, ["study_id", "model"]).join(r.select("study_id", "branch_id", "gene_id", F.col("gbi").alias("raw")), ["study_id", "branch_id", "gene_id"], "left")
+    rows = rows.withColumn("scaled", F.coalesce((F.col("raw") - F.col("mean")) / F.col("sd"), F.lit(0.0))).withColumn("imputed", F.col("raw").isNull()).withColumn("contribution", F.col("coefficient") * F.col("scaled"))
+    own = W.partitionBy("study_id", "model", "branch_id")
+    rows = rows.withColumn("contribution_sum", F.sum("contribution").over(own)).withColumn("n_predictors", F.count(F.lit(1)).over(own)).withColumn("n_imputed", F.count_if("imputed").over(own).cast("bigint"))
+    rows = rows.withColumn("logit", F.col("intercept") + F.col("contribution_sum")).withColumn("fitted_probability", 1 / (1 + F.exp(-F.col("logit"))))
+    sign = F.when(F.col("contribution") > 0, "positive").when(F.col("contribution") < 0, "negative").otherwise("zero")
+    return rows.select(
+        "study_id", "model", "branch_id", "species", "state", "gene_id", "gene_order", "coefficient", "raw", "imputed", "scaled", "contribution", F.abs("contribution").alias("abs_contribution"), sign.alias("contribution_sign"),
+        "n_predictors", "n_imputed", "intercept", "contribution_sum", "logit", "fitted_probability")
 
 
 _COEF = """coef AS (SELECT study_id, gene_id, mean, sd, 1.0 / k AS coefficient, -0.5::DOUBLE AS intercept FROM (SELECT study_id, gene_id, avg(gbi) AS mean, stddev_samp(gbi) AS sd, row_number() OVER (PARTITION BY study_id ORDER BY gene_id) AS k FROM rates GROUP BY 1, 2) WHERE sd > 0)"""

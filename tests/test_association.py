@@ -446,3 +446,25 @@ def test_tables_of_studies_stay_out_of_the_driver(spark, tmp_path):
     assert s.n_draws == 400 and (s.null_low, s.null_median, s.null_high) == pytest.approx(tuple(np.quantile(x, [0.025, 0.5, 0.975])))
     assert s.p == pytest.approx(((x >= 0.5).sum() + 1) / 401) and s.z == pytest.approx((0.5 - x.mean()) / x.std(ddof=1))
     assert (t.null_median, t.p, t.z, t.enrichment, t.n_draws) == (1.0, 1.0, None, 1.0, 400)
+
+
+def test_fingerprints_of_both_baselines(spark, tmp_path):
+    """l10_fingerprints: every predictor of either coding with every terminal, and the held-out prediction of that coding."""
+    from cladeframe.plans import validation as plans
+
+    own = F.col("study_id").isin("ST00000012", "ST00000026")
+    for n in ("state_ledger", "coordinates", "trait", "taxon_groups"):
+        spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet").where(own).write.parquet(str(tmp_path / f"{n}.parquet"))
+    got = plans.l10_fingerprints(spark, str(tmp_path)).toPandas()
+    fit = plans._full_fits(spark, str(tmp_path))[0].where("coefficient <> 0 AND model IN ('declared_baseline', 'wide_baseline')").toPandas()
+    tips = plans.states(spark, str(tmp_path)).groupBy("study_id").count().toPandas().set_index("study_id")["count"]
+    assert set(got.model) == {"declared_baseline", "wide_baseline"} and len(got) == sum(tips[s] for s in fit.study_id)
+    beta = fit.set_index(["study_id", "model", "gene_id"]).coefficient
+    assert np.allclose(got.coefficient, beta.loc[list(zip(got.study_id, got.model, got.gene_id))]) and np.allclose(got.contribution, got.coefficient * got.scaled)
+    for _, d in got.groupby(["study_id", "model", "branch_id"]):
+        assert (d.n_predictors == len(d)).all() and (d.n_imputed == d.imputed.sum()).all() and np.allclose(d.logit, d.intercept + d.contribution.sum())
+    wide = variants.model_variants(plans.states(spark, str(tmp_path))).where("model = 'wide_baseline'").drop("model")
+    r, b = plans.rates(spark, str(tmp_path)), tree.parsimony_states(plans._edges(spark, str(tmp_path)), wide)
+    oof = validation.out_of_fold(r, wide, validation.make_folds(wide, 20260523), validation.fold_features(r, wide, branches=b)).toPandas().set_index(["study_id", "branch_id"]).prediction
+    d = got[(got.model == "wide_baseline") & got.held_out_probability.notna()]
+    assert len(d) and np.allclose(d.held_out_probability, oof.loc[list(zip(d.study_id, d.branch_id))], atol=1e-6)
